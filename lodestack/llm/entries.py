@@ -4,18 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import simhash
+from lodestack.llm import packing, pii, quality, simhash, tokenfile
 from lodestack.llm.common import table
 
+#: Vocabulary of the token operators.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
+def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(_documents(spark, sf_dir), TOKENIZER)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.scores(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(_documents(spark, sf_dir), TOKENIZER)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op5_tokenfile": op5_tokenfile,
+    "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
 }
 
 SQL: dict[str, str] = {}
