@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import batch_of, documents
 
 #: Edits allowed per character of an item.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 #: Items matched in one pass over the documents; more items take more passes.
 BLOCK_ITEMS = 5_000
 
