@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import decontaminate, licences, packing, pages, pii, quality, simhash, tokenfile, vectors
+from lodestack.llm import decontaminate, licences, packing, pages, pii, quality, repeats, simhash, tokenfile, vectors
 from lodestack.llm.common import table
 
 #: Vocabulary of the token operators.
@@ -30,6 +30,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(_documents(spark, sf_dir))
+
+
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_documents(spark, sf_dir), TOKENIZER)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_decontaminate": op3_decontaminate,
+    "op4_repeats": op4_repeats,
     "op5_tokenfile": op5_tokenfile,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
