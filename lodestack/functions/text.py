@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType
 
 # Ligatures written out, and quotation marks that count as the plain one.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -68,27 +69,27 @@ def _series(fn):
     return lambda s: s.map(lambda v: None if v is None else fn(v))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_udf(s: pd.Series) -> pd.Series:
     return _series(normalize)(s)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalize_for_search_udf(s: pd.Series) -> pd.Series:
     return _series(normalize_for_search)(s)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def strip_marks_udf(s: pd.Series) -> pd.Series:
     return _series(strip_marks)(s)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def guess_script_udf(s: pd.Series) -> pd.Series:
     return _series(guess_script)(s)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def damerau_levenshtein_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else damerau_levenshtein(x, y) for x, y in zip(a, b)], dtype="Int32")
 

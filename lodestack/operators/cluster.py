@@ -66,7 +66,7 @@ def greedy_partition(df: DataFrame, block: str, key: str, value: str, match: Cal
     Order dependent: rows in key order. A block over ``max_block`` rows is an error that names it
     rather than a silent cut; choose a finer block.
     """
-    key_type, value_type = (df.schema[c].dataType.simpleString() for c in (key, value))
+    key_type = df.schema[key].dataType.simpleString()
 
     def partition(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > max_block:
@@ -80,7 +80,6 @@ def greedy_partition(df: DataFrame, block: str, key: str, value: str, match: Cal
                 home.append((k, v))
         return pd.DataFrame([(k, c[0][0]) for c in clusters for k, _ in c], columns=[key, "cluster"])
 
-    del value_type
     return df.select(block, key, value).groupBy(block).applyInPandas(partition, f"`{key}` {key_type}, cluster {key_type}")
 
 
@@ -93,8 +92,8 @@ def most_common(df: DataFrame, group: str, value: str, level: str | None = None,
 
 
 def merge_fields(df: DataFrame, group: str, order: str, scalars: list[str], sets: list[str]) -> DataFrame:
-    """One row per group: scalars from the first row in order that has one, sets united."""
-    first = [F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in scalars]
+    """One row per group: scalars from the first row in order that has one (ties: the smallest), sets united."""
+    first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in scalars]
     united = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in sets]
     return df.groupBy(group).agg(*first, *united)
 

@@ -140,9 +140,17 @@ class Compiler:
             if all(isinstance(m, Not) for m in members):  # nothing to be near to: no element may have it
                 plain += [self(m) for m in members]
             else:
-                plain.append(F.exists(array, lambda e, members=members: self._fold([~two_valued(self._element(m.node, e)) if isinstance(m, Not) else self._element(m, e) for m in members], Column.__and__)))
+                plain.append(F.exists(array, self._together(members)))
         return self._fold(plain, Column.__and__)
 
+    def _together(self, members: list) -> Callable[[Column], Column]:
+        """All members of a group hold for one element."""
+
+        def test(e: Column) -> Column:
+            return self._fold([~two_valued(self._element(m.node, e)) if isinstance(m, Not) else self._element(m, e) for m in members], Column.__and__)
+
+        return test
+
     def _element(self, c: Condition, e: Column) -> Column:
         value = e.getField(c.field.path)
         test = value.isNotNull() if c.exists else has_tokens(value, c.tokens, c.connective) if c.tokens else compare(value, c.field, c.operator, c.value)

@@ -12,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from lodestack.scratch import new_path
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
-    """A folder of Parquet files as a stream."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None, max_files: int = 100) -> DataFrame:
+    """A folder of Parquet files (those that match ``glob``) as a stream."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
 def drain(df: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
