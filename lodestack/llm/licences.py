@@ -8,6 +8,7 @@ words are chosen so that a passage without them has too few bigrams in common wi
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import documents
 
 THRESHOLD = 0.8
+#: Slack of the size bounds, so that rounding leaves out no pair at the threshold itself.
+ROUNDING = 1e-9
 
 # Licence notices and short licence texts, as their publishers word them.
 TEMPLATES = {
@@ -84,7 +87,7 @@ def triggers(threshold: float = THRESHOLD, templates: dict[str, list[str]] = TEM
     chosen: set[str] = set()
     for text in (t for ts in templates.values() for t in ts):
         grams = [g.split() for g in bigrams_of(text)]
-        least = -int(-threshold * len(grams) / (2 - threshold) // 1)
+        least = math.ceil(threshold * len(grams) / (2 - threshold) - ROUNDING)
         need = len(grams) - least + 1
         order = sorted({w for g in grams for w in g}, key=lambda w: (w not in chosen, -len(w), w))
         for w in order:
@@ -110,8 +113,8 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     table = [(name, sorted(bigrams_of(t))) for name, ts in TEMPLATES.items() for t in ts]
     known = F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(len(g)).alias("size"), F.array(*map(F.lit, g)).alias("grams")) for n, g in table])
-    least = min(len(g) for _, g in table) * threshold / (2 - threshold)
-    most = max(len(g) for _, g in table) * (2 - threshold) / threshold
+    least = min(len(g) for _, g in table) * threshold / (2 - threshold) - ROUNDING
+    most = max(len(g) for _, g in table) * (2 - threshold) / threshold + ROUNDING
     trigger = "(?i)(?<![a-z0-9])(?:" + "|".join(triggers(threshold)) + ")(?![a-z0-9])"
     rows = documents(docs).where(F.col("text").rlike(trigger))
 
@@ -128,10 +131,10 @@ def matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grams = F.array_distinct(F.when(F.size("words") == 1, F.col("words")).otherwise(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))))
     rows = rows.select("doc_id", "unit", grams.alias("grams")).where(F.size("grams").between(least, most))
     n = F.size("grams")
-    near = F.filter(known, lambda t: (t["size"] * (2 - threshold) >= n * threshold) & (n * (2 - threshold) >= t["size"] * threshold))
+    near = F.filter(known, lambda t: (t["size"] * (2 - threshold) >= n * threshold - ROUNDING) & (n * (2 - threshold) >= t["size"] * threshold - ROUNDING))
     rows = rows.select("doc_id", "unit", "grams", F.explode(near).alias("t"))
     dice = F.size(F.array_intersect("grams", "t.grams")) * 2.0 / (F.size("grams") + F.col("t.size"))
-    hits = rows.select("doc_id", "unit", F.col("t.licence").alias("licence"), dice.alias("dice")).where(F.col("dice") >= threshold)
+    hits = rows.select("doc_id", "unit", F.col("t.licence").alias("licence"), dice.alias("dice")).where(F.col("dice") >= threshold - ROUNDING)
     best = hits.groupBy("doc_id", "licence").agg(F.max(F.struct("dice", (-F.col("unit")).alias("unit"))).alias("best"), F.count("*").alias("n_places"))
     unit = F.element_at(F.array(*map(F.lit, ("line", "paragraph", "text"))), 1 - F.col("best.unit"))
     return best.select("doc_id", "licence", F.round("best.dice", 6).alias("dice"), unit.alias("unit"), "n_places")

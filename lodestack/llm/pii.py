@@ -104,6 +104,8 @@ DIGIT_NAMES = {
 AT_NAMES = ("at", "@", "arroba", "arobase", "klammeraffe")
 DOT_NAMES = ("dot", ".", "punkt", "point", "punto")
 PLUS_NAMES = ("plus",)
+# Top-level domains that an address written in plain words (a at b dot com) may end in.
+DOMAINS = frozenset("com org net edu gov mil int info biz io co me app dev ai tv example test invalid de fr es it se no dk fi nl be at ch uk ie pl pt eu us ca au nz in jp cn br mx ru".split())
 
 _NAMES = frozenset(DIGIT_NAMES)
 _named = "|".join(sorted(map(re.escape, DIGIT_NAMES), key=len, reverse=True))
@@ -145,6 +147,7 @@ class Rewritten:
         plain = source.translate(_TABLE) if odd else source  # one sign for one sign
         self.changed = [(i, i + 1) for i, c in enumerate(source) if c in _ODD] if odd else []
         pieces, self.starts, self.sources = [], [], []  # of each piece: start here, (start, end, copied) there
+        self.worded: list[tuple[int, int]] = []  # pieces that were plain words
         done = size = 0
 
         def put(piece: str, start: int, end: int, copied: bool) -> None:
@@ -169,6 +172,8 @@ class Rewritten:
                 put(plain[done:start], done, start, True)
                 put(new, start, end, False)
                 self.changed.append((start, end))
+                if kind in ("word", "stop"):
+                    self.worded.append((start, end))
                 done = end
         put(plain[done:], done, len(plain), True)
         self.text = "".join(pieces)
@@ -181,10 +186,11 @@ class Rewritten:
         (a, _, copied), (b, last, whole) = self.sources[i], self.sources[j]
         return (a + start - self.starts[i] if copied else a), (b + end - self.starts[j] if whole else last)
 
-    def touches(self, start: int, end: int) -> bool:
-        """Whether anything in this source span was rewritten."""
-        i = bisect.bisect_left(self.changed, (end,)) - 1
-        return i >= 0 and self.changed[i][1] > start
+    @staticmethod
+    def touches(pieces: list[tuple[int, int]], start: int, end: int) -> bool:
+        """Whether one of the ascending pieces lies in this source span."""
+        i = bisect.bisect_left(pieces, (end,)) - 1
+        return i >= 0 and pieces[i][1] > start
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -198,7 +204,9 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
     out = []
     for start, kind, end in detect(new.text):
         s, e = new.back(start, end)
-        if new.touches(s, e):
+        if new.touches(new.changed, s, e):
+            if kind == 0 and new.touches(new.worded, s, e) and new.text[start:end].rpartition(".")[2].lower() not in DOMAINS:
+                continue  # words in a sentence
             i = bisect.bisect_left(taken[kind], (e,)) - 1
             if i < 0 or taken[kind][i][1] <= s:
                 out.append((s, kind, e))

@@ -104,7 +104,7 @@ def codebooks(groups: DataFrame, rows: int = FIT_ROWS, centroids: int = CENTROID
     by_size: dict[int, list[np.ndarray]] = {}
     for r in sorted(bytes(r["v"]) for r in sample):
         by_size.setdefault(len(r) // 4, []).append(unit(r))
-    return {d: (k_means(np.array(x)[:, : d // 2], centroids), k_means(np.array(x)[:, d // 2 :], centroids)) for d, x in by_size.items()}
+    return {d: (k_means(np.array(x)[:, : d // 2], centroids), k_means(np.array(x)[:, d // 2 :], centroids)) for d, x in by_size.items() if d > 1}
 
 
 def _cells(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
@@ -116,7 +116,7 @@ def _cells(books: dict[int, tuple[np.ndarray, np.ndarray]], limit: float):
         sizes = np.array([len(r) // 4 for r in raw])
         for d in np.unique(sizes).tolist():
             at = np.flatnonzero(sizes == d)
-            if d not in books:  # the sample had no vector of this size: one cell holds them
+            if d not in books:  # a size that the sample lacks, or that has no halves: one cell holds it
                 rows += [(f"{label[i]}\x1f{d}", role, raw[i], weight[i], rep[i]) for i in at for role in (0, 1)]
                 continue
             x = np.array([unit(raw[i]) for i in at])
