@@ -133,7 +133,8 @@ def _verify(threshold: float):
     """Arrow function over rows (key, role, v, weight, rep) sorted by key: links by cosine."""
 
     def compare(rows: list[tuple]) -> Iterator[tuple[int, int, int]]:
-        """``rep, weight of linked vectors, a root it is linked with`` for each query of one block."""
+        """``rep, weight of the vectors linked with it, itself`` for each query of one block, then the
+        spanning forest of the block's links as ``rep, 0, root``."""
         held = [(unit(v), w, r) for role, v, w, r in rows if role == 0]
         asked = [(unit(v), r) for role, v, _, r in rows if role == 1]
         if not held or not asked:
@@ -157,7 +158,10 @@ def _verify(threshold: float):
                 low = min(root(r), *{root(int(o)) for o in rep[others]})
                 for o in {root(r), *(root(int(o)) for o in rep[others])}:
                     parent[o] = low
-                yield r, int(weight[others].sum()), low
+                yield r, int(weight[others].sum()), r
+        for a in sorted(parent):
+            if root(a) != a:
+                yield a, 0, root(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
