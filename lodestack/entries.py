@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestack.functions import ids, text
+from lodestack.functions import ids, jsonld, scripts, text
 from lodestack.functions.jsontree import walk_rows
-from lodestack.operators import cluster, graph, search, shape, stats, store
+from lodestack.operators import bulk, cluster, graph, search, shape, stats, store
 from lodestack.plans import cql, legacy
 from lodestack.plans.catalog import Field, FieldCatalog, Hierarchy
 from lodestack.plans.compiler import Compiler
 from lodestack.plans.tree import Builder, expand_types, reduce
+from lodestack.sources import rdf
 from lodestack.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -674,3 +675,45 @@ def session_windows(spark, sf):
 def rank_top_per_parent(spark, sf):
     w = W.partitionBy("l_suppkey").orderBy(F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber")
     return read(spark, sf, "lineitem").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("l_suppkey", "l_orderkey", "l_linenumber")
+
+
+@query("facet_tree", f"select 'segment' path, segment as \"value\", count(*) n from {RECORDS_SQL} where priority = '2-HIGH' group by 2 union all select 'segment.type', \"type\", count(*) from {RECORDS_SQL} where segment = 'BUILDING' and priority = '2-HIGH' group by 2 union all select 'priority', priority, count(*) from {RECORDS_SQL} where segment = 'BUILDING' group by 2")
+def facet_tree(spark, sf):
+    df = records(spark, sf)
+    return search.facet_tree(df, record_catalog(df), {"segment": {"sub": {"type": {}}}, "priority": {}}, {"segment": "BUILDING", "priority": "2-HIGH"})
+
+
+@query("classification_prefix", "with t(prefix, mapped) as (values ('Brand#1', 'one'), ('Brand#2', 'two'), ('Brand#12', 'twelve')) select p_partkey, (select mapped from t where starts_with(p_brand, prefix) order by length(prefix) desc limit 1) mapped from part")
+def classification_prefix(spark, sf):
+    table = spark.createDataFrame([("Brand#1", "one"), ("Brand#2", "two"), ("Brand#12", "twelve")], "prefix string, mapped string")
+    return scripts.map_by_prefix(read(spark, sf, "part"), "p_brand", table).select("p_partkey", "mapped")
+
+
+@query("rdf_statements", "select 'http://e/' || event_id s, 'http://v/k' p, json_extract_string(props, '$.k') o from events where json_extract(props, '$.k') is not null")
+def rdf_statements(spark, sf):
+    e = read(spark, sf, "events").where(F.get_json_object("props", "$.k").isNotNull())
+    docs = e.select(F.concat(F.lit('{"@id": "http://e/'), "event_id", F.lit('", "k": '), F.get_json_object("props", "$.k"), F.lit("}")).alias("data"), F.lit("g").alias("graph"))
+    return jsonld.to_quads(docs, "data", {"@vocab": "http://v/"}, "graph").select("s", "p", "o")
+
+
+@query("bulk_script", "select event_id, 'update' as action from events where json_extract_string(props, '$.k')::int < 50 and json_extract_string(props, '$.k')::int >= 10 union all select event_id, 'delete' from events where json_extract_string(props, '$.k')::int < 10")
+def bulk_script(spark, sf):
+    def script(record: dict) -> dict | None:
+        if isinstance(record.get("k"), int) and record["k"] < 50:
+            return None if record["k"] < 10 else record | {"small": True}
+        return record
+
+    return bulk.run_script(read(spark, sf, "events"), "event_id", "props", script).select("event_id", "action")
+
+
+@query("graph_pattern", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'EUROPE'")
+def graph_pattern(spark, sf):
+    c, n, r = (read(spark, sf, t) for t in ("customer", "nation", "region"))
+    quads = (
+        c.select(F.concat(F.lit("C"), "c_custkey").alias("s"), F.lit("home").alias("p"), F.concat(F.lit("N"), "c_nationkey").alias("o"))
+        .unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("s"), F.lit("in").alias("p"), F.concat(F.lit("R"), "n_regionkey").alias("o")))
+        .unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("s"), F.lit("name").alias("p"), F.col("n_name").alias("o")))
+        .unionByName(r.select(F.concat(F.lit("R"), "r_regionkey").alias("s"), F.lit("name").alias("p"), F.col("r_name").alias("o")))
+    )
+    found = rdf.select_pattern(quads, [("?c", "home", "?n"), ("?n", "in", "?r"), ("?r", "name", "EUROPE"), ("?n", "name", "?name")])
+    return found.select(F.substring("c", 2, 20).cast("long").alias("c_custkey"), F.col("name").alias("n_name"))

@@ -185,3 +185,25 @@ def free_text_of(query: str, catalog: FieldCatalog) -> list[str]:
     tree = Builder(catalog).build(query)
     nodes = tree.children if isinstance(tree, And) else (tree,)
     return [t.lower() for n in nodes if isinstance(n, FreeText) for t, _ in n.tokens]
+
+
+def facet_tree(df: DataFrame, catalog: FieldCatalog, tree: dict, selected: dict[str, str], prefix: str = "") -> DataFrame:
+    """``path, value, n``: a tree of facets ``{name: {"size": n, "sub": {...}}}``.
+
+    A facet's own selection does not narrow it; a sub-facet is counted within the selected value of
+    the one above it.
+    """
+    out = None
+    for name, spec in tree.items():
+        rows = df
+        for other, value in selected.items():
+            if other != name:
+                rows = rows.where(two_valued(F.col(catalog.get(other).path).cast("string") == value))
+        path = f"{prefix}{name}"
+        part = terms(rows, F.col(catalog.get(name).path).cast("string"), None, spec.get("size", 10)).select(F.lit(path).alias("path"), "value", "n")
+        if spec.get("sub") and name in selected:
+            inside = df.where(two_valued(F.col(catalog.get(name).path).cast("string") == selected[name]))
+            rest = {k: v for k, v in selected.items() if k != name}
+            part = part.unionByName(facet_tree(inside, catalog, spec["sub"], rest, path + "."))
+        out = part if out is None else out.unionByName(part)
+    return out
