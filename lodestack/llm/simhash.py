@@ -26,6 +26,9 @@ from lodestack.operators.components import connected_components
 from lodestack.scratch import materialise
 
 FANOUT = 8
+#: One-bit values of a sketch; the standard error of a similarity of 0.8 is 0.019. Estimates this
+#: little below a threshold pass, as a missed copy costs more than a near miss.
+SKETCH, MARGIN = 1024, 0.01
 #: Distinct fingerprints of a band value that one task compares without further division.
 GROUP_LIMIT = 600
 #: Hot band values that are broadcast (16 bytes each); more of them go by a shuffle join.
@@ -68,6 +71,21 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return map_batches(documents(docs), run, "doc_id long, fp long")
 
 
+_RANDOM = np.random.default_rng(42).integers(1, 1 << 62, size=(2, SKETCH), dtype=np.uint64) | np.uint64(1)
+
+
+def sketch(text: str, shingle: int = 5) -> bytes:
+    """One-bit MinHash of the word shingles; texts of fewer words are one shingle."""
+    words = text.encode("utf-8", "replace").lower().split()
+    n = max(1, len(words) - shingle + 1)
+    h = xxhash.xxh64_intdigest
+    grams = np.unique(np.array([h(b" ".join(words[i : i + shingle]), 7) for i in range(n)], dtype=np.uint64))
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(grams), 256):
+        least = np.minimum(least, (grams[at : at + 256, None] * _RANDOM[0] + _RANDOM[1]).min(axis=0))
+    return np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).tobytes()
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each code word in the reflected Gray sequence."""
     x = x.copy()
@@ -119,11 +137,21 @@ class GrayIndex:
         pairs = node > q
         return q[pairs], node[pairs]
 
-    def forest(self, limit: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-        """Spanning forest of all links: original positions of a child and of its root."""
+    def forest(self, limit: int, step: int = 1024, sketches: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning forest of all links: original positions of a child and of its root.
+
+        With sketches (rows of words, in original order) a pair links only if they agree enough.
+        """
+        differ_most = (1 - similarity + MARGIN) / 2 * SKETCH
         label = np.arange(len(self.codes))
         for start in range(0, len(label), step):
             a, b = self.search(start, min(start + step, len(label)), limit)
+            if sketches is not None:
+                same = np.zeros(len(a), dtype=bool)
+                for at in range(0, len(a), 1 << 16):
+                    x, y = self.order[a[at : at + (1 << 16)]], self.order[b[at : at + (1 << 16)]]
+                    same[at : at + (1 << 16)] = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1) <= differ_most
+                a, b = a[same], b[same]
             while len(a):
                 low = np.minimum(label[a], label[b])
                 high = np.maximum(label[a], label[b])
@@ -138,26 +166,32 @@ class GrayIndex:
         return self.order[child], self.order[label[child]]
 
 
-def _linked(limit: int):
-    """Arrow function over rows (key, fp, rep) sorted by key: links of each key's fingerprints."""
+def _linked(limit: int, similarity: float | None):
+    """Arrow function over rows (key, fp, rep, sketch) sorted by key: links of each key's fingerprints."""
 
-    def flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, fp, rep = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        child, root = GrayIndex(key, fp.view(np.uint64)).forest(limit)
+        index = GrayIndex(key, fp.view(np.uint64))
+        if similarity is None:
+            child, root = index.forest(limit)
+        else:
+            sketches = np.frombuffer(b"".join(x for p in parts for x in p[3]), dtype="<u8").reshape(-1, SKETCH // 64)
+            child, root = index.forest(limit, sketches=sketches, similarity=similarity)
         return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
             key, fp, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep"))
+            sk = batch.column("sketch").to_pylist() if similarity is not None else []
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
-                held.append((key[:cut], fp[:cut], rep[:cut]))
+                held.append((key[:cut], fp[:cut], rep[:cut], sk[:cut]))
                 yield flush(held)
                 held = []
-            held.append((key[cut:], fp[cut:], rep[cut:]))
+            held.append((key[cut:], fp[cut:], rep[cut:], sk[cut:]))
         if held:
             yield flush(held)
 
@@ -188,34 +222,36 @@ def _split_hot(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     return marked.where("n is null").drop("n"), marked.where("n is not null")
 
 
-def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, similarity: float | None = None) -> DataFrame:
     """Links ``src, dst`` between the ``rep`` of distinct fingerprints (``fp, rep``) that are near.
 
-    Transitively complete: two fingerprints within ``distance`` bits are connected by the links.
+    Transitively complete: two fingerprints within ``distance`` bits (and, with ``similarity``, whose
+    ``sketch`` agrees enough) are connected by the links.
     """
     bands = _bands(64, distance + 1)
+    carried = ["fp", "rep", *(["sketch"] if similarity is not None else [])]
     keys = F.array(*[F.xxhash64(F.lit(i), _bits(b)) for i, b in enumerate(bands)])
-    rows = reps.select("fp", "rep", F.posexplode(keys).alias("band", "key"))
+    rows = reps.select(*carried, F.posexplode(keys).alias("band", "key"))
     plain, hot = _split_hot(rows, group_limit)
-    parts = [plain.select("key", "fp", "rep")]
+    parts = [plain.select("key", *carried)]
     if hot is not None:
         finer = None
         for i, b in enumerate(bands):
             sub = F.array(*[F.xxhash64(F.col("band_key"), F.lit(j), _bits(s)) for j, s in enumerate(_bands(64, distance + 1, (b[0], len(b))))])
-            part = hot.where(F.col("band") == i).select(F.col("key").alias("band_key"), "fp", "rep").select("fp", "rep", F.explode(sub).alias("key"))
+            part = hot.where(F.col("band") == i).select(F.col("key").alias("band_key"), *carried).select(*carried, F.explode(sub).alias("key"))
             finer = part if finer is None else finer.unionByName(part)
-        fine, hotter = _split_hot(finer.select("key", "fp", "rep"), group_limit)
-        parts.append(fine.select("key", "fp", "rep"))
+        fine, hotter = _split_hot(finer.select("key", *carried), group_limit)
+        parts.append(fine.select("key", *carried))
         if hotter is not None:
             salts = F.ceil(F.col("n") * 2 / group_limit).cast("int")
-            cells = hotter.withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
+            cells = hotter.withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
             cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            parts.append(cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "rep"))
+            parts.append(cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *carried))
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "src long, dst long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance, similarity), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
@@ -234,3 +270,30 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     named = named.select(F.col("fp").alias("named_fp"), "component_id")
     out = fps.join(named, fps["fp"] == named["named_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Distance of single-word fingerprints within which similar texts are sought, and the size of a group.
+WIDE_DISTANCE, WIDE_GROUP = 5, 2000
+
+
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = WIDE_DISTANCE, group_limit: int = WIDE_GROUP) -> DataFrame:
+    """``doc_id, component_id`` for every row of ``docs`` with an id: texts linked by similar shingles.
+
+    Equal texts always link; other texts link if the sketches of their five-word shingles estimate a
+    Jaccard similarity of at least ``similarity`` and their single-word fingerprints differ in at
+    most ``distance`` bits. ``component_id`` is the smallest ``doc_id`` reachable. Null text counts
+    as empty; repeated rows each give a row; an empty table gives an empty result.
+    """
+
+    def run(batch: pa.RecordBatch):
+        texts = batch.column("text").to_pylist()
+        fps = np.array([fingerprint(t, 1) for t in texts], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([sketch(t, shingle) for t in texts], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    rows = documents(docs).where("doc_id is not null")
+    marks = materialise(map_batches(rows, run, "doc_id long, fp long, sketch binary").withColumn("kind", F.xxhash64("fp", "sketch")), "marks")
+    reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("sketch", "doc_id").alias("sketch")), "reps")
+    comp = connected_components(links(reps, distance, group_limit, similarity))
+    named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce("component", "rep").alias("component_id"))
+    named = materialise(named, "named")
+    return marks.join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")

@@ -433,3 +433,38 @@ def test_licence_triggers_cannot_be_avoided():
 def test_licence_plan_is_native(spark):
     plan = licences.matches(helpers.documents(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def shingles(text, n=5):
+    w = text.lower().split()
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def test_similar_documents_link_by_five_word_shingles(spark):
+    r = random.Random(3)
+    rows = []
+    for c in range(12):
+        words = helpers.prose(c, 300).split()
+        rows.append((len(rows), " ".join(words)))
+        for edits in (1, 2, 40):  # two near copies and a text that shares a part
+            copy = list(words)
+            for _ in range(edits):
+                copy[r.randrange(300)] = f"w{r.randrange(999)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, rows[0][1]), (901, None), (902, ""), (903, "two words"), (904, "two words"), (None, rows[0][1])]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(helpers.documents(spark, rows)).collect()}
+    for c in range(12):
+        near = [i for i in range(4 * c, 4 * c + 4) if len(shingles(rows[i][1]) & shingles(rows[4 * c][1])) / len(shingles(rows[i][1]) | shingles(rows[4 * c][1])) >= 0.85]
+        assert len(near) >= 3 and all(got[i] == 4 * c for i in near)
+        assert got[4 * c + 3] == 4 * c + 3
+    assert (got[900], got[901], got[902], got[903], got[904]) == (0, 901, 901, 903, 903) and None not in got
+    assert simhash.similar_documents(helpers.empty(spark)).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    words = helpers.prose(1, 3000).split()
+    for cut in (100, 600, 1500):
+        a, b = " ".join(words), " ".join(words[cut:])
+        truth = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+        x, y = (np.frombuffer(simhash.sketch(t), "<u8") for t in (a, b))
+        assert abs(1 - 2 * np.bitwise_count(x ^ y).sum() / simhash.SKETCH - truth) < 0.1
