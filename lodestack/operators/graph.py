@@ -141,3 +141,22 @@ def link_by_label(nodes: DataFrame, label: str, dictionary: DataFrame) -> DataFr
     key = F.lower(F.trim(F.regexp_replace(F.col(label), r"[\s.,:;]+$", "")))
     known = dictionary.groupBy(F.lower(F.trim("label")).alias("_key")).agg(F.min("id").alias("linked"), F.count_distinct("id").alias("_n")).where("_n = 1").drop("_n")
     return nodes.withColumn("_key", key).join(known, "_key", "left").drop("_key")
+
+
+def dependency_export(changed: DataFrame, edges: DataFrame, holdings: DataFrame, locations: list[str] | None = None, **more) -> DataFrame:
+    """``node, cause``: records to export because something they depend on changed, held at the given locations.
+
+    ``changed``: ``node, before, after`` (what a link shows of it); only a visible change counts.
+    ``holdings``: ``node, holder``.
+    """
+    visible = changed.where(~F.col("before").eqNullSafe(F.col("after"))).select("node")
+    reached = dependers(edges, visible, **more).select(F.col("root").alias("cause"), "node")
+    held = holdings.where(F.col("holder").isin(*locations)) if locations else holdings
+    return reached.join(held.select("node").distinct(), "node", "left_semi").select("node", "cause").distinct()
+
+
+def incremental_links(left_new: DataFrame, left_all: DataFrame, right_new: DataFrame, right_all: DataFrame, key: str) -> DataFrame:
+    """Pairs that share a key and of which at least one side is new: both directions, each pair once."""
+    a = left_new.join(right_all, key)
+    b = left_all.join(right_new, key)
+    return a.unionByName(b).distinct()

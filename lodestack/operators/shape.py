@@ -116,3 +116,17 @@ def year_of(column: Column) -> Column:
 def record_ids(*columns: str) -> Column:
     """All identifiers of a record, each once."""
     return F.array_distinct(F.filter(F.concat(*[F.col(c) for c in columns]), lambda v: v.isNotNull()))
+
+
+def classification_fields(array: Column, schemes: dict[str, str]) -> list[Column]:
+    """One array column for each scheme, from an array of ``struct<scheme, code>``."""
+    def of(scheme: str) -> Column:
+        return F.transform(F.filter(array, lambda x: x["scheme"] == F.lit(scheme)), lambda x: x["code"])
+
+    return [of(s).alias(name) for name, s in schemes.items()]
+
+
+def search_document(df: DataFrame, lenses: Lenses, type_: str, key: str, names: list[str]) -> DataFrame:
+    """What is searched of each record: texts of its chip, card and full lens, sort key, all ids."""
+    text = [F.lower(lenses.text(group, type_, df.columns, " ")).alias(f"_{group}_text") for group in ("chips", "cards", "full") if lenses.properties(group, type_)]
+    return df.select(key, *text, sort_key(lenses.text("chips", type_, df.columns, " ")).alias("_sort_key"), record_ids(*names).alias("_ids"))

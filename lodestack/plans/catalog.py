@@ -97,3 +97,20 @@ class FieldCatalog:
                 element = c.dataType.elementType if isinstance(c.dataType, T.ArrayType) else c.dataType
                 fields.append(Field(name, c.name, kind(element)))
         return FieldCatalog(fields, **more)
+
+
+class Labels:
+    """Terms by their labels and codes, without regard to case; a label of several terms is ambiguous."""
+
+    def __init__(self, entries: list[tuple[str, str]]):
+        self.terms: dict[str, set[str]] = {}
+        for label, term in entries:
+            self.terms.setdefault(" ".join(label.lower().split()), set()).add(term)
+
+    def get(self, label: str) -> str | None:
+        found = self.terms.get(" ".join(label.lower().split()), set())
+        return next(iter(found)) if len(found) == 1 else None
+
+    def ambiguous(self, label: str) -> list[str]:
+        found = self.terms.get(" ".join(label.lower().split()), set())
+        return sorted(found) if len(found) > 1 else []

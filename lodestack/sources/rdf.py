@@ -195,3 +195,55 @@ def select_pattern(quads: DataFrame, pattern: list[tuple[str, str, str]]) -> Dat
                 raise ValueError("a pattern's parts must share a variable")
             out = out.join(rows, shared)
     return out.distinct()
+
+
+def turtle(rows: list[tuple], prefixes: dict[str, str]) -> str:
+    """Turtle of statements ``(s, p, o, o_type, datatype, lang)``, grouped by subject and predicate."""
+    def short(iri: str) -> str:
+        if iri.startswith("_:"):
+            return iri
+        for p, full in sorted(prefixes.items(), key=lambda x: -len(x[1])):
+            if iri.startswith(full) and re.fullmatch(r"[A-Za-z_][\w-]*", iri[len(full) :]):
+                return f"{p}:{iri[len(full):]}"
+        return f"<{iri}>"
+
+    def value(o, kind, datatype, lang) -> str:
+        if kind != "literal":
+            return short(o)
+        text = o.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n").replace("\r", "\\r")
+        return f'"{text}"' + (f"@{lang}" if lang else f"^^{short(datatype)}" if datatype and datatype != XSD_STRING else "")
+
+    by: dict[str, dict[str, list[str]]] = {}
+    for s, p, *o in rows:
+        by.setdefault(s, {}).setdefault(p, []).append(value(*o))
+    head = "".join(f"@prefix {p}: <{iri}> .\n" for p, iri in sorted(prefixes.items()))
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    blocks = [short(s) + " " + " ;\n    ".join(("a" if p == kind else short(p)) + " " + ", ".join(os) for p, os in ps.items()) + " ." for s, ps in by.items()]
+    return head + "\n" + "\n\n".join(blocks) + "\n"
+
+
+def trig(graphs: dict[str, list[tuple]], prefixes: dict[str, str]) -> str:
+    """TriG of named graphs."""
+    head = "".join(f"@prefix {p}: <{iri}> .\n" for p, iri in sorted(prefixes.items()))
+    return head + "".join(f"\n<{g}> {{\n{turtle(rows, prefixes).split(chr(10) * 2, 1)[-1] if not prefixes else turtle(rows, prefixes)[len(head):].strip()}\n}}\n" for g, rows in graphs.items())
+
+
+def rdf_xml(rows: list[tuple]) -> str:
+    """RDF/XML of statements; predicates are cut at their last ``/`` or ``#``."""
+    from xml.sax.saxutils import escape, quoteattr
+
+    names: dict[str, str] = {}
+    out = []
+    for s, p, o, kind, datatype, lang in rows:
+        cut = max(p.rfind("/"), p.rfind("#")) + 1
+        ns = names.setdefault(p[:cut], f"n{len(names)}")
+        about = f"rdf:nodeID={quoteattr(s[2:])}" if s.startswith("_:") else f"rdf:about={quoteattr(s)}"
+        if kind == "literal":
+            more = f" xml:lang={quoteattr(lang)}" if lang else f" rdf:datatype={quoteattr(datatype)}" if datatype else ""
+            inner = f"<{ns}:{p[cut:]}{more}>{escape(o)}</{ns}:{p[cut:]}>"
+        else:
+            link = f"rdf:nodeID={quoteattr(o[2:])}" if o.startswith("_:") else f"rdf:resource={quoteattr(o)}"
+            inner = f"<{ns}:{p[cut:]} {link}/>"
+        out.append(f"<rdf:Description {about}>{inner}</rdf:Description>")
+    spaces = "".join(f' xmlns:{n}={quoteattr(iri)}' for iri, n in names.items())
+    return f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"{spaces}>' + "".join(out) + "</rdf:RDF>"
