@@ -3,8 +3,9 @@
 A string of ``LENGTH`` bytes (a window) always holds the same anchor, wherever it stands: the least
 of its ``GRAM``-byte hashes. Anchors bring equal windows together without shuffling the text:
 
-1. every run of windows with the same anchor sends the anchor's hash; hashes that only one document
-   has end here;
+1. every run of windows with the same anchor sends the anchor's hash and a few bits of the bytes
+   on either side: a window holds the anchor and at least ``GRAM`` bytes to its left or to its right,
+   so equal windows agree on one side; runs that agree with no other document end here;
 2. the other runs send their bytes to their anchor's task. Equal runs are kept once. Where an
    anchor's runs differ, an enhanced suffix array is built over them, a stack scan of its LCP array
    yields the tree of common-prefix intervals, and each interval whose occurrences have different
@@ -57,14 +58,16 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:-rest], x[rest:]) if rest else x
 
 
-def window_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of windows with the same anchor, within segments that begin at ``starts``.
 
-    Returns the anchor's hash, the first window, the number of windows and the segment of each run.
+    Returns the anchor's hash, the first window, the number of windows and the segment of each run,
+    and twelve bits of the ``GRAM`` bytes left and right of the anchor (zero: the segment ends there).
     """
     none = np.zeros(0, dtype=np.int64)
+    empty = (none.astype(np.uint64), none, none, none, none, none)
     if len(data) < LENGTH:
-        return none.astype(np.uint64), none, none, none
+        return empty
     h = _hashes(data)
     key = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     anchor = (_sliding_min(key, LENGTH - GRAM + 1) & _PLACE).astype(np.int64)
@@ -76,16 +79,24 @@ def window_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
         ok[at] = False
     place = np.flatnonzero(ok)
     if not len(place):
-        return none.astype(np.uint64), none, none, none
+        return empty
     a = anchor[place]
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (place[1:] != place[:-1] + 1)]))
-    first = place[new]
+    a, first = a[new], place[new]
     count = np.diff(np.append(new, len(place)))
-    return h[a[new]], first, count, np.searchsorted(starts, first, side="right") - 1
+    segment = np.searchsorted(starts, first, side="right") - 1
 
+    def side(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        bits = (h[np.clip(at, 0, len(h) - 1)] >> np.uint64(50)).astype(np.int64) % 4095 + 1
+        return np.where(inside, bits, 0)
 
-def document_runs(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of many documents: document number, anchor hash, first byte and number of windows of each run."""
+    left = side(a - GRAM, a - GRAM >= starts[segment])
+    right = side(a + GRAM, a + 2 * GRAM <= ends[segment])
+    return h[a], first, count, segment, left, right
+
+
+def document_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Runs of many documents: document number, anchor hash, first byte, number of windows, bits of both sides."""
     segments: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -93,9 +104,9 @@ def document_runs(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, n
         data = np.frombuffer(b"".join(s[2] for s in segments), dtype=np.uint8)
         sizes = np.array([len(s[2]) for s in segments])
         starts = np.cumsum(sizes) - sizes
-        h, first, count, seg = window_runs(data, starts)
+        h, first, count, seg, left, right = window_runs(data, starts)
         doc, offset = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
-        return doc[seg], h, first - starts[seg] + offset[seg], count
+        return doc[seg], h, first - starts[seg] + offset[seg], count, left, right
 
     for i, text in enumerate(texts):
         if len(text) < LENGTH:
@@ -116,15 +127,15 @@ def _ordinals(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(new, np.diff(np.append(new, len(doc))))
 
 
-def _gather(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """All runs of a batch: row, hash, first byte, windows, number within the row; and the texts."""
+def _gather(batch: pa.RecordBatch) -> tuple:
+    """All runs of a batch: row, hash, first byte, windows, number within the row, bits of both sides; and the texts."""
     texts = [t.as_py().encode("utf-8", "replace") for t in batch.column("text")]
     parts = list(document_runs(texts))
     if not parts:
         z = np.zeros(0, dtype=np.int64)
-        return z, z.astype(np.uint64), z, z, z, texts
-    doc, h, first, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    return doc, h, first, count, _ordinals(doc), texts
+        return z, z.astype(np.uint64), z, z, z, z, z, texts
+    doc, h, first, count, left, right = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    return doc, h, first, count, _ordinals(doc), left, right, texts
 
 
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -315,9 +326,11 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, h, _, _, number, _ = _gather(batch)
+            doc, h, _, _, number, left, right, _ = _gather(batch)
             ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
-            rows = [(k, _pack(h[at], ids[doc[at]], tags[doc[at]], number[at].astype("<i4"))) for k, at in _by_bucket(h, buckets)]
+            # forty bits of the hash (a bucket's size does not grow with the corpus), then both sides
+            sent = (h << np.uint64(24)) | (left.astype(np.uint64) << np.uint64(12)) | right.astype(np.uint64)
+            rows = [(k, _pack(sent[at], ids[doc[at]], tags[doc[at]], number[at].astype("<i4"))) for k, at in _by_bucket(h, buckets)]
             if rows:
                 yield batch_of(["bucket", "data"], [pa.int32(), pa.binary()], list(zip(*rows, strict=True)))
 
@@ -325,17 +338,22 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for blobs in _grouped(batches):
             parts = [_unpack(b, "<u8", "<i8", "<i8", "<i4") for b in blobs]
             h, doc, tag, number = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            order = np.argsort(h, kind="stable")
-            new = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) > 0]))
-            least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
-            kept = order[np.repeat(least < most, np.diff(np.append(new, len(h))))]
+            kept = np.zeros(len(h), dtype=bool)
+            for key, bits in ((h >> np.uint64(12), h >> np.uint64(12)), ((h >> np.uint64(24) << np.uint64(12)) | (h & np.uint64(4095)), h)):
+                known = np.flatnonzero(bits & np.uint64(4095))  # that side is there
+                if not len(known):
+                    continue
+                order = known[np.argsort(key[known], kind="stable")]
+                new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+                least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
+                kept[order[np.repeat(least < most, np.diff(np.append(new, len(order))))]] = True
             out = _per_document(doc[kept], tag[kept], number[kept][:, None].astype("<i4"))
             if out is not None:
                 yield out
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, h, first, count, number, texts = _gather(batch)
+            doc, h, first, count, _, _, _, texts = _gather(batch)
             ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
             wanted = np.zeros(len(doc), dtype=bool)
             begin = np.searchsorted(doc, np.arange(len(texts)))
