@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestack.llm import decontaminate, licences, packing, pages, pii, quality, repeats, simhash, tokenfile, vectors
+from lodestack.llm import decontaminate, licences, packing, pages, pii, quality, repeats, simhash, sql, tokenfile, vectors
 from lodestack.llm.common import table
 
 #: Vocabulary of the token operators.
@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licences": op10_licences,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_repeats": sql.REPEATS, "op10_licences": sql.licences()}
