@@ -176,7 +176,7 @@ def _linked(limit: int, similarity: float | None):
             child, root = index.forest(limit)
         else:
             sketches = np.frombuffer(b"".join(x for p in parts for x in p[3]), dtype="<u8").reshape(-1, SKETCH // 64)
-            child, root = index.forest(limit, sketches=sketches, similarity=similarity)
+            child, root = index.forest(limit, 256, sketches, similarity)
         return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
 
 
 #: Distance of single-word fingerprints within which similar texts are sought, and the size of a group.
-WIDE_DISTANCE, WIDE_GROUP = 5, 2000
+WIDE_DISTANCE, WIDE_GROUP = 4, 8000
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = WIDE_DISTANCE, group_limit: int = WIDE_GROUP) -> DataFrame:
