@@ -7,7 +7,9 @@ The folder is the one the session names in ``spark.checkpoint.dir``. Only where
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,7 +41,9 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -49,12 +53,22 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the JVM drop shuffle files of finished steps whose plans are no longer referenced."""
-    import gc
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote, once nothing will read it again."""
+    path = getattr(df, "_scratch_path", None)
+    if path:
+        remove(df.sparkSession, path)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+
+def release(spark: SparkSession, rounds: int = 2) -> None:
+    """Let the JVM drop shuffle files of finished steps whose plans are no longer referenced.
+
+    Python's references go first, then the JVM's; Spark's cleaner works beside this thread.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 @atexit.register
