@@ -38,15 +38,17 @@ def padding(length: int, size: int = SIZE) -> int:
 
 def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions in ascending order and their penalties."""
-    whole = np.union1d(np.flatnonzero(ends[ids]) + 1, doc_ends)
-    whole = np.union1d(whole[(whole > 0) & (whole < len(ids))], [0, len(ids)])
+    is_doc = np.zeros(len(ids) + 1, dtype=bool)
+    is_doc[doc_ends] = True
+    is_whole = is_doc.copy()
+    is_whole[1:] |= ends[ids]
+    is_whole[0] = is_whole[-1] = True
+    whole = np.flatnonzero(is_whole)
     gaps = np.diff(whole)
     parts = -(-gaps // step)
     inner = np.repeat(whole[:-1], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * step
     at = np.append(inner, len(ids))
-    cost = np.full(len(at), INNER_CUT)
-    cost[np.isin(at, whole)] = SENTENCE_CUT
-    cost[np.isin(at, doc_ends)] = DOCUMENT_CUT
+    cost = np.where(is_doc[at], DOCUMENT_CUT, np.where(is_whole[at], SENTENCE_CUT, INNER_CUT))
     cost[0] = cost[-1] = 0.0
     return at, cost
 
@@ -85,7 +87,9 @@ def pack(lengths: list[int], ids: np.ndarray, ends: np.ndarray, size: int = SIZE
     """Pieces of a block: document number, start in it, length, sequence number, offset in it."""
     doc_ends = np.cumsum(lengths)
     chosen = np.array(cuts(*candidates(ids, ends, doc_ends), size))
-    bounds = np.union1d(chosen, np.concatenate([[0], doc_ends]))
+    cut = np.zeros(len(ids) + 1, dtype=bool)
+    cut[chosen] = cut[doc_ends] = True
+    bounds = np.flatnonzero(cut)
     start, length = bounds[:-1], np.diff(bounds)
     doc = np.searchsorted(doc_ends, start, side="right")
     sequence = np.searchsorted(chosen, start, side="right") - 1
