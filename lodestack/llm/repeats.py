@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import batch_of, documents
-from lodestack.scratch import materialise, release
+from lodestack.scratch import discard, materialise, release
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that are hashed at once; longer documents are cut into overlapping segments.
@@ -376,10 +376,11 @@ def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
     found = spread(named.mapInArrow(anchors, "bucket int, data binary")).mapInArrow(repeated, "doc_id long, tag long, data binary")
-    numbers = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("numbers")), "numbers")
+    listed = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("numbers")), "numbers")
     release(spark)
-    numbers = numbers.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "numbers")
+    numbers = listed.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "numbers")
     shared = materialise(named.join(numbers, (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag"))).select("doc_id", "tag", "text", "numbers"), "shared")
+    discard(listed)
     release(spark)
     found = spread(shared.mapInArrow(runs, "bucket int, data binary")).mapInArrow(covered, "doc_id long, tag long, data binary")
     spans = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("spans")), "spans")
