@@ -13,6 +13,7 @@ task gets an unbounded group and no link is lost. A task returns a spanning fore
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,13 @@ FANOUT = 8
 #: One-bit values of a sketch; the standard error of a similarity of 0.8 is 0.019. Estimates this
 #: little below a threshold pass, as a missed copy costs more than a near miss.
 SKETCH, MARGIN = 1024, 0.01
+#: MinHash bands: texts with a similarity of J share one with probability 1 - (1 - J^5)^24, which is
+#: 0.99993 at 0.8, wherever in the texts they differ.
+BANDS, BAND_ROWS = 24, 5
+#: Groups of a band up to this size are compared in bulk; larger ones row by row against what is not linked yet.
+BULK_GROUP = 64
+#: Sketches of a group that a task holds in memory; those of a larger group are mapped from a file.
+HELD_SKETCHES = 1 << 18
 #: Distinct fingerprints of a band value that one task compares without further division.
 GROUP_LIMIT = 600
 #: Hot band values that are broadcast (16 bytes each); more of them go by a shuffle join.
@@ -74,18 +82,41 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 _RANDOM = np.random.default_rng(42).integers(1, 1 << 62, size=(2, SKETCH), dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(text: str, shingle: int = 5) -> bytes:
-    """One-bit MinHash of the word shingles; texts of fewer words are one shingle."""
+def shingle_hashes(text: str, shingle: int = 5) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles; texts of fewer words are one shingle."""
     words = text.encode("utf-8", "replace").lower().split()
     n = max(1, len(words) - shingle + 1)
     h = xxhash.xxh64_intdigest
-    grams = np.unique(np.array([h(b" ".join(words[i : i + shingle]), 7) for i in range(n)], dtype=np.uint64))
+    return np.unique(np.array([h(b" ".join(words[i : i + shingle]), 7) for i in range(n)], dtype=np.uint64))
+
+
+def least_hashes(grams: np.ndarray) -> np.ndarray:
+    """MinHash: the least value of the shingles under each of the random functions."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(grams), 256):
         least = np.minimum(least, (grams[at : at + 256, None] * _RANDOM[0] + _RANDOM[1]).min(axis=0))
+    return least
+
+
+def one_bit(least: np.ndarray) -> bytes:
+    """One bit of each least value."""
     return np.packbits(((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)).astype(np.uint8)).tobytes()
 
 
+def sketch(text: str, shingle: int = 5) -> bytes:
+    """One-bit MinHash of the word shingles; texts of fewer words are one shingle."""
+    return one_bit(least_hashes(shingle_hashes(text, shingle)))
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band: equal exactly if all least values of the band are (but for hash collisions)."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column) * np.uint64(0xD6E8FEB86659FD93)
+        key ^= key >> np.uint64(32)
+    return key.view(np.int64)
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Position of each code word in the reflected Gray sequence."""
     x = x.copy()
@@ -94,6 +125,20 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the ends of each pair, and all that is joined to them, their smallest label (in place)."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        high = np.maximum(label[a], label[b])
+        differ = low != high
+        if not differ.any():
+            break
+        a, b, low, high = a[differ], b[differ], low[differ], high[differ]
+        np.minimum.at(label, high, low)
+        while (label != label[label]).any():
+            label[:] = label[label]
+
+
 class GrayIndex:
     """Tree over fingerprints in (group, Gray rank) order; searches stay within a group."""
 
@@ -137,46 +182,22 @@ class GrayIndex:
         pairs = node > q
         return q[pairs], node[pairs]
 
-    def forest(self, limit: int, step: int = 1024, sketches: np.ndarray | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Spanning forest of all links: original positions of a child and of its root.
-
-        With sketches (rows of words, in original order) a pair links only if they agree enough.
-        """
-        differ_most = (1 - similarity + MARGIN) / 2 * SKETCH
+    def forest(self, limit: int, step: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+        """Spanning forest of all links: original positions of a child and of its root."""
         label = np.arange(len(self.codes))
         for start in range(0, len(label), step):
             a, b = self.search(start, min(start + step, len(label)), limit)
-            if sketches is not None:
-                same = np.zeros(len(a), dtype=bool)
-                for at in range(0, len(a), 1 << 16):
-                    x, y = self.order[a[at : at + (1 << 16)]], self.order[b[at : at + (1 << 16)]]
-                    same[at : at + (1 << 16)] = np.bitwise_count(sketches[x] ^ sketches[y]).sum(axis=1) <= differ_most
-                a, b = a[same], b[same]
-            while len(a):
-                low = np.minimum(label[a], label[b])
-                high = np.maximum(label[a], label[b])
-                differ = low != high
-                if not differ.any():
-                    break
-                a, b, low, high = a[differ], b[differ], low[differ], high[differ]
-                np.minimum.at(label, high, low)
-                while (label != label[label]).any():
-                    label = label[label]
+            unite(label, a, b)
         child = np.flatnonzero(label != np.arange(len(label)))
         return self.order[child], self.order[label[child]]
 
 
-def _linked(limit: int, similarity: float | None):
-    """Arrow function over rows (key, fp, rep, sketch) sorted by key: links of each key's fingerprints."""
+def _linked(limit: int):
+    """Arrow function over rows (key, fp, rep) sorted by key: links of each key's fingerprints."""
 
     def flush(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, fp, rep = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        index = GrayIndex(key, fp.view(np.uint64))
-        if similarity is None:
-            child, root = index.forest(limit)
-        else:
-            sketches = np.frombuffer(b"".join(x for p in parts for x in p[3]), dtype="<u8").reshape(-1, SKETCH // 64)
-            child, root = index.forest(limit, 256, sketches, similarity)
+        child, root = GrayIndex(key, fp.view(np.uint64)).forest(limit)
         return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root])], names=["src", "dst"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,13 +206,12 @@ def _linked(limit: int, similarity: float | None):
             if not batch.num_rows:
                 continue
             key, fp, rep = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "rep"))
-            sk = batch.column("sketch").to_pylist() if similarity is not None else []
             cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             if cut:
-                held.append((key[:cut], fp[:cut], rep[:cut], sk[:cut]))
+                held.append((key[:cut], fp[:cut], rep[:cut]))
                 yield flush(held)
                 held = []
-            held.append((key[cut:], fp[cut:], rep[cut:], sk[cut:]))
+            held.append((key[cut:], fp[cut:], rep[cut:]))
         if held:
             yield flush(held)
 
@@ -222,14 +242,13 @@ def _split_hot(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
     return marked.where("n is null").drop("n"), marked.where("n is not null")
 
 
-def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, similarity: float | None = None) -> DataFrame:
+def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Links ``src, dst`` between the ``rep`` of distinct fingerprints (``fp, rep``) that are near.
 
-    Transitively complete: two fingerprints within ``distance`` bits (and, with ``similarity``, whose
-    ``sketch`` agrees enough) are connected by the links.
+    Transitively complete: two fingerprints within ``distance`` bits are connected by the links.
     """
     bands = _bands(64, distance + 1)
-    carried = ["fp", "rep", *(["sketch"] if similarity is not None else [])]
+    carried = ["fp", "rep"]
     keys = F.array(*[F.xxhash64(F.lit(i), _bits(b)) for i, b in enumerate(bands)])
     rows = reps.select(*carried, F.posexplode(keys).alias("band", "key"))
     plain, hot = _split_hot(rows, group_limit)
@@ -251,7 +270,7 @@ def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT, si
     for p in parts[1:]:
         rows = rows.unionByName(p)
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance, similarity), "src long, dst long")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
@@ -272,28 +291,162 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-#: Distance of single-word fingerprints within which similar texts are sought, and the size of a group.
-WIDE_DISTANCE, WIDE_GROUP = 4, 8000
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by their first column ``key``, those that share it with another row."""
+    last, again = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        key = batch.column(0).to_numpy(zero_copy_only=False)
+        same = key[1:] == key[:-1]
+        kept = np.concatenate([[again], same]) | np.concatenate([same, [False]])
+        last, again = batch.slice(len(key) - 1), bool(kept[-1])
+        yield batch.slice(0, len(key) - 1).filter(pa.array(kept[:-1]))
+    if again:
+        yield last
+
+
+def _compared(accept: float, reject: float):
+    """Arrow function over rows (key, rep, kind, sketch) sorted by key: links within each key.
+
+    Sketches that differ in at most ``accept`` bits link for sure, in more than ``reject`` bits never.
+    Of the sure links a spanning forest is returned; a pair in between is returned unless sure links
+    of its key join it.
+    """
+
+    def differences(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), dtype=np.int64)
+        for at in range(0, len(a), 1 << 15):
+            part = slice(at, at + (1 << 15))
+            out[part] = np.bitwise_count(sketches[a[part]] ^ sketches[b[part]]).sum(axis=1)
+        return out
+
+    def bulk(key: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Label of each row (its smallest row by sure links) and the doubtful pairs."""
+        label = np.arange(len(key))
+        room = np.searchsorted(key, key, side="right") - 1 - label  # later rows of the same key
+        order = np.argsort(-room, kind="stable")
+        least = -room[order]
+        doubtful = []
+        for step in range(1, int(room.max(initial=0)) + 1):
+            a = order[: np.searchsorted(least, -step, side="right")]
+            a = a[label[a] != label[a + step]]
+            d = differences(sketches, a, a + step)
+            unite(label, a[d <= accept], a[d <= accept] + step)
+            a = a[(d > accept) & (d <= reject)]
+            doubtful.append(np.stack([a, a + step]))
+        a, b = np.concatenate(doubtful, axis=1) if doubtful else np.empty((2, 0), dtype=np.int64)
+        apart = label[a] != label[b]
+        return label, a[apart], b[apart]
+
+    def one_by_one(sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Links of one large group, whose linked rows are never compared with each other."""
+        rest = np.arange(len(sketches))
+        while len(rest):
+            queue, rest = [rest[0]], rest[1:]
+            found = []
+            while queue and len(rest):
+                at = queue.pop()
+                d = differences(sketches, np.full(len(rest), at), rest)
+                near = rest[d <= accept]
+                between = rest[(d > accept) & (d <= reject)]
+                found.append(np.stack([np.full(len(between), at), between]))
+                rest = rest[d > accept]
+                if len(near):
+                    yield near, np.full(len(near), at), True
+                    queue += list(near)
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                apart = np.isin(b, rest)  # the others have joined by sure links
+                if apart.any():
+                    yield a[apart], b[apart], False
+
+    def out(rep: np.ndarray, kind: np.ndarray, a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(kind[a]), pa.array(kind[b]), pa.array(np.full(len(a), sure))], names=["src", "dst", "src_kind", "dst_kind", "sure"])
+
+    def flush(parts: list[tuple], spill) -> Iterator[pa.RecordBatch]:
+        key, rep, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        if spill.tell():
+            for p in parts:
+                spill.write(p[3])
+            spill.flush()
+            sketches = np.memmap(spill, dtype="<u8", mode="r").reshape(-1, SKETCH // 64)
+        else:
+            sketches = np.frombuffer(b"".join(p[3] for p in parts), dtype="<u8").reshape(-1, SKETCH // 64)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        small = np.repeat(sizes <= BULK_GROUP, sizes)
+        if small.any():
+            at = np.flatnonzero(small)
+            label, a, b = bulk(key[at], sketches[at])
+            child = np.flatnonzero(label != np.arange(len(label)))
+            yield out(rep, kind, at[child], at[label[child]], True)
+            yield out(rep, kind, at[a], at[b], False)
+        for first, size in zip(starts[sizes > BULK_GROUP], sizes[sizes > BULK_GROUP], strict=True):
+            for a, b, sure in one_by_one(sketches[first : first + size]):
+                yield out(rep, kind, first + a, first + b, sure)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        rows = 0
+        spill = tempfile.TemporaryFile()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, rep, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "kind"))
+            sk = b"".join(batch.column("sketch").to_pylist())
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+            if cut:
+                held.append((key[:cut], rep[:cut], kind[:cut], sk[: cut * SKETCH // 8]))
+                yield from flush(held, spill)
+                held, rows = [], 0
+                if spill.tell():
+                    spill.close()
+                    spill = tempfile.TemporaryFile()
+            held.append((key[cut:], rep[cut:], kind[cut:], sk[cut * SKETCH // 8 :]))
+            rows += len(key) - cut
+            if rows > HELD_SKETCHES:
+                for p in held:
+                    spill.write(p[3])
+                held = [(*p[:3], b"") for p in held]
+        if held:
+            yield from flush(held, spill)
+        spill.close()
+
+    return run
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, distance: int = WIDE_DISTANCE, group_limit: int = WIDE_GROUP) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` with an id: texts linked by similar shingles.
 
-    Equal texts always link; other texts link if the sketches of their five-word shingles estimate a
-    Jaccard similarity of at least ``similarity`` and their single-word fingerprints differ in at
-    most ``distance`` bits. ``component_id`` is the smallest ``doc_id`` reachable. Null text counts
-    as empty; repeated rows each give a row; an empty table gives an empty result.
+    Equal texts always link; other texts link if they share a MinHash band of their five-word
+    shingles and their sketches estimate a Jaccard similarity of at least ``similarity``.
+    ``component_id`` is the smallest ``doc_id`` reachable. Null text counts as empty; repeated rows
+    each give a row; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch):
-        texts = batch.column("text").to_pylist()
-        fps = np.array([fingerprint(t, 1) for t in texts], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([sketch(t, shingle) for t in texts], pa.binary())], names=["doc_id", "fp", "sketch"])
+        sketches, keys = [], []
+        for t in batch.column("text"):
+            least = least_hashes(shingle_hashes(t.as_py(), shingle))
+            sketches.append(one_bit(least))
+            keys.append(band_keys(least))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.binary()), bands], names=["doc_id", "sketch", "bands"])
 
     rows = documents(docs).where("doc_id is not null")
-    marks = materialise(map_batches(rows, run, "doc_id long, fp long, sketch binary").withColumn("kind", F.xxhash64("fp", "sketch")), "marks")
-    reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), F.min_by("fp", "doc_id").alias("fp"), F.min_by("sketch", "doc_id").alias("sketch")), "reps")
-    comp = connected_components(links(reps, distance, group_limit, similarity))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = materialise(map_batches(rows, run, "doc_id long, sketch binary, bands array<long>").withColumn("kind", F.xxhash64("sketch", "bands")), "marks")
+    first = F.min_by(F.struct("sketch", "bands"), "doc_id").alias("first")
+    reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), first).select("kind", "rep", "first.*"), "reps")
+    spread = reps.select(F.explode("bands").alias("key"), "rep", "kind").repartition(n, "key").sortWithinPartitions("key")
+    shared = materialise(spread.mapInArrow(_repeated, "key long, rep long, kind long"), "shared")
+    groups = shared.join(reps.select("kind", "sketch"), "kind").select("key", "rep", "kind", "sketch")
+    most = (1 - similarity + MARGIN) / 2 * SKETCH
+    pairs = groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(most, most), "src long, dst long, src_kind long, dst_kind long, sure boolean")
+    comp = connected_components(pairs)
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
-    return marks.join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")
+    return marks.select("doc_id", "kind").join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")

@@ -468,3 +468,51 @@ def test_sketches_estimate_similarity():
         truth = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
         x, y = (np.frombuffer(simhash.sketch(t), "<u8") for t in (a, b))
         assert abs(1 - 2 * np.bitwise_count(x ^ y).sum() / simhash.SKETCH - truth) < 0.1
+
+
+def test_contiguous_edits_stay_near_duplicates(spark):
+    r = random.Random(11)
+    vocabulary = [f"{w}{i}" for w in helpers.WORDS for i in range(40)]
+
+    def text(n):
+        return [r.choice(vocabulary) for _ in range(n)]
+
+    rows, near = [], []
+    for c in range(60):
+        words = text(r.randint(100, 600))
+        n = len(words)
+        cut = words[: n - n // 8] if c % 2 else words + text(n // 8)
+        rows += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(cut))]
+        a, b = shingles(rows[-1][1]), shingles(rows[-2][1])
+        near.append(len(a & b) / len(a | b))
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(helpers.documents(spark, rows)).collect()}
+    assert min(near) > 0.85 and all(got[2 * c] == got[2 * c + 1] == 2 * c for c in range(60))
+
+
+def test_large_groups_link_like_small_ones(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(40):
+        sketch = rng.integers(0, 1 << 63, 16, dtype=np.uint64)
+        for _ in range(5):
+            rows.append((i // 20, sketch.copy()))
+            sketch[rng.integers(16)] ^= np.uint64(rng.integers(1, 1 << 62))
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["key", "rep", "kind", "sketch"])
+    want = {(a, b) for a in range(200) for b in range(a) if rows[a][0] == rows[b][0]}
+    bits = {(a, b): int(np.bitwise_count(rows[a][1] ^ rows[b][1]).sum()) for a, b in want}
+
+    def joined(links):
+        label = np.arange(200)
+        simhash.unite(label, np.array([a for a, b in links], dtype=int), np.array([b for a, b in links], dtype=int))
+        return label.tolist()
+
+    sure = joined([p for p, d in bits.items() if d <= 40])
+    doubtful = {p for p, d in bits.items() if 40 < d <= 110 and sure[p[0]] != sure[p[1]]}
+    for bulk, held, step in ((1000, 1000, 200), (1, 1000, 7), (1, 10, 30)):
+        monkeypatch.setattr(simhash, "BULK_GROUP", bulk)
+        monkeypatch.setattr(simhash, "HELD_SKETCHES", held)
+        out = [x for b in simhash._compared(40, 110)(batch.slice(i, step) for i in range(0, 200, step)) for x in b.to_pylist()]
+        assert joined([(x["src"], x["dst"]) for x in out if x["sure"]]) == sure
+        assert {(max(x["src"], x["dst"]), min(x["src"], x["dst"])) for x in out if not x["sure"]} == doubtful and doubtful
