@@ -27,9 +27,9 @@ from lodestack.operators.components import connected_components
 from lodestack.scratch import materialise
 
 FANOUT = 8
-#: One-bit values of a sketch; the standard error of a similarity of 0.8 is 0.019. Estimates this
-#: little below a threshold pass, as a missed copy costs more than a near miss.
-SKETCH, MARGIN = 1024, 0.01
+#: One-bit values of a sketch; the standard error of a similarity of 0.8 is 0.019. Estimates within
+#: this many standard errors of the threshold are not final: the shingles themselves decide.
+SKETCH, ERRORS = 1024, 4
 #: MinHash bands: texts with a similarity of J share one with probability 1 - (1 - J^5)^24, which is
 #: 0.99993 at 0.8, wherever in the texts they differ.
 BANDS, BAND_ROWS = 24, 5
@@ -37,6 +37,8 @@ BANDS, BAND_ROWS = 24, 5
 BULK_GROUP = 64
 #: Sketches of a group that a task holds in memory; those of a larger group are mapped from a file.
 HELD_SKETCHES = 1 << 18
+#: Shingles of a group's sets that a task holds in memory, likewise.
+HELD_GRAMS = 1 << 23
 #: Distinct fingerprints of a band value that one task compares without further division.
 GROUP_LIMIT = 600
 #: Hot band values that are broadcast (16 bytes each); more of them go by a shuffle join.
@@ -308,21 +310,24 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield last
 
 
+def differences(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits the sketches of the rows ``a`` and ``b`` differ."""
+    out = np.empty(len(a), dtype=np.int64)
+    for at in range(0, len(a), 1 << 15):
+        part = slice(at, at + (1 << 15))
+        out[part] = np.bitwise_count(sketches[a[part]] ^ sketches[b[part]]).sum(axis=1)
+    return out
+
+
 def _compared(accept: float, reject: float):
     """Arrow function over rows (key, rep, kind, sketch) sorted by key: links within each key.
 
     Sketches that differ in at most ``accept`` bits link for sure, in more than ``reject`` bits never.
-    Of the sure links a spanning forest is returned; a pair in between is returned unless sure links
-    of its key join it.
+    Of the sure links a spanning forest is returned (``src, dst``). A row that has a pair in between,
+    which no sure links of its key join, is returned as ``key, kind``: rows, not pairs, so the
+    output never grows with the square of a group.
     """
 
-    def differences(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a), dtype=np.int64)
-        for at in range(0, len(a), 1 << 15):
-            part = slice(at, at + (1 << 15))
-            out[part] = np.bitwise_count(sketches[a[part]] ^ sketches[b[part]]).sum(axis=1)
-        return out
-
     def bulk(key: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Label of each row (its smallest row by sure links) and the doubtful pairs."""
         label = np.arange(len(key))
@@ -363,8 +368,13 @@ def _compared(accept: float, reject: float):
                 if apart.any():
                     yield a[apart], b[apart], False
 
-    def out(rep: np.ndarray, kind: np.ndarray, a: np.ndarray, b: np.ndarray, sure: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b]), pa.array(kind[a]), pa.array(kind[b]), pa.array(np.full(len(a), sure))], names=["src", "dst", "src_kind", "dst_kind", "sure"])
+    def sure_links(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(src), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), none, none], names=["src", "dst", "key", "kind"])
+
+    def in_doubt(key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(kind)], names=["src", "dst", "key", "kind"])
 
     def flush(parts: list[tuple], spill) -> Iterator[pa.RecordBatch]:
         key, rep, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
@@ -382,11 +392,18 @@ def _compared(accept: float, reject: float):
             at = np.flatnonzero(small)
             label, a, b = bulk(key[at], sketches[at])
             child = np.flatnonzero(label != np.arange(len(label)))
-            yield out(rep, kind, at[child], at[label[child]], True)
-            yield out(rep, kind, at[a], at[b], False)
+            yield sure_links(rep[at[child]], rep[at[label[child]]])
+            doubt = at[np.union1d(a, b)]
+            yield in_doubt(key[doubt], kind[doubt])
         for first, size in zip(starts[sizes > BULK_GROUP], sizes[sizes > BULK_GROUP], strict=True):
+            doubt = np.zeros(size, dtype=bool)
             for a, b, sure in one_by_one(sketches[first : first + size]):
-                yield out(rep, kind, first + a, first + b, sure)
+                if sure:
+                    yield sure_links(rep[first + a], rep[first + b])
+                else:
+                    doubt[a] = doubt[b] = True
+            doubt = first + np.flatnonzero(doubt)
+            yield in_doubt(key[doubt], kind[doubt])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -418,12 +435,109 @@ def _compared(accept: float, reject: float):
     return run
 
 
+def common(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many members of the sorted set ``one`` are in each of the sets at ``starts`` of ``flat``."""
+    out = np.empty(len(starts), dtype=np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(starts):  # about a million members at a time
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
+        others = np.concatenate([flat[s : s + n] for s, n in zip(starts[at:stop], sizes[at:stop], strict=True)])
+        hit = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+        out[at:stop] = np.add.reduceat(hit, np.cumsum(sizes[at:stop]) - sizes[at:stop], dtype=np.int64)
+        at = stop
+    return out
+
+
+def _decided(accept: float, reject: float, similarity: float):
+    """Arrow function over rows (key, rep, component, sketch, bands, grams) sorted by key.
+
+    Pairs of a key that the sketches leave open and that no links join yet link if the Jaccard
+    similarity of their whole shingle sets is high enough. A pair is decided in its first common band.
+    """
+
+    def links_of(key: int, parts: list[tuple], spill) -> pa.RecordBatch:
+        rep, component, sketches, bands, sizes = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        if spill.tell():
+            for p in parts:
+                spill.write(p[5].tobytes())
+            spill.flush()
+            flat = np.memmap(spill, dtype=np.uint64, mode="r")
+        else:
+            flat = np.concatenate([p[5] for p in parts])
+        starts = np.cumsum(sizes) - sizes
+        label = np.unique(component, return_inverse=True)[1]
+        src, dst = [], []
+        for i in range(len(rep) - 1):
+            others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            d = differences(sketches, np.full(len(others), i), others)
+            others = others[(d > accept) & (d <= reject)]
+            same = bands[others] == bands[i]
+            others = others[bands[i][same.argmax(axis=1)] == key]
+            if len(others):
+                both = common(flat[starts[i] : starts[i] + sizes[i]], flat, starts[others], sizes[others])
+                for j in others[both / (sizes[i] + sizes[others] - both) >= similarity]:
+                    if label[j] != label[i]:
+                        label[label == label[j]] = label[i]
+                        src.append(rep[j])
+                        dst.append(rep[i])
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
+        spill = tempfile.TemporaryFile()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+            for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and key[first] != now:
+                    yield links_of(now, held, spill)
+                    held, size = [], 0
+                    if spill.tell():
+                        spill.close()
+                        spill = tempfile.TemporaryFile()
+                now, part = key[first], batch.slice(first, stop - first)
+                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype="<u8").reshape(-1, SKETCH // 64)
+                bands = part.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+                sizes = part.column("grams").value_lengths().to_numpy().astype(np.int64)
+                grams = part.column("grams").flatten().to_numpy().view(np.uint64)
+                held.append((part.column("rep").to_numpy(), part.column("component").to_numpy(), sketches, bands, sizes, grams))
+                size += len(grams)
+                if size > HELD_GRAMS:
+                    for p in held:
+                        spill.write(p[5].tobytes())
+                    held = [(*p[:5], p[5][:0]) for p in held]
+        if held:
+            yield links_of(now, held, spill)
+        spill.close()
+
+    return run
+
+
+def shingle_sets(kinds: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """``kind, grams``: all shingle hashes of one text of each of the ``kinds``; only these texts are fetched.
+
+    ``reps`` names a document ``rep`` and the hash ``text_hash`` of its text for each kind.
+    """
+    wanted = kinds.join(reps.select("kind", "rep", "text_hash"), "kind")
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("text_hash"))).select("kind", "text")
+
+    def run(batch: pa.RecordBatch):
+        sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column("text")]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["kind", "grams"])
+
+    return map_batches(texts, run, "kind long, grams array<long>").dropDuplicates(["kind"])
+
+
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` with an id: texts linked by similar shingles.
 
     Equal texts always link; other texts link if they share a MinHash band of their five-word
-    shingles and their sketches estimate a Jaccard similarity of at least ``similarity``.
-    ``component_id`` is the smallest ``doc_id`` reachable. Null text counts as empty; repeated rows
+    shingles and have a Jaccard similarity of at least ``similarity``: by their sketches where these
+    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable. Null text counts as empty; repeated rows
     each give a row; an empty table gives an empty result.
     """
 
@@ -434,19 +548,26 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
             sketches.append(one_bit(least))
             keys.append(band_keys(least))
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sketches, pa.binary()), bands], names=["doc_id", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sketches, pa.binary()), bands], names=["doc_id", "text_hash", "sketch", "bands"])
 
     rows = documents(docs).where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = materialise(map_batches(rows, run, "doc_id long, sketch binary, bands array<long>").withColumn("kind", F.xxhash64("sketch", "bands")), "marks")
-    first = F.min_by(F.struct("sketch", "bands"), "doc_id").alias("first")
+    marks = materialise(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, sketch binary, bands array<long>").withColumn("kind", F.xxhash64("sketch", "bands")), "marks")
+    first = F.min_by(F.struct("text_hash", "sketch", "bands"), "doc_id").alias("first")
     reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), first).select("kind", "rep", "first.*"), "reps")
     spread = reps.select(F.explode("bands").alias("key"), "rep", "kind").repartition(n, "key").sortWithinPartitions("key")
     shared = materialise(spread.mapInArrow(_repeated, "key long, rep long, kind long"), "shared")
     groups = shared.join(reps.select("kind", "sketch"), "kind").select("key", "rep", "kind", "sketch")
-    most = (1 - similarity + MARGIN) / 2 * SKETCH
-    pairs = groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(most, most), "src long, dst long, src_kind long, dst_kind long, sure boolean")
-    comp = connected_components(pairs)
+    error = ERRORS * ((1 - similarity) * (1 + similarity) / SKETCH) ** 0.5
+    accept, reject = (1 - similarity - error) / 2 * SKETCH, (1 - similarity + error) / 2 * SKETCH
+    found = materialise(groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(accept, reject), "src long, dst long, key long, kind long"), "found")
+    comp = materialise(connected_components(found.where("src is not null")), "sure")
+    doubtful = found.where("key is not null").select("key", "kind")
+    grams = materialise(shingle_sets(doubtful.select("kind").distinct(), rows, reps, shingle), "grams")
+    known = reps.join(comp, reps["rep"] == comp["node"], "left").select("kind", "rep", F.coalesce("component", "rep").alias("component"), "sketch", "bands").join(grams, "kind")
+    doubtful = doubtful.join(known, "kind").select("key", "rep", "component", "sketch", "bands", "grams")
+    more = doubtful.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_decided(accept, reject, similarity), "src long, dst long")
+    comp = connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
     named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce("component", "rep").alias("component_id"))
     named = materialise(named, "named")
     return marks.select("doc_id", "kind").join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")

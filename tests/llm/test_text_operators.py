@@ -509,10 +509,34 @@ def test_large_groups_link_like_small_ones(monkeypatch):
         return label.tolist()
 
     sure = joined([p for p, d in bits.items() if d <= 40])
-    doubtful = {p for p, d in bits.items() if 40 < d <= 110 and sure[p[0]] != sure[p[1]]}
+    doubtful = {x for p, d in bits.items() for x in p if 40 < d <= 110 and sure[p[0]] != sure[p[1]]}
     for bulk, held, step in ((1000, 1000, 200), (1, 1000, 7), (1, 10, 30)):
         monkeypatch.setattr(simhash, "BULK_GROUP", bulk)
         monkeypatch.setattr(simhash, "HELD_SKETCHES", held)
         out = [x for b in simhash._compared(40, 110)(batch.slice(i, step) for i in range(0, 200, step)) for x in b.to_pylist()]
-        assert joined([(x["src"], x["dst"]) for x in out if x["sure"]]) == sure
-        assert {(max(x["src"], x["dst"]), min(x["src"], x["dst"])) for x in out if not x["sure"]} == doubtful and doubtful
+        assert joined([(x["src"], x["dst"]) for x in out if x["key"] is None]) == sure
+        assert [x["kind"] for x in out if x["key"] is not None] and {x["kind"] for x in out if x["key"] is not None} == doubtful
+
+
+def test_similarity_at_the_threshold_is_exact(spark):
+    r = random.Random(12)
+    rows, want = [], {}
+    for c in range(150):
+        words = [f"{r.choice(helpers.WORDS)}{r.randrange(10**6)}" for _ in range(204)]  # 200 shingles
+        kept = r.choice([154, 156, 158, 159, 160, 160, 161, 162])  # of them: 160 are a similarity of 0.8
+        rows += [(2 * c, " ".join(words)), (2 * c + 1, " ".join(words[: kept + 4]))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        want[2 * c] = 2 * c
+        want[2 * c + 1] = 2 * c if len(a & b) / len(a | b) >= 0.8 else 2 * c + 1
+    hub = [f"h{i}" for i in range(204)]  # a large group around the threshold, its members linked only through the hub
+    rows += [(1000, " ".join(hub))] + [(1001 + i, " ".join(hub[: 160 + i % 2 * 4] + [f"x{i}"])) for i in range(80)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(helpers.documents(spark, rows)).collect()}
+    assert {i: got[i] for i in want if i < 1000} == {i: c for i, c in want.items() if i < 1000}
+    sets = {i: shingles(t) for i, t in rows if i >= 1000}
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if label[a] != label[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    assert {i: got[i] for i in label} == label
