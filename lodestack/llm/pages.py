@@ -27,8 +27,6 @@ from lodestack.scratch import materialise
 
 #: A class is template if this share of a host's pages, and at least this many pages, hold it.
 SUPPORT, LEAST_PAGES = 0.5, 3
-#: Text inside an article is template only if all of that many pages or more of a host hold it.
-ARTICLE_PAGES = 8
 #: Text tokens are template candidates up to this many characters; longer nodes are never boilerplate.
 NODE_CHARS = 300
 
@@ -162,14 +160,14 @@ class Page:
             k = token("<" + path)
             counts[k] = counts.get(k, 0) + 1
         for path, _, inside, text in self.blocks:
-            if len(text) <= NODE_CHARS:
-                k = token(path + ">" + text, inside)
+            if not inside and len(text) <= NODE_CHARS:
+                k = token(path + ">" + text)
                 counts[k] = counts.get(k, 0) + 1
         return counts
 
     def main_text(self, template: frozenset[int] | set[int]) -> str:
         """The page's own blocks: those of its slots that hold main text and that no class explains."""
-        own = [(path, inside, text) for path, kept, inside, text in self.blocks if kept and not (len(text) <= NODE_CHARS and token(path + ">" + text, inside) in template)]
+        own = [(path, inside, text) for path, kept, inside, text in self.blocks if kept and (inside or not (len(text) <= NODE_CHARS and token(path + ">" + text) in template))]
         if any(inside for _, inside, _ in own):
             own = [x for x in own if x[1]]
         else:
@@ -178,9 +176,9 @@ class Page:
         return "\n\n".join(text for _, _, text in own)
 
 
-def token(name: str, inside: bool = False) -> int:
-    """64-bit name of a token; the lowest bit says that it stands inside an article."""
-    return (xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace")) >> 1 << 1) - (1 << 63) + inside
+def token(name: str) -> int:
+    """64-bit name of a token."""
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "replace")) - (1 << 63)
 
 
 def template_tokens(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -188,7 +186,8 @@ def template_tokens(pages: DataFrame, support: float = SUPPORT, least_pages: int
 
     ``pages`` has ``page_id, host, html``. The occurrence vector of a token is summed up as the
     number of pages, the number of occurrences, and the sum of a hash of (page, count) over pages;
-    equal vectors have equal sums. A class is valid if enough pages hold it.
+    equal vectors have equal sums. A class is valid if enough pages hold it. Rows that repeat a
+    ``page_id`` count as one page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,13 +202,11 @@ def template_tokens(pages: DataFrame, support: float = SUPPORT, least_pages: int
             yield batch_of(["host", "token", "page_id", "n"], [pa.string(), pa.int64(), pa.int64(), pa.int32()], [host, tok, page, n])
 
     seen = pages.select("page_id", "host", "html").mapInArrow(run, "host string, token long, page_id long, n int")
-    vectors = seen.groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum(F.xxhash64("page_id", "n").cast("decimal(20,0)")).alias("vector"))
+    vectors = seen.dropDuplicates(["host", "token", "page_id"]).groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum(F.xxhash64("page_id", "n").cast("decimal(20,0)")).alias("vector"))
     vectors = vectors.where(F.col("pages") >= least_pages)
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= least_pages).withColumnRenamed("host", "on_host")
+    sizes = pages.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= least_pages).withColumnRenamed("host", "on_host")
     frequent = vectors.join(sizes, vectors["host"] == sizes["on_host"])
-    article = F.col("token").bitwiseAND(1) == 1
-    enough = F.when(article, (F.col("pages") == F.col("of")) & (F.col("of") >= ARTICLE_PAGES)).otherwise(F.col("pages") >= support * F.col("of"))
-    frequent = frequent.where(enough)
+    frequent = frequent.where(F.col("pages") >= support * F.col("of"))
     classes = frequent.groupBy("host", "pages", "times", "vector").agg(F.collect_set("token").alias("tokens"))
     return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
 
@@ -220,12 +217,13 @@ def main_text(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEA
     Blocks stand in page order, joined by two line feeds; white space inside a block is one space;
     character references are decoded. Null html counts as empty; pages without main text get the
     empty text. A page whose url is null or has no host belongs to the host "". A null ``page_id``
-    stays null; repeated rows each give a row; other columns are ignored. An empty table gives an
+    stays null; repeated rows each give a row, and rows with the same html are one page of the template; other columns are ignored. An empty table gives an
     empty result.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    templates = materialise(template_tokens(rows, support, least_pages).withColumnRenamed("host", "on_host"), "template")
+    contents = rows.select(F.xxhash64("html").alias("page_id"), "host", "html")
+    templates = materialise(template_tokens(contents, support, least_pages).withColumnRenamed("host", "on_host"), "template")
     joined = rows.join(templates, rows["host"] == templates["on_host"], "left").select("page_id", "url", "template", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

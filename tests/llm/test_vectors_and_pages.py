@@ -104,6 +104,17 @@ def test_classes_hold_tokens_with_equal_vectors(spark):
     assert pages.token("<nav") in row.template
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    inside = "<body><article><h1>Head</h1><p>Short text.</p></article></body>"
+    outside = "<body><h1>Head</h1><p>Short text.</p></body>"
+    rows = [(i, "http://copies.example/", inside) for i in range(12)]
+    rows += [(100 + i, "http://plain.example/", outside) for i in range(5)] + [(100, "http://plain.example/", outside)]
+    rows += [(200 + i, "http://series.example/", f"<body><div>Menu</div><article><h1>Column</h1><p>Text {i}.</p><p>To be continued</p></article></body>") for i in range(12)]
+    out = texts(spark, rows)
+    assert {out[i].text for i in [*range(12), *range(100, 105)]} == {"Head\n\nShort text."}
+    assert all(out[200 + i].text == f"Column\n\nText {i}.\n\nTo be continued" for i in range(12))
+
+
 def test_long_and_broken_markup_is_linear():
     for source in ("<" * 200_000, "<div " * 50_000, "<div class='" * 20_000, "a" * 500_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "&amp" * 50_000):
         pages.Page(source)
