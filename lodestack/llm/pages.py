@@ -1,13 +1,11 @@
-"""Main text of web pages by equivalence classes of template tokens.
-
-Every page becomes a sequence of tokens: tags with the path of open elements, and the words of its
-text nodes by place (a node's path and its whole content). For each host, a token's occurrence
-vector says how often each page has it. Tokens with the same vector form an equivalence class;
-classes that enough pages of the host share are template. The vector is never collected: a sum of
-hashes over pages, aggregated on the map side, stands for it, so a host may hold any share of all
-pages. Classes nest by the paths of their tags; between the tags of the template lie the slots, and
-the text of a slot that no class explains is the page's own. Slots under elements that hold no main
-text (menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out.
+"""Main text of web pages by a support filter over template tokens, host by host.
+
+Every page becomes a set of tokens: tags with the path of open elements, and whole text nodes of any
+length with their path. A token that enough of a host's distinct pages hold is template; a text
+block that is template is left out, unless it stands inside an article. The counts are aggregated on
+the map side, so a host may hold any share of all pages. Blocks under elements that hold no main text
+(menus, headers, footers, sidebars, notices, adverts, forms, comments) are left out by the names of
+tags, classes and roles. Equivalence classes of occurrence vectors, their nesting and slots are not built.
 """
 
 from __future__ import annotations
@@ -25,10 +23,8 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import batch_of
 from lodestack.scratch import materialise
 
-#: A class is template if this share of a host's pages, and at least this many pages, hold it.
+#: A token is template if this share of a host's pages, and at least this many pages, hold it.
 SUPPORT, LEAST_PAGES = 0.5, 3
-#: Text tokens are template candidates up to this many characters; longer nodes are never boilerplate.
-NODE_CHARS = 300
 
 # Names of elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -153,21 +149,15 @@ class Page:
                 del self.stack[i:]
                 return
 
-    def tokens(self) -> dict[int, int]:
-        """How often the page has each token; text tokens are those that can be boilerplate."""
-        counts: dict[int, int] = {}
-        for path in self.tags:
-            k = token("<" + path)
-            counts[k] = counts.get(k, 0) + 1
-        for path, _, inside, text in self.blocks:
-            if not inside and len(text) <= NODE_CHARS:
-                k = token(path + ">" + text)
-                counts[k] = counts.get(k, 0) + 1
-        return counts
+    def tokens(self) -> set[int]:
+        """The page's tokens; text inside an article can not be boilerplate and has none."""
+        out = {token("<" + path) for path in self.tags}
+        out.update(token(path + ">" + text) for path, _, inside, text in self.blocks if not inside)
+        return out
 
     def main_text(self, template: frozenset[int] | set[int]) -> str:
-        """The page's own blocks: those of its slots that hold main text and that no class explains."""
-        own = [(path, inside, text) for path, kept, inside, text in self.blocks if kept and (inside or not (len(text) <= NODE_CHARS and token(path + ">" + text) in template))]
+        """The page's own blocks: those that hold main text and are not template."""
+        own = [(path, inside, text) for path, kept, inside, text in self.blocks if kept and (inside or token(path + ">" + text) not in template)]
         if any(inside for _, inside, _ in own):
             own = [x for x in own if x[1]]
         else:
@@ -182,33 +172,28 @@ def token(name: str) -> int:
 
 
 def template_tokens(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``host, template``: for each host the tokens of its valid equivalence classes.
+    """``host, template``: for each host the tokens that enough of its pages hold.
 
-    ``pages`` has ``page_id, host, html``. The occurrence vector of a token is summed up as the
-    number of pages, the number of occurrences, and the sum of a hash of (page, count) over pages;
-    equal vectors have equal sums. A class is valid if enough pages hold it. Rows that repeat a
-    ``page_id`` count as one page.
+    ``pages`` has ``page_id, host, html``. Rows that repeat a ``page_id`` count as one page.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            host, tok, page, n = [], [], [], []
+            host, tok, page = [], [], []
             for p, h, source in zip(batch.column("page_id").to_pylist(), batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                for k, c in Page(source.as_py()).tokens().items():
-                    host.append(h)
-                    tok.append(k)
-                    page.append(p)
-                    n.append(c)
-            yield batch_of(["host", "token", "page_id", "n"], [pa.string(), pa.int64(), pa.int64(), pa.int32()], [host, tok, page, n])
-
-    seen = pages.select("page_id", "host", "html").mapInArrow(run, "host string, token long, page_id long, n int")
-    vectors = seen.dropDuplicates(["host", "token", "page_id"]).groupBy("host", "token").agg(F.count("*").alias("pages"), F.sum("n").alias("times"), F.sum(F.xxhash64("page_id", "n").cast("decimal(20,0)")).alias("vector"))
-    vectors = vectors.where(F.col("pages") >= least_pages)
+                tokens = Page(source.as_py()).tokens()
+                host += [h] * len(tokens)
+                tok += tokens
+                page += [p] * len(tokens)
+            yield batch_of(["host", "token", "page_id"], [pa.string(), pa.int64(), pa.int64()], [host, tok, page])
+
+    seen = pages.select("page_id", "host", "html").mapInArrow(run, "host string, token long, page_id long")
+    counts = seen.distinct().groupBy("host", "token").agg(F.count("*").alias("pages"))
+    counts = counts.where(F.col("pages") >= least_pages)
     sizes = pages.select("host", "page_id").distinct().groupBy("host").agg(F.count("*").alias("of")).where(F.col("of") >= least_pages).withColumnRenamed("host", "on_host")
-    frequent = vectors.join(sizes, vectors["host"] == sizes["on_host"])
+    frequent = counts.join(sizes, counts["host"] == sizes["on_host"])
     frequent = frequent.where(F.col("pages") >= support * F.col("of"))
-    classes = frequent.groupBy("host", "pages", "times", "vector").agg(F.collect_set("token").alias("tokens"))
-    return classes.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("template"))
+    return frequent.groupBy("host").agg(F.collect_set("token").alias("template"))
 
 
 def main_text(pages: DataFrame, support: float = SUPPORT, least_pages: int = LEAST_PAGES) -> DataFrame:

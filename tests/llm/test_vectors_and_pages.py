@@ -115,6 +115,13 @@ def test_copies_of_a_page_keep_their_text(spark):
     assert all(out[200 + i].text == f"Column\n\nText {i}.\n\nTo be continued" for i in range(12))
 
 
+def test_long_repeated_notices_are_template(spark):
+    notice = "These words stand on every page of the host. " * 20
+    rows = [(i, "http://n.example/", f"<body><div>{notice}</div><p>Story {i}.</p></body>") for i in range(6)]
+    out = texts(spark, rows)
+    assert all(out[i].text == f"Story {i}." for i in range(6))
+
+
 def test_long_and_broken_markup_is_linear():
     for source in ("<" * 200_000, "<div " * 50_000, "<div class='" * 20_000, "a" * 500_000, "<p>" * 50_000, "<!--" * 50_000, "<script>" * 20_000, "&amp" * 50_000):
         pages.Page(source)
