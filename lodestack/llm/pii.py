@@ -97,8 +97,8 @@ _INVISIBLE = "​‌‍⁠﻿­"
 # Names of the digits and of the signs, in the languages of the corpus.
 DIGIT_NAMES = {
     "zero": 0, "oh": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9,
-    "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
-    "zéro": 0, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
+    "null": 0, "eins": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "fuenf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9,
+    "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
 AT_NAMES = ("at", "@", "arroba", "arobase", "klammeraffe")
@@ -119,9 +119,11 @@ _DISGUISE = re.compile(
     rf"|(?P<dot>[ ]{{0,3}}(?:\[[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\]|\([ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\)|\{{[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\}}|<[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}>)[ ]{{0,3}})"
     rf"|(?P<word>[ ](?:at|arroba|arobase)[ ](?=[A-Za-z0-9-]+(?:[ ](?:{_dot_word})[ ]|[ ]?[\[({{<])))"
     rf"|(?P<stop>(?<=[A-Za-z0-9])[ ](?:{_dot_word})[ ](?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus[ ])?(?<![A-Za-z0-9])(?:{_digit}[ .-]{{0,2}}){{2,}})",
+    rf"|(?P<digits>(?:\bplus[ ])?(?<![A-Za-z0-9]){_digit}(?:[ .-]{{0,2}}{_digit})+)"
+    rf"|(?P<single>\b(?:{_named})\b)",
     re.IGNORECASE,
 )
+_DIGIT_OR_DOT = re.compile(rf"{_named}|[0-9]|(?<=[^ .-])\.(?=[^ .-])", re.IGNORECASE)
 _ONE = re.compile(rf"\b(?:{_named})\b", re.IGNORECASE)
 _BRACKETED = re.compile(rf"[\[({{<][ ]{{0,3}}(?:{_at}|{_dot})[ ]{{0,3}}[\])}}>]")
 _HIDDEN = re.compile(f"[{_INVISIBLE}]")
@@ -140,15 +142,21 @@ def may_change(plain: str) -> bool:
 
 
 class Rewritten:
-    """Text after the transducer, with the source place of every piece."""
+    """Text after the transducer, with the source place of every piece.
 
-    def __init__(self, source: str):
+    A dot alone between digits of a run that holds a spelled one stays a dot (addresses), or goes
+    with the other separators (card numbers) if ``dots`` is false; ``dotted`` says that there was one.
+    """
+
+    def __init__(self, source: str, dots: bool = True):
         odd = not source.isascii() and not _ODD.isdisjoint(source)
         plain = source.translate(_TABLE) if odd else source  # one sign for one sign
         self.changed = [(i, i + 1) for i, c in enumerate(source) if c in _ODD] if odd else []
         pieces, self.starts, self.sources = [], [], []  # of each piece: start here, (start, end, copied) there
         self.worded: list[tuple[int, int]] = []  # pieces that were plain words
+        self.dotted = False
         done = size = 0
+        dot_end = -1  # where the last dot piece ends
 
         def put(piece: str, start: int, end: int, copied: bool) -> None:
             nonlocal size
@@ -162,16 +170,23 @@ class Rewritten:
                 kind, start, end = m.lastgroup, *m.span()
                 if kind == "digits":
                     body = m.group()
-                    tail = len(body) - len(body.rstrip(" .-"))
-                    body, end = body[: len(body) - tail], end - tail
                     if not _ONE.search(body):
                         continue
-                    new = ("+" if body[:4].lower() == "plus" else "") + "".join(str(DIGIT_NAMES.get(d.lower(), d)) for d in re.findall(rf"{_named}|[0-9]", body, re.IGNORECASE))
+                    found = _DIGIT_OR_DOT.findall(body)
+                    self.dotted |= "." in found
+                    new = ("+" if body[:4].lower() == "plus" else "") + "".join(str(DIGIT_NAMES.get(d.lower(), d)) for d in found if dots or d != ".")
+                elif kind == "single":
+                    after = _DISGUISE.match(plain, end)
+                    if start != dot_end and not (after and after.lastgroup in ("dot", "stop")):
+                        continue
+                    new = str(DIGIT_NAMES[m.group().lower()])
                 else:
                     new = {"gone": "", "at": "@", "word": "@", "dot": ".", "stop": "."}[kind]
                 put(plain[done:start], done, start, True)
                 put(new, start, end, False)
                 self.changed.append((start, end))
+                if kind in ("dot", "stop"):
+                    dot_end = end
                 if kind in ("word", "stop"):
                     self.worded.append((start, end))
                 done = end
@@ -202,14 +217,19 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         return []
     taken: list[list[tuple[int, int]]] = [[(s, e) for s, k, e in base if k == kind] for kind in range(len(KINDS))]
     out = []
-    for start, kind, end in detect(new.text):
-        s, e = new.back(start, end)
-        if new.touches(new.changed, s, e):
-            if kind == 0 and new.touches(new.worded, s, e) and new.text[start:end].rpartition(".")[2].lower() not in DOMAINS:
-                continue  # words in a sentence
-            i = bisect.bisect_left(taken[kind], (e,)) - 1
-            if i < 0 or taken[kind][i][1] <= s:
-                out.append((s, kind, e))
+    for rewritten in (new, Rewritten(text, dots=False)) if new.dotted else (new,):
+        more = []
+        for start, kind, end in detect(rewritten.text):
+            s, e = rewritten.back(start, end)
+            if rewritten.touches(rewritten.changed, s, e):
+                if kind == 0 and rewritten.touches(rewritten.worded, s, e) and rewritten.text[start:end].rpartition(".")[2].lower() not in DOMAINS:
+                    continue  # words in a sentence
+                i = bisect.bisect_left(taken[kind], (e,)) - 1
+                if i < 0 or taken[kind][i][1] <= s:
+                    more.append((s, kind, e))
+        for s, kind, e in more:
+            bisect.insort(taken[kind], (s, e))
+        out += more
     return out
 
 

@@ -540,3 +540,28 @@ def test_similarity_at_the_threshold_is_exact(spark):
                 low, high = sorted((label[a], label[b]))
                 label = {i: low if x == high else x for i, x in label.items()}
     assert {i: got[i] for i in label} == label
+
+
+@pytest.mark.parametrize(
+    "disguise",
+    ["192 dot 168 dot 0 dot 1", "192 [dot] 168 [dot] 1 [dot] 20", "192.168.one.one", "one nine two dot one six eight dot zero dot one", "192 dot 168 dot one dot 1",
+     "one nine two.one six eight.0.one", "one dot 2 dot three dot 4", "eins punkt zwei punkt drei punkt fünf", "10 (dot) zero (dot) zero (dot) 7", "192.168 dot one.one"],
+)
+def test_disguised_addresses(disguise):
+    text = f"host: {disguise} is up"
+    assert pii.detect(text) == [] and pii.joined(pii.disguised(text, [])) == f"ip:6:{6 + len(disguise)}"
+    assert pii.redact(text, pii.disguised(text, [])) == "host: [IP] is up"
+
+
+@pytest.mark.parametrize(
+    "names",
+    ["zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "null eins zwei drei vier fuenf sechs sieben acht neun",
+     "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve"],
+)
+def test_all_digit_names(names):
+    assert pii.Rewritten(names).text == "0123456789"
+    text = f"call plus {names} now"
+    assert pii.joined(pii.disguised(text, pii.detect(text))) == f"phone:5:{len(text) - 4}"
+    d = names.split()
+    card = ".".join([d[4], *[d[1]] * 15])  # dots in a spelled card number are still left out
+    assert pii.joined(pii.disguised(card, pii.detect(card))).endswith(f"card:0:{len(card)}")
