@@ -1,28 +1,35 @@
 """Shared scratch storage: cuts lineage with files that every executor and the driver can read.
 
-The folder is the one the session names in ``spark.checkpoint.dir``. Only where that is unset
-(tests, local mode) a folder under the system's temporary directory is used.
+The folder is the one the session names in ``spark.checkpoint.dir``. In local mode, where driver and
+executors are one process, an unset one is replaced by a folder under the system's temporary
+directory; on a cluster an unset one is an error, since executors would write where nobody reads.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
+#: Spark's own switch: shuffle files go when the execution that made them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only if that is unset."""
+    """The folder in ``spark.checkpoint.dir``; a local one only if that is unset and the master is local."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         _made.append((spark, _own["dir"]))
@@ -36,11 +43,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, an execution's shuffle files are deleted as soon as it ends."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: survives lost executors, cuts lineage."""
+    """Write ``df`` to the shared folder and read it back: survives lost executors, cuts lineage.
+
+    The shuffle files behind it go with the write, whatever the driver still refers to.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    with _short_lived_shuffles(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -53,22 +78,16 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` wrote, once nothing will read it again."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        remove(df.sparkSession, path)
-
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables that ``materialise`` wrote, once nothing will read them again."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            remove(df.sparkSession, path)
 
-def release(spark: SparkSession, rounds: int = 2) -> None:
-    """Let the JVM drop shuffle files of finished steps whose plans are no longer referenced.
 
-    Python's references go first, then the JVM's; Spark's cleaner works beside this thread.
-    """
-    for _ in range(rounds):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def release(spark: SparkSession) -> None:
+    """Nothing is left to do here: ``materialise`` deletes the shuffle files of each step."""
 
 
 @atexit.register
