@@ -6,14 +6,18 @@ into a tree: each node keeps the bits on which all its descendants agree and tha
 yet (a masked pattern). A search walks the tree from the root, adds up the differences between the
 query and the masked patterns, and leaves a whole group as soon as the sum passes the limit.
 
-Bands with many distinct fingerprints are divided once more by the bits outside the band (the same
-pigeonhole argument), and what is still large is cut into salted halves that meet pairwise, so no
-task gets an unbounded group and no link is lost. A task returns a spanning forest of its links.
+A band value with many distinct fingerprints is divided by the bits outside the band (the same
+pigeonhole argument on fewer bits), again and again until its groups are small; after six divisions
+at most twelve bits are free, so a group is bounded by construction. No link is lost, and a task
+returns a spanning forest of its links.
+
+The stage for near-duplicates by five-word shingles (``similar_documents``) takes its candidates from
+MinHash bands instead: no fingerprint distance that the index can search reaches a shingle similarity
+of 0.8 (the README has the figures).
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import documents, map_batches
 from lodestack.operators.components import connected_components
-from lodestack.scratch import materialise
+from lodestack.scratch import discard, materialise
 
 FANOUT = 8
 #: One-bit values of a sketch; the standard error of a similarity of 0.8 is 0.019. Estimates within
@@ -35,14 +39,14 @@ SKETCH, ERRORS = 1024, 4
 BANDS, BAND_ROWS = 24, 5
 #: Groups of a band up to this size are compared in bulk; larger ones row by row against what is not linked yet.
 BULK_GROUP = 64
-#: Sketches of a group that a task holds in memory; those of a larger group are mapped from a file.
-HELD_SKETCHES = 1 << 18
-#: Shingles of a group's sets that a task holds in memory, likewise.
-HELD_GRAMS = 1 << 23
+#: Rows of a band value that one task compares; larger groups are linked to a pivot first, and what is left meets in cells of this size.
+CELL_ROWS = 2048
+#: Rows of a band value whose shingle sets one task holds, likewise.
+CELL_SETS = 256
 #: Distinct fingerprints of a band value that one task compares without further division.
 GROUP_LIMIT = 600
-#: Hot band values that are broadcast (16 bytes each); more of them go by a shuffle join.
-BROADCAST_ROWS = 10_000
+#: Bits that may stay free when fingerprints are divided no further: a group then has at most 4096 of them.
+FREE_BITS = 12
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -220,59 +224,50 @@ def _linked(limit: int):
     return run
 
 
-def _bands(total: int, bands: int, skip: tuple[int, int] | None = None) -> list[list[int]]:
-    """Bit positions outside ``skip`` (low, width) dealt into ``bands`` runs."""
-    bits = [b for b in range(total) if not (skip and skip[0] <= b < skip[0] + skip[1])]
-    cut = [round(i * len(bits) / bands) for i in range(bands + 1)]
-    return [bits[cut[i] : cut[i + 1]] for i in range(bands)]
+def _finer(fixed: int, parts: int) -> list[int]:
+    """Masks of ``fixed`` with one of ``parts`` runs of the other bits each."""
+    bits = [b for b in range(64) if not fixed >> b & 1]
+    cut = [round(i * len(bits) / parts) for i in range(parts + 1)]
+    return [fixed | sum(1 << b for b in bits[cut[i] : cut[i + 1]]) for i in range(parts)]
 
 
-def _bits(positions: list[int]):
-    """Column: the given bits of ``fp``."""
-    mask = sum(1 << p for p in positions)
-    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))
-
-
-def _split_hot(df: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows whose key has at most ``limit`` rows, and the others with their key's count ``n``."""
-    hot = materialise(df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot")
-    n_hot = hot.count()
-    if not n_hot:
-        return df, None
-    side = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
-    marked = df.join(side, "key", "left")
-    return marked.where("n is null").drop("n"), marked.where("n is not null")
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def links(reps: DataFrame, distance: int = 3, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Links ``src, dst`` between the ``rep`` of distinct fingerprints (``fp, rep``) that are near.
 
     Transitively complete: two fingerprints within ``distance`` bits are connected by the links.
+    A row's ``path`` says which runs of bits its group agrees on; its key is written out at every
+    level, and only the rows of large groups go on to the next one.
     """
-    bands = _bands(64, distance + 1)
-    carried = ["fp", "rep"]
-    keys = F.array(*[F.xxhash64(F.lit(i), _bits(b)) for i, b in enumerate(bands)])
-    rows = reps.select(*carried, F.posexplode(keys).alias("band", "key"))
-    plain, hot = _split_hot(rows, group_limit)
-    parts = [plain.select("key", *carried)]
-    if hot is not None:
-        finer = None
-        for i, b in enumerate(bands):
-            sub = F.array(*[F.xxhash64(F.col("band_key"), F.lit(j), _bits(s)) for j, s in enumerate(_bands(64, distance + 1, (b[0], len(b))))])
-            part = hot.where(F.col("band") == i).select(F.col("key").alias("band_key"), *carried).select(*carried, F.explode(sub).alias("key"))
-            finer = part if finer is None else finer.unionByName(part)
-        fine, hotter = _split_hot(finer.select("key", *carried), group_limit)
-        parts.append(fine.select("key", *carried))
-        if hotter is not None:
-            salts = F.ceil(F.col("n") * 2 / group_limit).cast("int")
-            cells = hotter.withColumn("salts", salts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-            cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-            parts.append(cells.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *carried))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows, masks, parts = reps.select("fp", "rep", F.lit(0).alias("path")), [0], []
+    while True:
+        finer = [_finer(m, distance + 1) for m in masks]
+        table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in finer])
+        dealt = rows.select("fp", "rep", "path", F.posexplode(F.element_at(table, F.col("path") + 1)).alias("band", "mask"))
+        path = (F.col("path") * (distance + 1) + F.col("band")).cast("int")
+        key = F.xxhash64(F.lit(len(parts)), path, F.col("fp").bitwiseAND(F.col("mask")))
+        dealt = materialise(dealt.select("fp", "rep", path.alias("path"), key.alias("key")), "dealt")
+        parts.append([dealt, None])
+        masks = [m for ms in finer for m in ms]
+        if min(m.bit_count() for m in masks) >= 64 - FREE_BITS:
+            break
+        hot = materialise(dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select(F.col("key").alias("hot_key")), "hot")
+        if hot.isEmpty():
+            discard(hot)
+            break
+        parts[-1][1] = hot
+        rows = dealt.join(hot, F.col("key") == F.col("hot_key"), "left_semi").select("fp", "rep", "path")
+    small = None
+    for dealt, hot in parts:
+        part = dealt if hot is None else dealt.join(hot, F.col("key") == F.col("hot_key"), "left_anti")
+        small = part.select("key", "fp", "rep") if small is None else small.unionByName(part.select("key", "fp", "rep"))
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "src long, dst long")
+    found = materialise(small.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linked(distance), "src long, dst long"), "links")
+    discard(*[x for p in parts for x in p])
+    return found
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
@@ -286,8 +281,10 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     """
     fps = materialise(fingerprints(docs, shingle), "fp")
     reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    comp = connected_components(links(reps, distance))
+    found = links(reps, distance)
+    comp = connected_components(found)
     named = materialise(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
+    discard(found, comp, reps)
     named = named.select(F.col("fp").alias("named_fp"), "component_id")
     out = fps.join(named, fps["fp"] == named["named_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
@@ -319,19 +316,48 @@ def differences(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarra
     return out
 
 
+def _links_and_doubts(src: np.ndarray, dst: np.ndarray, key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """Rows ``src, dst, key, kind``: sure links first, then rows in doubt."""
+    a, b = pa.nulls(len(src), pa.int64()), pa.nulls(len(key), pa.int64())
+    columns = [pa.concat_arrays(x) for x in ([pa.array(src), b], [pa.array(dst), b], [a, pa.array(key)], [a, pa.array(kind)])]
+    return pa.RecordBatch.from_arrays(columns, names=["src", "dst", "key", "kind"])
+
+
+def _sketches_of(batch: pa.RecordBatch, column: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype="<u8").reshape(-1, SKETCH // 64)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups, from rows sorted by ``cell``; groups are bounded by those who deal them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy()
+        cut = int(np.searchsorted(cell, cell[-1]))  # the last group may go on in the next batch
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or held[0].column("cell")[0].as_py() != cell[0]):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _compared(accept: float, reject: float):
-    """Arrow function over rows (key, rep, kind, sketch) sorted by key: links within each key.
+    """Arrow function over rows (cell, key, side, rep, kind, sketch) sorted by cell: links within each cell.
 
     Sketches that differ in at most ``accept`` bits link for sure, in more than ``reject`` bits never.
     Of the sure links a spanning forest is returned (``src, dst``). A row that has a pair in between,
-    which no sure links of its key join, is returned as ``key, kind``: rows, not pairs, so the
-    output never grows with the square of a group.
+    which no sure links of its cell join, is returned as ``key, kind``: rows, not pairs, so the
+    output never grows with the square of a group. In cells of two sides only pairs across count.
     """
 
-    def bulk(key: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def bulk(cell: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Label of each row (its smallest row by sure links) and the doubtful pairs."""
-        label = np.arange(len(key))
-        room = np.searchsorted(key, key, side="right") - 1 - label  # later rows of the same key
+        label = np.arange(len(cell))
+        room = np.searchsorted(cell, cell, side="right") - 1 - label  # later rows of the same cell
         order = np.argsort(-room, kind="stable")
         least = -room[order]
         doubtful = []
@@ -346,95 +372,123 @@ def _compared(accept: float, reject: float):
         apart = label[a] != label[b]
         return label, a[apart], b[apart]
 
-    def one_by_one(sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        """Links of one large group, whose linked rows are never compared with each other."""
-        rest = np.arange(len(sketches))
+    def one_by_one(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for one large group, whose linked rows are never compared with each other."""
+        rest, label = np.arange(len(sketches)), np.arange(len(sketches))
+        between = []
         while len(rest):
-            queue, rest = [rest[0]], rest[1:]
-            found = []
+            first, queue, rest = rest[0], [rest[0]], rest[1:]
             while queue and len(rest):
                 at = queue.pop()
                 d = differences(sketches, np.full(len(rest), at), rest)
-                near = rest[d <= accept]
-                between = rest[(d > accept) & (d <= reject)]
-                found.append(np.stack([np.full(len(between), at), between]))
+                near, doubt = rest[d <= accept], rest[(d > accept) & (d <= reject)]
+                between.append(np.stack([np.full(len(doubt), at), doubt]))
                 rest = rest[d > accept]
-                if len(near):
-                    yield near, np.full(len(near), at), True
-                    queue += list(near)
-            if found:
-                a, b = np.concatenate(found, axis=1)
-                apart = np.isin(b, rest)  # the others have joined by sure links
-                if apart.any():
-                    yield a[apart], b[apart], False
-
-    def sure_links(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(src), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), none, none], names=["src", "dst", "key", "kind"])
-
-    def in_doubt(key: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-        none = pa.nulls(len(key), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(key), pa.array(kind)], names=["src", "dst", "key", "kind"])
-
-    def flush(parts: list[tuple], spill) -> Iterator[pa.RecordBatch]:
-        key, rep, kind = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        if spill.tell():
-            for p in parts:
-                spill.write(p[3])
-            spill.flush()
-            sketches = np.memmap(spill, dtype="<u8", mode="r").reshape(-1, SKETCH // 64)
-        else:
-            sketches = np.frombuffer(b"".join(p[3] for p in parts), dtype="<u8").reshape(-1, SKETCH // 64)
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        small = np.repeat(sizes <= BULK_GROUP, sizes)
-        if small.any():
-            at = np.flatnonzero(small)
-            label, a, b = bulk(key[at], sketches[at])
-            child = np.flatnonzero(label != np.arange(len(label)))
-            yield sure_links(rep[at[child]], rep[at[label[child]]])
-            doubt = at[np.union1d(a, b)]
-            yield in_doubt(key[doubt], kind[doubt])
-        for first, size in zip(starts[sizes > BULK_GROUP], sizes[sizes > BULK_GROUP], strict=True):
-            doubt = np.zeros(size, dtype=bool)
-            for a, b, sure in one_by_one(sketches[first : first + size]):
-                if sure:
-                    yield sure_links(rep[first + a], rep[first + b])
-                else:
-                    doubt[a] = doubt[b] = True
-            doubt = first + np.flatnonzero(doubt)
-            yield in_doubt(key[doubt], kind[doubt])
+                label[near] = first
+                queue += list(near)
+        a, b = np.concatenate(between, axis=1) if between else np.empty((2, 0), dtype=np.int64)
+        apart = label[a] != label[b]
+        return label, a[apart], b[apart]
+
+    def across(sketches: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same for a cell of two sides."""
+        label, between = np.arange(len(side)), []
+        left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
+        if len(left) < len(right):
+            left, right = right, left
+        for at in right.tolist():
+            d = differences(sketches, np.full(len(left), at), left)
+            near = left[d <= accept]
+            unite(label, np.full(len(near), at), near)
+            doubt = left[(d > accept) & (d <= reject)]
+            between.append(np.stack([np.full(len(doubt), at), doubt]))
+        a, b = np.concatenate(between, axis=1) if between else np.empty((2, 0), dtype=np.int64)
+        apart = label[a] != label[b]
+        return label, a[apart], b[apart]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        rows = 0
-        spill = tempfile.TemporaryFile()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, rep, kind = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "kind"))
-            sk = b"".join(batch.column("sketch").to_pylist())
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            if cut:
-                held.append((key[:cut], rep[:cut], kind[:cut], sk[: cut * SKETCH // 8]))
-                yield from flush(held, spill)
-                held, rows = [], 0
-                if spill.tell():
-                    spill.close()
-                    spill = tempfile.TemporaryFile()
-            held.append((key[cut:], rep[cut:], kind[cut:], sk[cut * SKETCH // 8 :]))
-            rows += len(key) - cut
-            if rows > HELD_SKETCHES:
-                for p in held:
-                    spill.write(p[3])
-                held = [(*p[:3], b"") for p in held]
-        if held:
-            yield from flush(held, spill)
-        spill.close()
+        for group in _groups(batches):
+            cell, key, side, rep, kind = (group.column(c).to_numpy() for c in ("cell", "key", "side", "rep", "kind"))
+            sketches = _sketches_of(group)
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            sizes = np.diff(np.append(starts, len(cell)))
+            alone = (sizes > BULK_GROUP) | (np.maximum.reduceat(side, starts) > 0)
+            parts = [(np.flatnonzero(np.repeat(~alone, sizes)), None)] if not alone.all() else []
+            parts += [(np.arange(a, a + n), side[a : a + n]) for a, n in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True)]
+            for at, sides in parts:
+                label, a, b = bulk(cell[at], sketches[at]) if sides is None else across(sketches[at], sides) if sides.any() else one_by_one(sketches[at])
+                child, doubt = np.flatnonzero(label != np.arange(len(label))), at[np.union1d(a, b)]
+                yield _links_and_doubts(rep[at[child]], rep[at[label[child]]], key[doubt], kind[doubt])
 
     return run
 
 
+def _to_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In how many bits each row's sketch differs from its pivot's: ``key, rep, kind, p_rep, p_kind, bits``."""
+    names = ["key", "rep", "kind", "p_rep", "p_kind"]
+    for batch in batches:
+        if batch.num_rows:
+            bits = np.bitwise_count(_sketches_of(batch) ^ _sketches_of(batch, "p_sketch")).sum(axis=1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(bits)], names=[*names, "bits"])
+
+
+def _blocks(n: str, size: int):
+    """Column: blocks that ``n`` rows make."""
+    return F.ceil(F.col(n) / size).cast("int")
+
+
+def _up_to(n):
+    """Column: 0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _pairs_of_blocks(rows: DataFrame, blocks: str = "blocks") -> DataFrame:
+    """``rows`` with ``cell, side``: cut into blocks, of which any two meet in one cell."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")).withColumn("other", F.explode(_up_to(F.col(blocks))))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return dealt.withColumn("cell", F.xxhash64("key", F.lit("pair"), F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side)
+
+
+def _met(shared: DataFrame, sketches: DataFrame, accept: float, reject: float, cell_rows: int) -> DataFrame:
+    """``src, dst, key, kind``: links and rows in doubt of all band values (see ``_compared``).
+
+    ``shared`` has ``key, rep, kind``, ``sketches`` has ``kind, sketch``. A band value with over
+    ``cell_rows`` rows is linked to its smallest row (the pivot) first: the rows near the pivot are one
+    group and need not meet each other, so only the others meet them and themselves, in cells.
+    """
+    n = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["cell", "key", "side", "rep", "kind", "sketch"]
+    hot = materialise(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select(F.col("key").alias("hot_key")), "hot")
+    one_cell = [F.col("key").alias("cell"), "key", F.lit(0).alias("side"), "rep", "kind"]
+    if hot.isEmpty():
+        cells, more, old = shared.select(*one_cell), None, []
+    else:
+        cells = shared.join(hot, F.col("key") == F.col("hot_key"), "left_anti").select(*one_cell)
+        rows = materialise(shared.join(hot, F.col("key") == F.col("hot_key"), "left_semi").join(sketches, "kind").select("key", "rep", "kind", "sketch"), "large")
+        pivots = materialise(rows.groupBy(F.col("key").alias("p_key")).agg(F.min(F.struct("rep", "kind", "sketch")).alias("p")).select("p_key", F.col("p.rep").alias("p_rep"), F.col("p.kind").alias("p_kind"), F.col("p.sketch").alias("p_sketch")), "pivots")
+        judged = rows.join(pivots, F.col("key") == F.col("p_key")).mapInArrow(_to_pivot, "key long, rep long, kind long, p_rep long, p_kind long, bits int")
+        judged = materialise(judged.withColumn("near", F.col("bits") <= accept), "judged")
+        none = F.lit(None).cast("long")
+        sure = judged.where("near and rep <> p_rep").select(F.col("rep").alias("src"), F.col("p_rep").alias("dst"), none.alias("key"), none.alias("kind"))
+        doubt = judged.where((~F.col("near")) & (F.col("bits") <= reject)).select("key", F.explode(F.array("kind", "p_kind")).alias("kind")).distinct()
+        more = sure.unionByName(doubt.select(none.alias("src"), none.alias("dst"), "key", "kind"))
+        counts = judged.groupBy(F.col("key").alias("n_key")).agg(F.count_if("near").alias("near_rows"), F.count_if(~F.col("near")).alias("rest_rows"))
+        counts = materialise(counts.select("n_key", _blocks("near_rows", cell_rows).alias("near_blocks"), _blocks("rest_rows", cell_rows).alias("blocks")).where("blocks > 0"), "counts")
+        placed = judged.select("key", "rep", "kind", "near").join(counts, F.col("key") == F.col("n_key"))
+        rest = placed.where("not near")
+        own = F.pmod(F.xxhash64("rep"), F.when(F.col("near"), F.col("near_blocks")).otherwise(F.col("blocks"))).cast("int")
+        met = placed.withColumn("own", own).withColumn("other", F.explode(_up_to(F.when(F.col("near"), F.col("blocks")).otherwise(F.col("near_blocks")))))
+        ends = F.when(F.col("near"), F.col("own")).otherwise(F.col("other")), F.when(F.col("near"), F.col("other")).otherwise(F.col("own"))
+        met = met.withColumn("cell", F.xxhash64("key", F.lit("rest"), *ends)).withColumn("side", F.when(F.col("near"), 1).otherwise(2))
+        cells = cells.unionByName(_pairs_of_blocks(rest).select(*columns[:-1])).unionByName(met.select(*columns[:-1]))
+        old = [rows, pivots, judged, counts]
+    dealt = cells.join(sketches, "kind").select(*columns).repartition(n, "cell").sortWithinPartitions("cell")
+    found = dealt.mapInArrow(_compared(accept, reject), "src long, dst long, key long, kind long")
+    found = materialise(found if more is None else found.unionByName(more), "found")
+    discard(hot, *old)
+    return found
+
+
 def common(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """How many members of the sorted set ``one`` are in each of the sets at ``starts`` of ``flat``."""
     out = np.empty(len(starts), dtype=np.int64)
@@ -450,68 +504,34 @@ def common(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndar
 
 
 def _decided(accept: float, reject: float, similarity: float):
-    """Arrow function over rows (key, rep, component, sketch, bands, grams) sorted by key.
+    """Arrow function over rows (cell, key, side, rep, component, sketch, bands, grams) sorted by cell.
 
-    Pairs of a key that the sketches leave open and that no links join yet link if the Jaccard
+    Pairs of a cell that the sketches leave open and that no links join yet link if the Jaccard
     similarity of their whole shingle sets is high enough. A pair is decided in its first common band.
     """
 
-    def links_of(key: int, parts: list[tuple], spill) -> pa.RecordBatch:
-        rep, component, sketches, bands, sizes = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        if spill.tell():
-            for p in parts:
-                spill.write(p[5].tobytes())
-            spill.flush()
-            flat = np.memmap(spill, dtype=np.uint64, mode="r")
-        else:
-            flat = np.concatenate([p[5] for p in parts])
-        starts = np.cumsum(sizes) - sizes
-        label = np.unique(component, return_inverse=True)[1]
-        src, dst = [], []
-        for i in range(len(rep) - 1):
-            others = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            d = differences(sketches, np.full(len(others), i), others)
-            others = others[(d > accept) & (d <= reject)]
-            same = bands[others] == bands[i]
-            others = others[bands[i][same.argmax(axis=1)] == key]
-            if len(others):
-                both = common(flat[starts[i] : starts[i] + sizes[i]], flat, starts[others], sizes[others])
-                for j in others[both / (sizes[i] + sizes[others] - both) >= similarity]:
-                    if label[j] != label[i]:
-                        label[label == label[j]] = label[i]
-                        src.append(rep[j])
-                        dst.append(rep[i])
-        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, size = None, [], 0
-        spill = tempfile.TemporaryFile()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = batch.column("key").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            for first, stop in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and key[first] != now:
-                    yield links_of(now, held, spill)
-                    held, size = [], 0
-                    if spill.tell():
-                        spill.close()
-                        spill = tempfile.TemporaryFile()
-                now, part = key[first], batch.slice(first, stop - first)
-                sketches = np.frombuffer(b"".join(part.column("sketch").to_pylist()), dtype="<u8").reshape(-1, SKETCH // 64)
-                bands = part.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-                sizes = part.column("grams").value_lengths().to_numpy().astype(np.int64)
-                grams = part.column("grams").flatten().to_numpy().view(np.uint64)
-                held.append((part.column("rep").to_numpy(), part.column("component").to_numpy(), sketches, bands, sizes, grams))
-                size += len(grams)
-                if size > HELD_GRAMS:
-                    for p in held:
-                        spill.write(p[5].tobytes())
-                    held = [(*p[:5], p[5][:0]) for p in held]
-        if held:
-            yield links_of(now, held, spill)
-        spill.close()
+        for group in _groups(batches):
+            cell, key, side, rep, component = (group.column(c).to_numpy() for c in ("cell", "key", "side", "rep", "component"))
+            sketches, bands = _sketches_of(group), group.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            sizes, flat = group.column("grams").value_lengths().to_numpy().astype(np.int64), group.column("grams").flatten().to_numpy().view(np.uint64)
+            starts, label = np.cumsum(sizes) - sizes, np.unique(component, return_inverse=True)[1]
+            ends = np.searchsorted(cell, cell, side="right")
+            src, dst = [], []
+            for i in range(len(rep)):
+                others = i + 1 + np.flatnonzero((label[i + 1 : ends[i]] != label[i]) & ((side[i] == 0) | (side[i + 1 : ends[i]] != side[i])))
+                d = differences(sketches, np.full(len(others), i), others)
+                others = others[(d > accept) & (d <= reject)]
+                same = bands[others] == bands[i]
+                others = others[bands[i][same.argmax(axis=1)] == key[i]]
+                if len(others):
+                    both = common(flat[starts[i] : starts[i] + sizes[i]], flat, starts[others], sizes[others])
+                    for j in others[both / (sizes[i] + sizes[others] - both) >= similarity]:
+                        if label[j] != label[i]:
+                            label[label == label[j]] = label[i]
+                            src.append(rep[j])
+                            dst.append(rep[i])
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
     return run
 
@@ -532,13 +552,14 @@ def shingle_sets(kinds: DataFrame, docs: DataFrame, reps: DataFrame, shingle: in
     return map_batches(texts, run, "kind long, grams array<long>").dropDuplicates(["kind"])
 
 
-def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell_rows: int = CELL_ROWS, cell_sets: int = CELL_SETS) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` with an id: texts linked by similar shingles.
 
     Equal texts always link; other texts link if they share a MinHash band of their five-word
     shingles and have a Jaccard similarity of at least ``similarity``: by their sketches where these
-    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable. Null text counts as empty; repeated rows
-    each give a row; an empty table gives an empty result.
+    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable.
+    Null text counts as empty; rows with a null ``doc_id`` are left out; repeated rows each give a
+    row; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch):
@@ -557,17 +578,23 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), first).select("kind", "rep", "first.*"), "reps")
     spread = reps.select(F.explode("bands").alias("key"), "rep", "kind").repartition(n, "key").sortWithinPartitions("key")
     shared = materialise(spread.mapInArrow(_repeated, "key long, rep long, kind long"), "shared")
-    groups = shared.join(reps.select("kind", "sketch"), "kind").select("key", "rep", "kind", "sketch")
     error = ERRORS * ((1 - similarity) * (1 + similarity) / SKETCH) ** 0.5
     accept, reject = (1 - similarity - error) / 2 * SKETCH, (1 - similarity + error) / 2 * SKETCH
-    found = materialise(groups.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compared(accept, reject), "src long, dst long, key long, kind long"), "found")
-    comp = materialise(connected_components(found.where("src is not null")), "sure")
-    doubtful = found.where("key is not null").select("key", "kind")
-    grams = materialise(shingle_sets(doubtful.select("kind").distinct(), rows, reps, shingle), "grams")
-    known = reps.join(comp, reps["rep"] == comp["node"], "left").select("kind", "rep", F.coalesce("component", "rep").alias("component"), "sketch", "bands").join(grams, "kind")
-    doubtful = doubtful.join(known, "kind").select("key", "rep", "component", "sketch", "bands", "grams")
-    more = doubtful.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_decided(accept, reject, similarity), "src long, dst long")
-    comp = connected_components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(more))
-    named = reps.join(comp, reps["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce("component", "rep").alias("component_id"))
+    found = _met(shared, reps.select("kind", "sketch"), accept, reject, cell_rows)
+    discard(shared)
+    comp = connected_components(found.where("src is not null"))
+    known = materialise(reps.join(comp, reps["rep"] == comp["node"], "left").select("kind", "rep", "text_hash", F.coalesce("component", "rep").alias("component")), "known")
+    discard(comp)
+    # a band value whose rows in doubt have all been joined elsewhere is settled
+    doubtful = found.where("key is not null").select("key", "kind").distinct().join(known, "kind")
+    open_ = doubtful.groupBy(F.col("key").alias("o_key")).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("o_key", _blocks("n", cell_sets).alias("blocks"))
+    doubtful = materialise(doubtful.join(open_, F.col("key") == F.col("o_key")).select("key", "kind", "rep", "component", "blocks"), "doubtful")
+    grams = materialise(shingle_sets(doubtful.select("kind").distinct(), rows, known, shingle), "grams")
+    dealt = _pairs_of_blocks(doubtful).select("cell", "key", "side", "rep", "kind", "component").join(reps.select("kind", "sketch", "bands"), "kind").join(grams, "kind").drop("kind")
+    more = dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_decided(accept, reject, similarity), "src long, dst long")
+    more = materialise(more, "decided")
+    comp = connected_components(known.where("rep <> component").select(F.col("rep").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    named = known.join(comp, known["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce(comp["component"], known["rep"]).alias("component_id"))
     named = materialise(named, "named")
+    discard(found, doubtful, grams, more, comp, known, reps)
     return marks.select("doc_id", "kind").join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")

@@ -489,35 +489,52 @@ def test_contiguous_edits_stay_near_duplicates(spark):
     assert min(near) > 0.85 and all(got[2 * c] == got[2 * c + 1] == 2 * c for c in range(60))
 
 
-def test_large_groups_link_like_small_ones(monkeypatch):
-    import pyarrow as pa
-
-    rng = np.random.default_rng(4)
+def sketch_rows(seed, groups):
+    rng = np.random.default_rng(seed)
     rows = []
     for i in range(40):
         sketch = rng.integers(0, 1 << 63, 16, dtype=np.uint64)
         for _ in range(5):
-            rows.append((i // 20, sketch.copy()))
+            rows.append((i * groups // 40, sketch.copy()))
             sketch[rng.integers(16)] ^= np.uint64(rng.integers(1, 1 << 62))
-    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array(range(len(rows))), pa.array(range(len(rows))), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=["key", "rep", "kind", "sketch"])
-    want = {(a, b) for a in range(200) for b in range(a) if rows[a][0] == rows[b][0]}
-    bits = {(a, b): int(np.bitwise_count(rows[a][1] ^ rows[b][1]).sum()) for a, b in want}
+    bits = {(a, b): int(np.bitwise_count(rows[a][1] ^ rows[b][1]).sum()) for a in range(len(rows)) for b in range(a) if rows[a][0] == rows[b][0]}
 
     def joined(links):
-        label = np.arange(200)
+        label = np.arange(len(rows))
         simhash.unite(label, np.array([a for a, b in links], dtype=int), np.array([b for a, b in links], dtype=int))
         return label.tolist()
 
+    return rows, bits, joined
+
+
+def test_large_groups_link_like_small_ones(monkeypatch):
+    import pyarrow as pa
+
+    rows, bits, joined = sketch_rows(4, 2)
+    n = len(rows)
+    columns = {"cell": [k for k, _ in rows], "key": [k for k, _ in rows], "side": [0] * n, "rep": range(n), "kind": range(n)}
+    batch = pa.RecordBatch.from_arrays([*(pa.array(v) for v in columns.values()), pa.array([s.tobytes() for _, s in rows], pa.binary())], names=[*columns, "sketch"])
     sure = joined([p for p, d in bits.items() if d <= 40])
     doubtful = {x for p, d in bits.items() for x in p if 40 < d <= 110 and sure[p[0]] != sure[p[1]]}
-    for bulk, held, step in ((1000, 1000, 200), (1, 1000, 7), (1, 10, 30)):
+    for bulk, step in ((1000, 200), (1, 7), (1, 30)):
         monkeypatch.setattr(simhash, "BULK_GROUP", bulk)
-        monkeypatch.setattr(simhash, "HELD_SKETCHES", held)
         out = [x for b in simhash._compared(40, 110)(batch.slice(i, step) for i in range(0, 200, step)) for x in b.to_pylist()]
         assert joined([(x["src"], x["dst"]) for x in out if x["key"] is None]) == sure
         assert [x["kind"] for x in out if x["key"] is not None] and {x["kind"] for x in out if x["key"] is not None} == doubtful
 
 
+@pytest.mark.parametrize("cell_rows", [5, 37, 1000])
+def test_cells_lose_no_link(spark, cell_rows):
+    rows, bits, joined = sketch_rows(5, 3)
+    shared = spark.createDataFrame([(k, i, i) for i, (k, _) in enumerate(rows)], "key long, rep long, kind long")
+    sketches = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, (_, s) in enumerate(rows)], "kind long, sketch binary")
+    out = simhash._met(shared, sketches, 40, 110, cell_rows).collect()
+    sure = joined([p for p, d in bits.items() if d <= 40])
+    assert joined([(x.src, x.dst) for x in out if x.key is None]) == sure
+    doubtful = {x for p, d in bits.items() for x in p if 40 < d <= 110 and sure[p[0]] != sure[p[1]]}
+    assert doubtful <= {x.kind for x in out if x.key is not None}
+
+
 def test_similarity_at_the_threshold_is_exact(spark):
     r = random.Random(12)
     rows, want = [], {}
@@ -531,6 +548,7 @@ def test_similarity_at_the_threshold_is_exact(spark):
     hub = [f"h{i}" for i in range(204)]  # a large group around the threshold, its members linked only through the hub
     rows += [(1000, " ".join(hub))] + [(1001 + i, " ".join(hub[: 160 + i % 2 * 4] + [f"x{i}"])) for i in range(80)]
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(helpers.documents(spark, rows)).collect()}
+    assert got == {x.doc_id: x.component_id for x in simhash.similar_documents(helpers.documents(spark, rows), cell_rows=8, cell_sets=5).collect()}
     assert {i: got[i] for i in want if i < 1000} == {i: c for i, c in want.items() if i < 1000}
     sets = {i: shingles(t) for i, t in rows if i >= 1000}
     label = {i: i for i in sets}
