@@ -10,8 +10,9 @@ from lodestack.llm import pages, vectors  # noqa: E402
 
 
 def brute(rows, threshold=0.98):
-    ok = [(i, v, lab) for i, v, lab in rows if i is not None and lab is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
-    units = [np.array(v, dtype="<f4").astype(float) / np.linalg.norm(np.array(v, dtype="<f4").astype(float)) for _, v, _ in ok]
+    """By row number: links and component of the rows that can link."""
+    ok = [(k, i, v, lab) for k, (i, v, lab) in enumerate(rows) if i is not None and lab is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)]
+    units = [np.array(v, dtype="<f4").astype(float) / np.linalg.norm(np.array(v, dtype="<f4").astype(float)) for _, _, v, _ in ok]
     root, links = list(range(len(ok))), [0] * len(ok)
 
     def find(x):
@@ -21,18 +22,18 @@ def brute(rows, threshold=0.98):
 
     for a in range(len(ok)):
         for b in range(len(ok)):
-            if a != b and ok[a][2] == ok[b][2] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold:
+            if a != b and ok[a][3] == ok[b][3] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold:
                 links[a] += 1
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     least = {}
     for a in range(len(ok)):
-        least[find(a)] = min(least.get(find(a), 1 << 60), ok[a][0])
+        least[find(a)] = min(least.get(find(a), 1 << 60), ok[a][1])
     return {ok[a][0]: (links[a], least[find(a)]) for a in range(len(ok))}
 
 
-@pytest.mark.parametrize("block", [vectors.BLOCK, 5])
-def test_all_links_are_found(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "recall"), [(vectors.BLOCK, 1.0), (5, 1.0), (5, vectors.RECALL)])
+def test_all_links_are_found(spark, monkeypatch, block, recall):
     monkeypatch.setattr(vectors, "BLOCK", block)
     rng = np.random.default_rng(block)
     rows = []
@@ -41,17 +42,34 @@ def test_all_links_are_found(spark, monkeypatch, block):
         for _ in range(rng.integers(1, 8)):
             rows.append((len(rows), (centre + rng.normal(size=16) * rng.choice([0.02, 0.08, 0.2])).tolist(), int(c % 3)))
     rows += [(1000 + i, rows[0][1], 0) for i in range(30)]  # one vector many times
+    rows += [(3, rows[0][1], 0), (3, rows[1][1], 1), (3, rows[-1][1], 2), (5, rows[0][1], None)]  # one id with several vectors and labels
     rows += [(2000, None, 1), (2001, [], 1), (2002, [0.0] * 16, 1), (2003, [float("nan")] * 16, 1), (2004, [None] * 16, 1), (2005, [float("inf")] + [0.0] * 15, 1), (2006, rows[0][1], None), (2007, [1.0, 0.0, 2.0], 1), (2008, [2.0, 0.0, 4.0], 1), (2009, [1.0], 1), (None, rows[0][1], 0)]
     df = spark.createDataFrame([(i, v, lab, 1, "x") for i, v, lab in rows], "vec_id long, embedding array<float>, label int, component_id int, v string")
-    out = vectors.near_duplicates(df).collect()
-    assert len(out) == len(rows)
-    want = brute(rows)
-    for r in out:
-        assert (r.n_links, r.component_id) == want.get(r.vec_id, (0, r.vec_id)), r
-        assert r.kept == (r.vec_id is None or r.vec_id == r.component_id)
+    out = vectors.near_duplicates(df, recall=recall).collect()
+    found = brute(rows)
+    want = sorted((i if i is not None else -1, *found.get(k, (0, i if i is not None else -1))) for k, (i, _, _) in enumerate(rows))
+    assert sorted((r.vec_id if r.vec_id is not None else -1, r.n_links, r.component_id if r.component_id is not None else -1) for r in out) == want
+    assert all(r.kept == (r.vec_id is None or r.vec_id == r.component_id) for r in out)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_recall_of_the_traversal_and_its_visits():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(1)[:, None] * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * away / np.linalg.norm(away, axis=1)[:, None]  # pairs at the threshold itself
+    books = vectors.k_means(x[:2000, :32], 16), vectors.k_means(x[:2000, 32:], 16)
+    limit, exact = (vectors.stop_at(x[:2000], books, 0.98, r) for r in (vectors.RECALL, 1.0))
+    own = [vectors.bounds(y[:, p], c) for c, p in zip(books, (slice(None, 32), slice(32, None)), strict=True)]
+    asked = [vectors.bounds(x[:, p], c)[1] for c, p in zip(books, (slice(None, 32), slice(32, None)), strict=True)]
+    total = asked[0][np.arange(3000), own[0][0]] + asked[1][np.arange(3000), own[1][0]]
+    assert (total <= limit).mean() >= 0.999 and (total <= exact).all()
+    visits = [sum(1 for _ in vectors.multi_sequence(asked[0][i], asked[1][i], limit)) for i in range(300)]
+    assert np.mean(visits) < 20  # of 256
+
+
 def test_cells_come_nearest_first():
     rng = np.random.default_rng(0)
     a, b = rng.random(9), rng.random(7)
