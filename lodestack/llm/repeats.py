@@ -12,8 +12,10 @@ of its ``GRAM``-byte hashes. Anchors bring equal windows together without shuffl
    left neighbours is a maximal repeat, reported with all its occurrences;
 3. an occurrence is covered where a document with a smaller id has the same repeat.
 
-The tasks get hashes and runs in packed form, spread by hash; a passage that many documents share
-costs a few bytes for each of them.
+Tasks combine before they send: what a batch of documents shares is decided there, and only its
+smallest (and largest) document goes on, so a passage that stands in a third of all documents
+reaches its bucket once for each batch. An anchor with very many contexts is divided by the ``GRAM``
+bytes on either side: its runs go to one task for each side. Buckets are cut by the bytes of text.
 """
 
 from __future__ import annotations
@@ -24,17 +26,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import batch_of, documents
-from lodestack.scratch import discard, materialise, release
+from lodestack.scratch import discard, materialise
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text that are hashed at once; longer documents are cut into overlapping segments.
 SEGMENT, CHUNK = 1 << 19, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
+#: Bytes of text for each bucket: some 250,000 runs, of which a bucket holds a few tens of bytes each.
+BUCKET_BYTES = 1 << 22
+#: Runs of one anchor above which it is divided, and how many such anchors there can be at most (8 bytes each).
+HOT_RUNS, HOT_ANCHORS = 1 << 16, 1 << 20
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -59,13 +66,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def window_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with the same anchor, within segments that begin at ``starts``.
+    """Runs of neighbouring windows with the same anchor hash, within segments that begin at ``starts``.
 
-    Returns the anchor's hash, the first window, the number of windows and the segment of each run,
-    and twelve bits of the ``GRAM`` bytes left and right of the anchor (zero: the segment ends there).
+    Returns the anchor's hash, the first window, the number of windows and the segment of each run;
+    then, as (run, left, right), the hashes of the ``GRAM`` bytes on either side of its anchors (zero:
+    the segment ends there). A run has one such pair, or a few where its anchor repeats.
     """
     none = np.zeros(0, dtype=np.int64)
-    empty = (none.astype(np.uint64), none, none, none, none, none)
+    empty = (none.astype(np.uint64), none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
     if len(data) < LENGTH:
         return empty
     h = _hashes(data)
@@ -81,22 +89,24 @@ def window_runs(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
     if not len(place):
         return empty
     a = anchor[place]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (place[1:] != place[:-1] + 1)]))
-    a, first = a[new], place[new]
-    count = np.diff(np.append(new, len(place)))
+    gap = place[1:] != place[:-1] + 1
+    part = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | gap]))  # the same anchor place
+    new = part[np.concatenate([[True], (h[a[part[1:]]] != h[a[part[:-1]]]) | gap[part[1:] - 1]])]
+    run = np.searchsorted(new, part, side="right") - 1
+    first, count = place[new], np.diff(np.append(new, len(place)))
     segment = np.searchsorted(starts, first, side="right") - 1
+    a, of = a[part], segment[run]
 
     def side(at: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        bits = (h[np.clip(at, 0, len(h) - 1)] >> np.uint64(50)).astype(np.int64) % 4095 + 1
-        return np.where(inside, bits, 0)
+        return np.where(inside, h[np.clip(at, 0, len(h) - 1)] | np.uint64(1), np.uint64(0))
 
-    left = side(a - GRAM, a - GRAM >= starts[segment])
-    right = side(a + GRAM, a + 2 * GRAM <= ends[segment])
-    return h[a], first, count, segment, left, right
+    left, right = side(a - GRAM, a - GRAM >= starts[of]), side(a + GRAM, a + 2 * GRAM <= ends[of])
+    kept = np.concatenate([[True], (run[1:] != run[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])])
+    return h[anchor[first]], first, count, segment, run[kept], left[kept], right[kept]
 
 
 def document_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of many documents: document number, anchor hash, first byte, number of windows, bits of both sides."""
+    """Runs of many documents: document number, anchor hash, first byte, number of windows; then the sides (run, left, right)."""
     segments: list[tuple[int, int, bytes]] = []
     held = 0
 
@@ -104,9 +114,9 @@ def document_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
         data = np.frombuffer(b"".join(s[2] for s in segments), dtype=np.uint8)
         sizes = np.array([len(s[2]) for s in segments])
         starts = np.cumsum(sizes) - sizes
-        h, first, count, seg, left, right = window_runs(data, starts)
+        h, first, count, seg, *sides = window_runs(data, starts)
         doc, offset = np.array([s[0] for s in segments]), np.array([s[1] for s in segments])
-        return doc[seg], h, first - starts[seg] + offset[seg], count, left, right
+        return doc[seg], h, first - starts[seg] + offset[seg], count, *sides
 
     for i, text in enumerate(texts):
         if len(text) < LENGTH:
@@ -128,14 +138,60 @@ def _ordinals(doc: np.ndarray) -> np.ndarray:
 
 
 def _gather(batch: pa.RecordBatch) -> tuple:
-    """All runs of a batch: row, hash, first byte, windows, number within the row, bits of both sides; and the texts."""
+    """All runs of a batch: row, hash, first byte, windows, number within the row; their sides (run, left, right); the texts."""
     texts = [t.as_py().encode("utf-8", "replace") for t in batch.column("text")]
     parts = list(document_runs(texts))
     if not parts:
-        z = np.zeros(0, dtype=np.int64)
-        return z, z.astype(np.uint64), z, z, z, z, z, texts
-    doc, h, first, count, left, right = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    return doc, h, first, count, _ordinals(doc), left, right, texts
+        z, u = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        return z, u, z, z, z, (z, u, u), texts
+    doc, h, first, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    before = np.cumsum([0] + [len(p[0]) for p in parts])
+    sides = np.concatenate([p[4] + n for p, n in zip(parts, before)]), *(np.concatenate([p[i] for p in parts]) for i in (5, 6))
+    return doc, h, first, count, _ordinals(doc), sides, texts
+
+
+def _bits(side: np.ndarray) -> np.ndarray:
+    """Twelve bits of a side's hash; zero only if there is no such side."""
+    return np.where(side > 0, (side >> np.uint64(50)) % np.uint64(4095) + np.uint64(1), np.uint64(0))
+
+
+def _group_starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+
+
+def _shared(sent: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Whether each row (forty bits of an anchor's hash, then twelve of either side) agrees on a side with another document.
+
+    ``order`` sorts the rows.
+    """
+    out = np.zeros(len(sent), dtype=bool)
+    right = (sent >> np.uint64(24) << np.uint64(12)) | (sent & np.uint64(4095))
+    for key, bits, by in ((sent >> np.uint64(12), sent >> np.uint64(12), order), (right, sent, None)):
+        known = (bits & np.uint64(4095)) > 0  # that side is there
+        if by is None:
+            known = np.flatnonzero(known)
+            by = known[np.argsort(key[known], kind="stable")]
+        else:
+            by = by[known[by]]
+        new = _group_starts(key[by])
+        if len(new):
+            least, most = np.minimum.reduceat(doc[by], new), np.maximum.reduceat(doc[by], new)
+            out[by[np.repeat(least < most, np.diff(np.append(new, len(by))))]] = True
+    return out
+
+
+def _ends(sent: np.ndarray, doc: np.ndarray, tag: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Of equal rows those of the smallest and of the largest document, one for each text. ``order`` sorts the rows."""
+    new = _group_starts(sent[order])
+    times = np.diff(np.append(new, len(order)))
+    several = order[np.repeat(times > 1, times)]
+    several = several[np.lexsort((tag[several], doc[several], sent[several]))]
+    s, d, t = sent[several], doc[several], tag[several]
+    new_group = _group_starts(s)
+    n = np.diff(np.append(new_group, len(s)))
+    low, high = (np.repeat(d[x], n) for x in (new_group, np.append(new_group[1:], len(s))[: len(new_group)] - 1))
+    first = np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, dtype=bool)
+    return np.concatenate([order[np.repeat(times == 1, times)], several[first & ((d == low) | (d == high))]])
 
 
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,18 +218,32 @@ def _unpack(blob: bytes, *types: str) -> list:
     return [*out, rest[at:]]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
-    """The blobs of each bucket, from rows (bucket, data) sorted by bucket."""
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[bytes]]]:
+    """From rows (bucket, doc_id, tag, data) sorted by bucket: rows that name a document as they are, and the blobs of each bucket."""
     bucket, blobs = None, []
     for batch in batches:
-        for b, blob in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+        named = batch.column("doc_id").is_valid()
+        rest = batch.filter(pc.invert(named))
+        if rest.num_rows < batch.num_rows:
+            yield batch.filter(named).select(["doc_id", "tag", "data"]), []
+        for b, blob in zip(rest.column("bucket").to_pylist(), rest.column("data"), strict=True):
             if b != bucket:
                 if blobs:
-                    yield blobs
+                    yield None, blobs
                 bucket, blobs = b, []
             blobs.append(blob.as_py())
     if blobs:
-        yield blobs
+        yield None, blobs
+
+
+def _sent(rows: list[tuple[int, bytes]], decided: pa.RecordBatch | None) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, doc_id, tag, data): blobs for buckets, and what is known of documents already."""
+    if rows:
+        buckets, blobs = zip(*rows, strict=True)
+        yield batch_of(["bucket", "doc_id", "tag", "data"], [pa.int32(), pa.int64(), pa.int64(), pa.binary()], [buckets, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), blobs])
+    if decided is not None:
+        spread = (decided.column("tag").to_numpy() & 0x7FFFFFFF).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(spread), *decided.columns], names=["bucket", "doc_id", "tag", "data"])
 
 
 def _per_document(doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
@@ -315,83 +385,103 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], ends[np.append(new[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def covered_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
     """``doc_id, tag, text, spans`` of documents that share an anchor (spans: lists of byte spans to
     remove, packed pairs), and all documents as ``doc_id, tag, n_bytes, sha256`` of the whole text."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * n
-    base = documents(docs).withColumn("tag", F.crc32(F.col("text").cast("binary")))
+    base = documents(docs).withColumn("tag", F.xxhash64("text"))
     named = base.where("doc_id is not null")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * n, -(-size // BUCKET_BYTES))
+    n = max(n, buckets // 4)
+    hot_runs = max(hot_runs, size // HOT_ANCHORS)  # at most HOT_ANCHORS anchors have so many
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, h, _, _, number, left, right, _ = _gather(batch)
-            ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
-            # forty bits of the hash (a bucket's size does not grow with the corpus), then both sides
-            sent = (h << np.uint64(24)) | (left.astype(np.uint64) << np.uint64(12)) | right.astype(np.uint64)
-            rows = [(k, _pack(sent[at], ids[doc[at]], tags[doc[at]], number[at].astype("<i4"))) for k, at in _by_bucket(h, buckets)]
-            if rows:
-                yield batch_of(["bucket", "data"], [pa.int32(), pa.binary()], list(zip(*rows, strict=True)))
+            doc, h, _, _, number, (run, left, right), _ = _gather(batch)
+            ids, tags = (batch.column(c).to_numpy()[doc[run]] for c in ("doc_id", "tag"))
+            h, number = h[run], number[run]
+            sent = (h << np.uint64(24)) | (_bits(left) << np.uint64(12)) | _bits(right)
+            order = np.argsort(sent, kind="stable")
+            known, at = _shared(sent, ids, order), _ends(sent, ids, tags, order)  # one run of a document stands for its equals
+            rows = [(k, _pack(sent[at[x]], ids[at[x]], tags[at[x]], number[at[x]].astype("<i4"))) for k, x in _by_bucket(h[at], buckets)]
+            yield from _sent(rows, _per_document(ids[known], tags[known], number[known][:, None].astype("<i4")))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _grouped(batches):
+        for decided, blobs in _grouped(batches):
+            if decided is not None:
+                yield decided
+                continue
             parts = [_unpack(b, "<u8", "<i8", "<i8", "<i4") for b in blobs]
             h, doc, tag, number = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            kept = np.zeros(len(h), dtype=bool)
-            for key, bits in ((h >> np.uint64(12), h >> np.uint64(12)), ((h >> np.uint64(24) << np.uint64(12)) | (h & np.uint64(4095)), h)):
-                known = np.flatnonzero(bits & np.uint64(4095))  # that side is there
-                if not len(known):
-                    continue
-                order = known[np.argsort(key[known], kind="stable")]
-                new = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
-                least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
-                kept[order[np.repeat(least < most, np.diff(np.append(new, len(order))))]] = True
+            kept = _shared(h, doc, np.argsort(h, kind="stable"))
             out = _per_document(doc[kept], tag[kept], number[kept][:, None].astype("<i4"))
             if out is not None:
                 yield out
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, h, first, count, _, _, _, texts = _gather(batch)
-            ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
-            wanted = np.zeros(len(doc), dtype=bool)
-            begin = np.searchsorted(doc, np.arange(len(texts)))
-            for i, lists in enumerate(batch.column("numbers")):
-                wanted[begin[i] + np.frombuffer(b"".join(lists.as_py()), "<i4")] = True
-            at = np.flatnonzero(wanted)
-            doc, h, first, size = doc[at], h[at], first[at], (count[at] + LENGTH - 1).astype("<i4")
-            parts = [texts[d][a : a + s] for d, a, s in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)]
-            rows = [(k, _pack(h[x], ids[doc[x]], tags[doc[x]], first[x].astype("<i8"), size[x], b"".join([parts[y] for y in x.tolist()]))) for k, x in _by_bucket(h, buckets)]
-            if rows:
-                yield batch_of(["bucket", "data"], [pa.int32(), pa.binary()], list(zip(*rows, strict=True)))
+            anchor, times = np.unique(h[kept] >> np.uint64(24), return_counts=True)
+            if (times > hot_runs).any():
+                hot = [int(x).to_bytes(8, "little") for x in anchor[times > hot_runs]]
+                yield batch_of(["doc_id", "tag", "data"], [pa.int64(), pa.int64(), pa.binary()], [pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int64()), hot])
+
+    def runs(hot: np.ndarray):
+        def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                doc, h, first, count, _, (run, left, right), texts = _gather(batch)
+                ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
+                wanted = np.zeros(len(doc), dtype=bool)
+                begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+                for i, lists in enumerate(batch.column("numbers")):
+                    own = slice(begin[i], begin[i + 1])
+                    some = h[own][np.frombuffer(b"".join(lists.as_py()), "<i4")]
+                    wanted[own] = np.isin(h[own], some)  # and the document's other runs of these anchors
+                at = np.flatnonzero(wanted)
+                size = (count + LENGTH - 1).astype("<i4")
+                parts = [texts[d][a : a + n] for d, a, n in zip(doc[at].tolist(), first[at].tolist(), size[at].tolist(), strict=True)]
+                # equal runs of this batch: all but those of the smallest document are covered for sure
+                kinds: dict[tuple[int, bytes], int] = {}
+                kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(h[at].tolist(), parts, strict=True)), dtype=np.int64, count=len(at))
+                low = np.full(len(kinds), np.iinfo(np.int64).max)
+                np.minimum.at(low, kind, ids[doc[at]])
+                late = at[ids[doc[at]] > low[kind]]
+                spans = np.stack([first[late], first[late] + size[late]], axis=1).astype("<i8")
+                at = at[ids[doc[at]] == low[kind]]
+                divided = np.isin(h[at] & np.uint64((1 << 40) - 1), hot)
+                route, x = h[at[~divided]], at[~divided]
+                if divided.any():  # one way for each side that a run has
+                    of = np.isin(run, at[divided])
+                    ways = [(run[of & (s > 0)], h[run[of & (s > 0)]] ^ (s[of & (s > 0)] * np.uint64(m))) for s, m in ((left, 0x9E3779B97F4A7C15), (right, 0xC2B2AE3D27D4EB4F))]
+                    x, route = np.concatenate([x, *(w[0] for w in ways)]), np.concatenate([route, *(w[1] for w in ways)])
+                rows = [(k, _pack(route[y], ids[doc[x[y]]], tags[doc[x[y]]], first[x[y]].astype("<i8"), size[x[y]], b"".join([texts[d][a : a + m] for d, a, m in zip(doc[x[y]].tolist(), first[x[y]].tolist(), size[x[y]].tolist(), strict=True)]))) for k, y in _by_bucket(route, buckets)]
+                yield from _sent(rows, _per_document(ids[doc[late]], tags[doc[late]], spans))
+
+        return run_all
 
     def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs in _grouped(batches):
-            out = _covered(blobs)
+        for decided, blobs in _grouped(batches):
+            out = _covered(blobs) if decided is None else decided
             if out is not None:
                 yield out
 
     def spread(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
-    found = spread(named.mapInArrow(anchors, "bucket int, data binary")).mapInArrow(repeated, "doc_id long, tag long, data binary")
+    sent, per_document = "bucket int, doc_id long, tag long, data binary", "doc_id long, tag long, data binary"
+    found = spread(named.mapInArrow(anchors, sent)).mapInArrow(repeated, per_document)
     listed = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("numbers")), "numbers")
-    release(spark)
-    numbers = listed.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "numbers")
+    hot = [int.from_bytes(x, "little") for r in listed.where("doc_id is null").collect() for x in r["numbers"]]
+    numbers = listed.where("doc_id is not null").select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "numbers")
     shared = materialise(named.join(numbers, (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag"))).select("doc_id", "tag", "text", "numbers"), "shared")
     discard(listed)
-    release(spark)
-    found = spread(shared.mapInArrow(runs, "bucket int, data binary")).mapInArrow(covered, "doc_id long, tag long, data binary")
+    found = spread(shared.mapInArrow(runs(np.array(hot, dtype=np.uint64)), sent)).mapInArrow(covered, per_document)
     spans = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("spans")), "spans")
-    release(spark)
     spans = spans.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "spans")
     out = shared.select("doc_id", "tag", "text").join(spans, (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag")), "left").select("doc_id", "tag", "text", "spans")
     whole = base.select("doc_id", "tag", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
     return out, whole.join(shared.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag")).distinct(), (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag")), "left_anti")
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs`` (``doc_id, text``).
 
     A byte goes if a string of 50 bytes covers it that also starts in a document with a smaller
@@ -400,7 +490,7 @@ def removed(docs: DataFrame) -> DataFrame:
     no other row. Rows that repeat a ``doc_id`` are judged each against smaller ids only. Other
     columns are ignored; an empty table gives an empty result.
     """
-    shared, rest = covered_spans(docs)
+    shared, rest = covered_spans(docs, hot_runs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -213,8 +213,10 @@ def test_repeats_equal_brute_force(spark):
         parts = [base[r.randrange(5)][r.randrange(100) :][: r.randint(30, 260)] for _ in range(3)]
         rows.append((r.randrange(40), " ".join(parts) + ("é" * r.randint(0, 60))))
     rows += [(50, "a" * 300), (51, "b" + "a" * 120), (52, base[0][:49]), (53, base[0][:50]), (None, base[0]), (54, None), (55, ""), (50, "a" * 300)]
-    got = sorted((tuple(x) for x in repeats.removed(helpers.documents(spark, rows)).collect()), key=str)
-    assert got == brute_removed(rows)
+    rows += [(56, "ab" * 200), (57, "x" + "ab" * 90), (58, helpers.prose(77, 30) + "abab" * 40), (59, None), (59, "a" * 80), (60, base[1]), (60, base[1] + base[2])]
+    for hot_runs in (repeats.HOT_RUNS, 1):  # the second divides every anchor by its sides
+        got = sorted((tuple(x) for x in repeats.removed(helpers.documents(spark, rows), hot_runs).collect()), key=str)
+        assert got == brute_removed(rows)
     assert repeats.removed(helpers.empty(spark)).count() == 0
 
 
@@ -228,6 +230,18 @@ def test_long_documents_are_cut_into_segments(monkeypatch):
     assert {h for h, *_ in whole} == {h for h, *_ in cut}
 
 
+def test_runs_of_one_character_and_shared_lines_stay_small():
+    flat = list(repeats.document_runs([b"a" * 100_000, b"ab" * 50_000]))
+    assert sum(len(p[0]) for p in flat) < 10 and sum(len(p[4]) for p in flat) < 200
+    line = helpers.prose(5, 40).encode()
+    texts = [f"{i} ".encode() + line for i in range(500)]
+    doc, h, first, count, run, left, right = (np.concatenate(x) for x in zip(*repeats.document_runs(texts)))
+    sent = (h[run] << np.uint64(24)) | (repeats._bits(left) << np.uint64(12)) | repeats._bits(right)
+    order = np.argsort(sent, kind="stable")
+    kept = repeats._ends(sent, doc[run], np.zeros(len(run), dtype=np.int64), order)
+    assert repeats._shared(sent, doc[run], order).mean() > 0.9 and len(kept) < len(run) / 20  # a batch sends two rows for each passage
+
+
 def test_maximal_repeats_with_all_occurrences():
     r = random.Random(2)
     for _ in range(60):
