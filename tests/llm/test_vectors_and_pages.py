@@ -113,13 +113,84 @@ def test_repeated_paragraphs_of_articles_stay(spark):
     assert pages.main_text(df.limit(0)).count() == 0
 
 
-def test_classes_hold_tokens_with_equal_vectors(spark):
-    rows = [(i, "h", "<nav>menu</nav><p>x</p>" + "<p>y</p>" * (i % 2)) for i in range(6)]
-    df = spark.createDataFrame(rows, "page_id long, host string, html string")
-    (row,) = pages.template_tokens(df).collect()
-    assert pages.token("nav>menu") in row.template and pages.token("p>x") in row.template
-    assert pages.token("p>y") in row.template  # half of the pages
-    assert pages.token("<nav") in row.template
+def brute_template(sources):
+    """The tokens of the valid classes, from explicit occurrence vectors and every pair of neighbours."""
+    sequences = [[page.blocks[~x][0] if x < 0 else x for x in page.order] for page in map(pages.Page, sources)]
+    words = {}
+    for page in map(pages.Page, sources):
+        for x in page.order:
+            words[page.blocks[~x][0] if x < 0 else x] = page.blocks[~x][4].count(" ") + 1 if x < 0 else 1
+    vectors = {t: tuple(s.count(t) for s in sequences) for t in words if t}
+    found = {}
+    for t, v in vectors.items():
+        if sum(map(bool, v)) >= max(pages.LEAST_PAGES, pages.SUPPORT * len(sources)):
+            found.setdefault(v, []).append(t)
+    found = [ts for ts in found.values() if sum(words[t] for t in ts) >= pages.LARGE]
+    order = []
+    for ts in found:
+        first = next(s for s in sequences if ts[0] in s)
+        order.append(sorted(ts, key=first.index))
+    valid = set()
+    for ts in order:
+        ok, parents = True, set()
+        for s in sequences:
+            own = [x for x in s if x in ts]
+            ok &= own == ts * (len(own) // len(ts))
+        if ok:
+            valid.update(ts)
+    return valid
+
+
+def test_template_of_small_hosts_equals_brute_force(spark):
+    r = np.random.default_rng(7)
+    hosts = {}
+    for h in range(8):
+        notice, menu = f"Notice number {h} stands here", "<ul>" + "".join(f"<li><a href=x>word{h}{k}</a></li>" for k in range(3)) + "</ul>"
+        hosts[f"h{h}"] = ["<html><body>" + (f"<div>{notice}</div>" if r.random() < 0.8 else "") + menu + "".join(f"<p>Own text {h} {i} {k}</p>" for k in range(r.integers(1, 5))) + ("<i>x</i><hr>Twice told words<br>" if r.random() < 0.3 else "") + "<div>All rights are kept</div></body></html>" for i in range(int(r.integers(1, 9)))]
+    rows = [(100 * n + i, h, source) for n, (h, sources) in enumerate(hosts.items()) for i, source in enumerate(sources)]
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, host string, html string")
+    got = {x.on_host: set(x.template) for x in pages.templates(df).collect()}
+    for h, sources in hosts.items():
+        assert got.get(h, set()) == (brute_template(sources) if len(sources) >= pages.LEAST_PAGES else set()), h
+    assert any(got.values())
+
+
+def test_classes_that_are_not_ordered_or_overlap_are_not_valid():
+    places = {1: (0, 0, 3), 2: (0, 1, 3), 3: (0, 2, 3), 7: (1, 0, 2), 8: (1, 1, 2)}
+    assert pages.broken([1, 9, 2, 7, 8, 3, 1, 2, 7, 8, 3], places) == ({0: 0, 1: 1}, set())
+    assert pages.broken([1, 3, 2], places)[1] == {0}
+    assert pages.broken([1, 7, 2, 8, 3], places)[1] == {1}  # it overlaps
+    assert pages.broken([1, 7, 8, 2, 7, 8, 3], places)[1] == {1}  # it nests in two gaps
+    assert pages.broken([1, 2], places)[1] == {0} and pages.broken([2, 3], places)[1] == {0}
+    assert pages.broken([], places) == ({}, set())
+
+
+def test_menus_are_slots_of_links(spark):
+    r = np.random.default_rng(2)
+    rows = []
+    for i in range(9):
+        menu = "".join(f"<div><a href=/{k}>entry {r.integers(1000)}</a></div>" for k in range(r.integers(2, 6)))
+        rows.append((i, "http://m.example/", f"<body><div class=box>{menu}</div><div class=rest><h2>Head {i}</h2><p>Story {i} with <a href=x>a link</a> inside.</p><p><a href=y>link {i}</a></p></div></body>"))
+    out = texts(spark, rows)
+    assert all(out[i].text.startswith(f"Head {i}\n\nStory {i} with a link inside.") and "entry" not in out[i].text for i in range(9))
+
+
+def test_names_of_side_matter_are_whole_names(spark):
+    source = """<main><p>Before.</p><article><h1>Head</h1><div class="related-work"><p>Earlier work.</p></div><section id="header-files"><p>Files.</p></section>
+    <div class="post-header"><p>By line</p></div><div class="post-comments"><p>nice</p></div><div class="ad-unit-2 left"><p>buy</p></div><p hidden>secret</p></article><p>After.</p></main><div class="site-footer">foot</div>"""
+    assert texts(spark, [(1, "http://a/", source)])[1].text == "Before.\n\nHead\n\nEarlier work.\n\nFiles.\n\nBy line\n\nAfter."
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_planted_articles_are_found_whole(spark):
+    import html
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    for r in pages.main_text(df).join(df.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.DOTALL).group(1)
+        words = html.unescape(re.sub(r"<[^>]*>", " ", article)).split()
+        assert r.text.split() == words, r.page_id
 
 
 def test_copies_of_a_page_keep_their_text(spark):
