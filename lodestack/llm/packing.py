@@ -1,10 +1,12 @@
 """Order-preserving packing of token ids into sequences of a fixed size, by dynamic programming.
 
 Within a block of documents (in their order) the candidate cuts are the ends of documents and of
-sentences, and places inside sentences that are longer than a step. The program chooses cuts that
-minimise padding plus truncation penalties. The cheapest way to each cut comes from a monotone
-queue over the cuts that are at most one sequence before it; sequences whose length is a power of
-two need no padding and are looked up directly.
+sentences, places inside sentences that are longer than a step, and every place in the block's last
+sequence. The program chooses cuts that minimise padding plus truncation penalties. The cheapest way
+to each cut comes from a monotone queue over the cuts that are at most one sequence before it;
+sequences whose length is a power of two need no padding and are looked up directly. So the end of a
+block is cut into powers of two for a few penalties, and padding does not depend on how many tasks
+the documents are dealt over.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ SIZE = 2048
 DOCUMENT_CUT, SENTENCE_CUT, INNER_CUT = 0.0, 2.0, 12.0
 #: Longest stretch without a candidate cut.
 STEP = 64
-#: Shorter sequences are not sought as powers of two.
-LEAST_POWER = 256
 #: Tokens after which a block is packed and written out.
 BLOCK_TOKENS = 1 << 21
 
@@ -36,7 +36,7 @@ def padding(length: int, size: int = SIZE) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
 
-def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, size: int = SIZE, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions in ascending order and their penalties."""
     is_doc = np.zeros(len(ids) + 1, dtype=bool)
     is_doc[doc_ends] = True
@@ -47,20 +47,27 @@ def candidates(ids: np.ndarray, ends: np.ndarray, doc_ends: np.ndarray, step: in
     gaps = np.diff(whole)
     parts = -(-gaps // step)
     inner = np.repeat(whole[:-1], parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * step
-    at = np.append(inner, len(ids))
+    last = max(0, len(ids) - size)
+    at = np.concatenate([inner[inner < last], np.arange(last, len(ids) + 1)])
     cost = np.where(is_doc[at], DOCUMENT_CUT, np.where(is_whole[at], SENTENCE_CUT, INNER_CUT))
     cost[0] = cost[-1] = 0.0
     return at, cost
 
 
-def cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE, least_power: int = LEAST_POWER) -> list[int]:
+def cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE) -> list[int]:
     """Positions of the cheapest cuts, the ends included. Neighbouring candidates are at most ``size`` apart."""
     places, costs = at.tolist(), cost.tolist()
-    powers = [1 << b for b in range(size.bit_length()) if least_power <= 1 << b < size]
     index = np.full(places[-1] + 1, -1, dtype=np.int64)
     index[at] = np.arange(len(at))
-    back = [index[np.maximum(at - p, 0)] * (at >= p) - (at < p) for p in powers]
-    jumps = list(zip(*(b.tolist() for b in back), strict=True)) if powers else [()] * len(places)
+    to, back = [], []  # candidates that are a power of two apart
+    for p in (1 << b for b in range(size.bit_length()) if 1 << b < size):
+        later = np.searchsorted(at, p) + np.arange(len(at) - np.searchsorted(at, p))
+        before = index[at[later] - p]
+        to.append(later[before >= 0])
+        back.append(before[before >= 0])
+    to, back = np.concatenate(to), np.concatenate(back)
+    jumps = back[np.argsort(to, kind="stable")].tolist()
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(to, minlength=len(at)))]).tolist()
     best, came = [0.0] * len(places), [0] * len(places)
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # (best + place, place, index), ascending
     for i in range(1, len(places)):
@@ -68,8 +75,8 @@ def cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE, least_power: int =
         while queue[0][1] < x - size:
             queue.popleft()
         low, j = queue[0][0] + size - x, queue[0][2]
-        for k in jumps[i]:
-            if k >= 0 and best[k] < low:
+        for k in jumps[bounds[i] : bounds[i + 1]]:
+            if best[k] < low:
                 low, j = best[k], k
         best[i], came[i] = low + costs[i], j
         key = best[i] + x
@@ -86,7 +93,7 @@ def cuts(at: np.ndarray, cost: np.ndarray, size: int = SIZE, least_power: int =
 def pack(lengths: list[int], ids: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, ...]:
     """Pieces of a block: document number, start in it, length, sequence number, offset in it."""
     doc_ends = np.cumsum(lengths)
-    chosen = np.array(cuts(*candidates(ids, ends, doc_ends), size))
+    chosen = np.array(cuts(*candidates(ids, ends, doc_ends, size), size))
     cut = np.zeros(len(ids) + 1, dtype=bool)
     cut[chosen] = cut[doc_ends] = True
     bounds = np.flatnonzero(cut)
@@ -103,7 +110,8 @@ SCHEMA = ", ".join(f"{n} long" for n in NAMES)
 def sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """Pack every whole text of ``docs`` (``doc_id, text``): one row per piece of a document.
 
-    Documents keep the order of their partition's rows; no shuffle is needed. ``sequence_id`` is the
+    Documents keep the order of their partition's rows; no shuffle is needed, and a task holds one block of
+    ``BLOCK_TOKENS`` tokens (a longer document is packed as a whole). ``sequence_id`` is the
     partition's number times 2^40 plus a count. ``with_ids`` adds the piece's ids (little-endian
     unsigned 32-bit integers). Null text counts as empty, which is the end id alone; a null
     ``doc_id`` stays null; repeated rows are packed each; other columns are ignored; an empty table
