@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestack.llm.licences import TEMPLATES, THRESHOLD, bigrams_of
+from lodestack.llm.licences import TEMPLATES, THRESHOLD, bigrams_of, words_of
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,9 +28,9 @@ def licences(threshold: float = THRESHOLD) -> str:
     for name, templates in TEMPLATES.items():
         for t in templates:
             grams = ", ".join(f"'{g}'" for g in sorted(bigrams_of(t)))
-            rows.append(f"('{name}', [{grams}])")
+            rows.append(f"('{name}', {max(1, len(words_of(t)) - 1)}, [{grams}])")
     return f"""
-with t(licence, grams) as (values {", ".join(rows)}),
+with t(licence, width, grams) as (values {", ".join(rows)}),
 p as (
   select doc_id, 0 unit, unnest(string_split(text, chr(10))) passage from documents
   union all select doc_id, 1, passage from (select doc_id, unnest(string_split_regex(text, '\\n[ \\t\\r]*\\n')) passage from documents) where contains(passage, chr(10))
@@ -38,8 +38,16 @@ p as (
 ),
 w as (select doc_id, unit, list_filter(string_split_regex(translate(passage, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') ws from p),
 g as (select doc_id, unit, case when len(ws) = 1 then ws else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end gs from w where len(ws) > 0),
-h as (select doc_id, unit, licence, 2.0 * len(list_intersect(gs, grams)) / (len(gs) + len(grams)) dice from g, t
-  where len(gs) * {2 - threshold} >= len(grams) * {threshold} - 0.000000001 and len(grams) * {2 - threshold} >= len(gs) * {threshold} - 0.000000001)
-select doc_id, licence, round(max(dice), 6) dice, ['line', 'paragraph', 'text'][1 + arg_max(unit, (dice, -unit))] unit, count(*) n_places
+dw as (select doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') ws from documents),
+dg as (select doc_id, case when len(ws) = 1 then ws else list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) end gs from dw where len(ws) > 0),
+places as (select row_number() over () r, doc_id, unnest(gs) gram, unnest(range(1, len(gs) + 1)) k, gs all_gs from dg),
+tg as (select licence, width, grams, unnest(grams) gram from t),
+win as (select doc_id, licence, grams, list_distinct(list_slice(all_gs, k, k + width - 1)) gs from places join tg using (gram) where k + width - 1 <= len(all_gs)),
+h as (
+  select doc_id, unit, licence, 2.0 * len(list_intersect(gs, grams)) / (len(gs) + len(grams)) dice from g, t
+  where len(gs) * {2 - threshold} >= len(grams) * {threshold} - 0.000000001 and len(grams) * {2 - threshold} >= len(gs) * {threshold} - 0.000000001
+  union all select doc_id, 3, licence, 2.0 * len(list_intersect(gs, grams)) / (len(gs) + len(grams)) from win
+)
+select doc_id, licence, round(max(dice), 6) dice, ['line', 'paragraph', 'text', 'window'][1 + arg_max(unit, (dice, -unit))] unit, (count(*) filter (where unit < 3))::bigint n_places
 from h where dice >= {threshold} - 0.000000001 group by doc_id, licence
 """

@@ -414,11 +414,13 @@ def brute_licences(rows, threshold=0.8):
     out = {}
     for doc_id, text in rows:
         text = text or ""
-        for u in {*text.split("\n"), *re.split(r"\n[\x20\t\r]*\n", text), text}:
-            a = licences.bigrams_of(u)
-            for name, templates in licences.TEMPLATES.items():
-                for t in templates:
-                    b = licences.bigrams_of(t)
+        passages = [" ".join(licences.words_of(u)) for u in {*text.split("\n"), *re.split(r"\n[\x20\t\r]*\n", text), text}]
+        words = licences.words_of(text)
+        for name, templates in licences.TEMPLATES.items():
+            for t in templates:
+                b, n = licences.bigrams_of(t), len(licences.words_of(t))
+                for u in passages + [" ".join(words[i : i + n]) for i in range(len(words) - n + 1) if " ".join(words[i : i + 2]) in b]:
+                    a = licences.bigrams_of(u)
                     dice = 2 * len(a & b) / (len(a) + len(b)) if a else 0
                     if dice >= threshold:
                         out[doc_id, name] = max(out.get((doc_id, name), 0), round(dice, 6))
@@ -426,12 +428,16 @@ def brute_licences(rows, threshold=0.8):
 
 
 def test_licences_equal_brute_force(spark):
-    apache, mit = licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["MIT"][2]
+    apache, mit, bsd = licences.TEMPLATES["Apache-2.0"], licences.TEMPLATES["MIT"][2], licences.TEMPLATES["BSD-2-Clause"][1]
     cut = mit.split(". ")
+    code = "\n".join(f"x{i} = f(x{i + 1}) or the {i}" for i in range(200))
     rows = [(1, None), (2, ""), (3, "prose\nLicensed under the Apache License, Version 2.0.\nmore"), (4, apache[1].replace(" you ", "\nyou ")), (5, "title\n\n" + mit.replace(", to any", "\nto any") + "\n\nend"),
-            (6, "\n\n".join(cut)), (7, mit.upper()), (8, "released under license"), (9, "This work is licensed under GNU General Public License version 3"), (10, helpers.prose(1, 3000)), (11, "MIT"), (12, "Licensed under CC BY-NC 4.0. " * 3)]
+            (6, "\n\n".join(cut)), (7, mit.upper()), (8, "released under license"), (9, "This work is licensed under GNU General Public License version 3"), (10, helpers.prose(1, 3000)), (11, "MIT"), (12, "Licensed under CC BY-NC 4.0. " * 3),
+            (13, code + "\n\n" + "\n\n".join(cut) + "\n\n" + code), (14, "It was released under the MIT License, see the file for details of it."), (15, code + bsd.replace(" 1. ", "\n\n1. ").replace(" 2. ", "\n\n2. ") + code),
+            (16, "// SPDX-License-Identifier: MIT */ int main"), (17, bsd.replace("software", "program").replace("copyright", "").lower()), (None, "Released under the MIT License."), (None, "x")]
     got = {(r.doc_id, r.licence): r.dice for r in licences.matches(helpers.documents(spark, rows)).collect()}
-    assert got == pytest.approx(brute_licences(rows)) and {(3, "Apache-2.0"), (4, "Apache-2.0"), (5, "MIT"), (6, "MIT"), (7, "MIT")} <= set(got)
+    assert got == pytest.approx(brute_licences(rows))
+    assert {(3, "Apache-2.0"), (4, "Apache-2.0"), (5, "MIT"), (6, "MIT"), (7, "MIT"), (13, "MIT"), (14, "MIT"), (15, "BSD-2-Clause"), (16, "MIT"), (None, "MIT")} <= set(got)
     assert licences.matches(helpers.documents(spark)).count() == 0 and licences.matches(helpers.empty(spark)).count() == 0
 
 
