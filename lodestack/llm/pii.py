@@ -1,10 +1,11 @@
 """Personal data in text: plain detection, and offset-preserving detection of disguised identifiers.
 
 Plain ("base") spans are the leftmost non-overlapping matches of four patterns on the text itself.
-For disguises a transducer rewrites the text (look-alike characters, zero-width characters, spelled
-digits, at/dot disguises) and keeps, for each piece it writes, where the piece came from. The same
-detectors run on the rewritten text; a hit that covers a rewritten piece is mapped back to the
-source characters and added unless it overlaps a base span of its kind.
+For disguises transducers rewrite the text one after the other: invisible characters are stripped,
+look-alike characters folded, spelled digits and at/dot disguises spelt out. Each keeps where what it
+writes came from, and the offset maps are composed. The same detectors run on the rewritten text; a
+hit that covers a rewritten piece is mapped back to the source characters and added unless it
+overlaps a base span of its kind.
 """
 
 from __future__ import annotations
@@ -107,53 +108,60 @@ PLUS_NAMES = ("plus",)
 # Top-level domains that an address written in plain words (a at b dot com) may end in.
 DOMAINS = frozenset("com org net edu gov mil int info biz io co me app dev ai tv example test invalid de fr es it se no dk fi nl be at ch uk ie pl pt eu us ca au nz in jp cn br mx ru".split())
 
-_NAMES = frozenset(DIGIT_NAMES)
 _named = "|".join(sorted(map(re.escape, DIGIT_NAMES), key=len, reverse=True))
 _digit = rf"(?:\b(?:{_named})\b|[0-9])"
 _at = "|".join(map(re.escape, AT_NAMES))
 _dot = "|".join(map(re.escape, DOT_NAMES))
 _dot_word = "|".join(x for x in DOT_NAMES if x != ".")
+# White space before a bracket counts from its first sign only, so that long runs of it take linear time.
+_open, _close, _blank = r"(?:(?<!\s)\s++)?+", r"\s*+", r"[ \t]"
+
+
+def _bracketed(names: str) -> str:
+    return "|".join(rf"{re.escape(a)}\s*+(?:{names})\s*+{re.escape(b)}" for a, b in ("[]", "()", "{}", "<>"))
+
+
 _DISGUISE = re.compile(
-    rf"(?P<gone>[{_INVISIBLE}]+)"
-    rf"|(?P<at>[ ]{{0,3}}(?:\[[ ]{{0,3}}(?:{_at})[ ]{{0,3}}\]|\([ ]{{0,3}}(?:{_at})[ ]{{0,3}}\)|\{{[ ]{{0,3}}(?:{_at})[ ]{{0,3}}\}}|<[ ]{{0,3}}(?:{_at})[ ]{{0,3}}>)[ ]{{0,3}})"
-    rf"|(?P<dot>[ ]{{0,3}}(?:\[[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\]|\([ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\)|\{{[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}\}}|<[ ]{{0,3}}(?:{_dot})[ ]{{0,3}}>)[ ]{{0,3}})"
-    rf"|(?P<word>[ ](?:at|arroba|arobase)[ ](?=[A-Za-z0-9-]+(?:[ ](?:{_dot_word})[ ]|[ ]?[\[({{<])))"
-    rf"|(?P<stop>(?<=[A-Za-z0-9])[ ](?:{_dot_word})[ ](?=[A-Za-z0-9]))"
-    rf"|(?P<digits>(?:\bplus[ ])?(?<![A-Za-z0-9]){_digit}(?:[ .-]{{0,2}}{_digit})+)"
+    rf"(?P<at>{_open}(?:{_bracketed(_at)}){_close})"
+    rf"|(?P<dot>{_open}(?:{_bracketed(_dot)}){_close})"
+    rf"|(?P<word>(?<=[A-Za-z0-9]){_blank}++(?:at|arroba|arobase){_blank}++(?=[A-Za-z0-9-]+(?:{_blank}+(?:{_dot_word}){_blank}|\s*+[\[({{<])))"
+    rf"|(?P<stop>(?<=[A-Za-z0-9]){_blank}++(?:{_dot_word}){_blank}++(?=[A-Za-z0-9]))"
+    rf"|(?P<digits>(?:\bplus{_blank}++)?+(?<![A-Za-z0-9]){_digit}(?:[ \t.-]*+{_digit})+)"
     rf"|(?P<single>\b(?:{_named})\b)",
     re.IGNORECASE,
 )
-_DIGIT_OR_DOT = re.compile(rf"{_named}|[0-9]|(?<=[^ .-])\.(?=[^ .-])", re.IGNORECASE)
+_DIGIT_OR_DOT = re.compile(rf"{_named}|[0-9]|(?<=[^ \t.-])\.(?=[^ \t.-])", re.IGNORECASE)
 _ONE = re.compile(rf"\b(?:{_named})\b", re.IGNORECASE)
-_BRACKETED = re.compile(rf"[\[({{<][ ]{{0,3}}(?:{_at}|{_dot})[ ]{{0,3}}[\])}}>]")
+_SIGN = re.compile(rf"[\[({{<]\s*+(?:{_at}|{_dot})\s*+[\])}}>]|{_blank}(?:{_dot_word}){_blank}|\b(?:{_named})(?:[ \t.-]*+(?:(?:{_named})\b|[0-9]))|[0-9][ \t.-]*+(?:{_named})\b", re.IGNORECASE)
 _HIDDEN = re.compile(f"[{_INVISIBLE}]")
-_SPACED = tuple(f" {x} " for x in DOT_NAMES if x != ".")
-_PAIR = re.compile(rf"\b(?:{_named})[ .-]{{0,2}}(?:(?:{_named})\b|[0-9])|[0-9][ .-]{{0,2}}(?:{_named})\b")
 
 
 def may_change(plain: str) -> bool:
-    """A necessary condition of any match of ``_DISGUISE``, cheap on texts that have none."""
-    low = plain.lower()
-    if not low.isascii() and _HIDDEN.search(low):
-        return True
-    if _BRACKETED.search(low) or any(x in low for x in _SPACED):
-        return True
-    return not _NAMES.isdisjoint(low.replace("-", " ").replace(".", " ").split()) and bool(_PAIR.search(low))
+    """A necessary condition of a disguise that ``_DISGUISE`` rewrites, cheap on texts that have none."""
+    return bool(_SIGN.search(plain))
 
 
 class Rewritten:
-    """Text after the transducer, with the source place of every piece.
+    """Text after the transducers, with the source place of every piece.
 
     A dot alone between digits of a run that holds a spelled one stays a dot (addresses), or goes
     with the other separators (card numbers) if ``dots`` is false; ``dotted`` says that there was one.
     """
 
     def __init__(self, source: str, dots: bool = True):
-        odd = not source.isascii() and not _ODD.isdisjoint(source)
-        plain = source.translate(_TABLE) if odd else source  # one sign for one sign
-        self.changed = [(i, i + 1) for i, c in enumerate(source) if c in _ODD] if odd else []
-        pieces, self.starts, self.sources = [], [], []  # of each piece: start here, (start, end, copied) there
-        self.worded: list[tuple[int, int]] = []  # pieces that were plain words
+        self.changed: list[tuple[int, int]] = []  # pieces of the source that were rewritten
+        self.worded: list[tuple[int, int]] = []  # those that were plain words
+        self.kept: list[int] | None = None  # source place of each character after stripping
+        plain = source
+        if not source.isascii():
+            if _HIDDEN.search(source):
+                self.kept = [i for i, c in enumerate(source) if c not in _INVISIBLE]
+                self.changed += [m.span() for m in _HIDDEN.finditer(source)]
+                plain = _HIDDEN.sub("", source)
+            if not _ODD.isdisjoint(plain):
+                self.changed += [(i, i + 1) for i, c in enumerate(source) if c in _ODD]
+                plain = plain.translate(_TABLE)  # one sign for one sign
+        pieces, self.starts, self.sources = [], [], []  # of each piece: start here, (start, end, copied) in the stripped text
         self.dotted = False
         done = size = 0
         dot_end = -1  # where the last dot piece ends
@@ -181,25 +189,30 @@ class Rewritten:
                         continue
                     new = str(DIGIT_NAMES[m.group().lower()])
                 else:
-                    new = {"gone": "", "at": "@", "word": "@", "dot": ".", "stop": "."}[kind]
+                    new = {"at": "@", "word": "@", "dot": ".", "stop": "."}[kind]
                 put(plain[done:start], done, start, True)
                 put(new, start, end, False)
-                self.changed.append((start, end))
+                place = self._source(start, end)
+                self.changed.append(place)
                 if kind in ("dot", "stop"):
                     dot_end = end
                 if kind in ("word", "stop"):
-                    self.worded.append((start, end))
+                    self.worded.append(place)
                 done = end
         put(plain[done:], done, len(plain), True)
         self.text = "".join(pieces)
         self.changed.sort()
 
+    def _source(self, start: int, end: int) -> tuple[int, int]:
+        """Source span of a span of the stripped text."""
+        return (start, end) if self.kept is None else (self.kept[start], self.kept[end - 1] + 1)
+
     def back(self, start: int, end: int) -> tuple[int, int]:
         """Source span of a span of the rewritten text."""
         i = bisect.bisect_right(self.starts, start) - 1
         j = bisect.bisect_left(self.starts, end) - 1
         (a, _, copied), (b, last, whole) = self.sources[i], self.sources[j]
-        return (a + start - self.starts[i] if copied else a), (b + end - self.starts[j] if whole else last)
+        return self._source(a + start - self.starts[i] if copied else a, b + end - self.starts[j] if whole else last)
 
     @staticmethod
     def touches(pieces: list[tuple[int, int]], start: int, end: int) -> bool:
@@ -210,7 +223,7 @@ class Rewritten:
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows, in source offsets; none overlaps a base span of its kind."""
-    if (text.isascii() or _ODD.isdisjoint(text)) and not may_change(text):
+    if (text.isascii() or (_ODD.isdisjoint(text) and not _HIDDEN.search(text))) and not may_change(text):
         return []
     new = Rewritten(text)
     if not new.changed:
