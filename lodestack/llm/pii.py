@@ -132,13 +132,24 @@ _DISGUISE = re.compile(
 )
 _DIGIT_OR_DOT = re.compile(rf"{_named}|[0-9]|(?<=[^ \t.-])\.(?=[^ \t.-])", re.IGNORECASE)
 _ONE = re.compile(rf"\b(?:{_named})\b", re.IGNORECASE)
-_SIGN = re.compile(rf"[\[({{<]\s*+(?:{_at}|{_dot})\s*+[\])}}>]|{_blank}(?:{_dot_word}){_blank}|\b(?:{_named})(?:[ \t.-]*+(?:(?:{_named})\b|[0-9]))|[0-9][ \t.-]*+(?:{_named})\b", re.IGNORECASE)
+_BRACKETED = re.compile(rf"[\[({{<]\s*+(?:{_at}|{_dot})\s*+[\])}}>]")
+_STOP = re.compile(rf"{_blank}(?:{_dot_word}){_blank}")
+_PAIR = re.compile(rf"\b(?:{_named})[ \t.-]*+(?:(?:{_named})\b|[0-9])|[0-9][ \t.-]*+(?:{_named})\b")
+_NAMES, _DOT_WORDS = frozenset(DIGIT_NAMES), tuple(x for x in DOT_NAMES if x != ".")
+_APART = str.maketrans({c: " " for c in map(chr, range(128)) if not (c.isalnum() or c == "_")})
+_NO_WORD = re.compile(r"\W")
 _HIDDEN = re.compile(f"[{_INVISIBLE}]")
 
 
 def may_change(plain: str) -> bool:
     """A necessary condition of a disguise that ``_DISGUISE`` rewrites, cheap on texts that have none."""
-    return bool(_SIGN.search(plain))
+    low = plain.lower()
+    if any(b in low for b in "[({<") and _BRACKETED.search(low):
+        return True
+    if any(w in low for w in _DOT_WORDS) and _STOP.search(low):
+        return True
+    words = (low.translate(_APART) if low.isascii() else _NO_WORD.sub(" ", low)).split()
+    return not _NAMES.isdisjoint(words) and bool(_PAIR.search(low))
 
 
 class Rewritten:
