@@ -8,7 +8,8 @@ Layout of a file, in the public zstandard seekable format:
   size, and the low 32 bits of the XXH64 of its content, then the count of frames, a descriptor byte
   with the checksum flag, and the magic number 0x8F92EAB1.
 
-A reader takes the tail of the file, finds a document's frame, and decompresses that frame only.
+A reader takes the tail of the file, finds a document's frame, and decompresses that frame only. Files
+are cut by tokens and documents, so their number follows the data and a file's tables stay small.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import posixpath
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,8 @@ from lodestack.scratch import new_path
 SEEK_MAGIC, SKIP_SEEK, SKIP_DOCS = 0x8F92EAB1, 0x184D2A5E, 0x184D2A5D
 #: Tokens after which a frame is closed; a longer document has a frame of its own.
 FRAME_TOKENS = 1 << 16
+#: Tokens and documents after which a file is closed: 256 MiB of ids, 64 MiB of tables at most (a longer document has a file of its own).
+FILE_TOKENS, FILE_DOCS = 1 << 26, 1 << 22
 
 
 class Writer:
@@ -41,7 +45,8 @@ class Writer:
 
     def __init__(self, stream, level: int = 3, frame_tokens: int = FRAME_TOKENS):
         self.stream, self.packer, self.frame_tokens = stream, zstandard.ZstdCompressor(level=level), frame_tokens
-        self.docs, self.sizes, self.frames, self.open, self.held = [], [], [], [], 0
+        self.docs, self.sizes, self.frames = array("q"), array("Q"), array("I")
+        self.open, self.held, self.tokens = [], 0, 0
 
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         if self.held and self.held + len(ids) > self.frame_tokens:
@@ -50,20 +55,23 @@ class Writer:
         self.sizes.append(len(ids))
         self.open.append(ids.astype("<u4", copy=False).tobytes())
         self.held += len(ids)
+        self.tokens += len(ids)
 
     def _flush(self) -> None:
         data = b"".join(self.open)
         packed = self.packer.compress(data)
         self.stream.write(packed)
-        self.frames.append((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
+        self.frames.extend((len(packed), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF))
         self.open, self.held = [], 0
 
     def close(self) -> None:
         if self.held:
             self._flush()
+        if 16 * len(self.docs) + 8 >> 32 or 4 * len(self.frames) + 9 >> 32:
+            raise ValueError("too many documents or frames for one file: a skippable frame holds less than 4 GiB")
         docs = struct.pack("<Q", len(self.docs)) + np.array(self.docs, "<i8").tobytes() + np.array(self.sizes, "<u8").tobytes()
         self.stream.write(struct.pack("<II", SKIP_DOCS, len(docs)) + docs)
-        table = b"".join(struct.pack("<III", *f) for f in self.frames) + struct.pack("<IBI", len(self.frames), 0x80, SEEK_MAGIC)
+        table = np.array(self.frames, "<u4").tobytes() + struct.pack("<IBI", len(self.frames) // 3, 0x80, SEEK_MAGIC)
         self.stream.write(struct.pack("<II", SKIP_SEEK, len(table)) + table)
 
 
@@ -108,39 +116,49 @@ class Reader:
         return self.frame(k)[at : at + int(self.sizes[i])]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, file_tokens: int = FILE_TOKENS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Encode every whole text and write files in ascending ``doc_id`` order; returns their manifest.
 
     Files are written under a name of their own and renamed when complete, so a repeated task leaves
-    the same files. The manifest (``part, file, bytes, n_docs, n_tokens``) has a row for each file.
+    the same files. The manifest (``part, number, file, bytes, n_docs, n_tokens``) has a row for each
+    file; files stand in the order of ``part, number``.
     """
+    names = ["part", "number", "file", "bytes", "n_docs", "n_tokens"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer, part, docs_in, tokens, name = encoder(tokenizer), None, 0, 0, 0, ""
+        encode, number = encoder(tokenizer), 0
         store, root = fs.FileSystem.from_uri(folder)
+        opened: tuple | None = None  # writer, stream, name
+
+        def close(part: int) -> pa.RecordBatch:
+            writer, stream, name = opened
+            writer.close()
+            stream.close()
+            file = f"part-{part:06d}-{number:05d}.zst"
+            store.move(name, posixpath.join(root, file))
+            size = store.get_file_info(posixpath.join(root, file)).size
+            return batch_of(names, types, [[part], [number], [file], [size], [len(writer.docs)], [writer.tokens]])
+
         for batch in batches:
-            for doc_id, text, p in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("part").to_pylist(), strict=True):
-                if writer is None:
-                    part = p
+            for doc_id, text, part in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("part").to_pylist(), strict=True):
+                ids = np.append(encode(text.as_py()), np.uint32(end_id))
+                if opened and (opened[0].tokens + len(ids) > file_tokens or len(opened[0].docs) >= file_docs):
+                    yield close(part)
+                    opened, number = None, number + 1
+                if opened is None:
                     store.create_dir(root, recursive=True)
                     name = posixpath.join(root, f".part-{part:06d}-{uuid.uuid4().hex}")
                     stream = store.open_output_stream(name)
-                    writer = Writer(stream)
-                ids = np.append(encode(text.as_py()), np.uint32(end_id))
-                writer.add(doc_id, ids)
-                docs_in, tokens = docs_in + 1, tokens + len(ids)
-        if writer is not None:
-            writer.close()
-            stream.close()
-            final = posixpath.join(root, f"part-{part:06d}.zst")
-            store.move(name, final)
-            size = store.get_file_info(final).size
-            yield batch_of(["part", "file", "bytes", "n_docs", "n_tokens"], [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()], [[part], [f"part-{part:06d}.zst"], [size], [docs_in], [tokens]])
+                    opened = Writer(stream), stream, name
+                opened[0].add(doc_id, ids)
+        if opened:
+            yield close(part)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents(docs).where("doc_id is not null").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.withColumn("part", F.spark_partition_id())
-    return rows.mapInArrow(run, "part int, file string, bytes long, n_docs long, n_tokens long")
+    return rows.mapInArrow(run, "part int, number int, file string, bytes long, n_docs long, n_tokens long")
 
 
 def read(spark, folder: str, manifest: list) -> DataFrame:
@@ -149,7 +167,7 @@ def read(spark, folder: str, manifest: list) -> DataFrame:
     ``manifest`` holds one row for each file (not for each document), in any order.
     """
     files, before = [], 0
-    for m in sorted(manifest, key=lambda m: m["part"]):
+    for m in sorted(manifest, key=lambda m: (m["part"], m["number"])):
         files.append((m["file"], m["bytes"], before))
         before += m["n_tokens"]
 
@@ -170,7 +188,7 @@ def read(spark, folder: str, manifest: list) -> DataFrame:
     return table.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, file_tokens: int = FILE_TOKENS, file_docs: int = FILE_DOCS) -> DataFrame:
     """Write ``docs`` (``doc_id, text``) and read the files back: one row per document.
 
     Null text counts as empty (the end id alone). Rows with a null ``doc_id`` have no place in the
@@ -179,5 +197,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | N
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    manifest = write(docs, tokenizer, folder, end_id).collect()  # one row per file
+    manifest = write(docs, tokenizer, folder, end_id, file_tokens, file_docs).collect()  # one row per file
     return read(spark, folder, manifest)
