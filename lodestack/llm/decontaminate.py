@@ -20,8 +20,8 @@ from lodestack.llm.common import batch_of, documents
 
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.08
-#: Items matched in one pass over the documents; more items take more passes.
-BLOCK_ITEMS = 5_000
+#: Characters of items matched in one pass over the documents (an automaton of some 300 MB); more take more passes.
+BLOCK_CHARS = 4_000_000
 
 
 def normalise(text: str) -> str:
@@ -119,31 +119,34 @@ class Matcher:
 
 
 def _blocks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
-    """The stated query set, a block at a time."""
+    """The stated query set, a block at a time; items that normalise alike under one id count once."""
     block: list[tuple[int, str]] = []
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    held = 0
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        block.append((r["item_id"], r["text"]))
-        if len(block) == size:
+        if block and held + len(r["text"]) > size:
             yield block
-            block = []
+            block, held = [], 0
+        block.append((r["item_id"], r["text"]))
+        held += len(r["text"])
     if block:
         yield block
 
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, item_id, edits, match_start, match_end``: every item that a document holds within its budget.
 
     An item's budget is ``rate`` times its normalised length, rounded down; an item too short for
     one edit must stand unchanged as whole words. Offsets are code points of the normalised text
     (lower case, white space runs as one space), end exclusive, of the first best passage. Null or
     empty texts hold no item, null or empty items and null item ids match nothing, a null ``doc_id``
-    stays null, repeated rows each give their rows. Other columns are ignored.
+    stays null, repeated rows each give their rows, repeated items count once. Other columns are
+    ignored; an empty table of documents or of items gives an empty result.
     """
     names, schema = ["doc_id", "item_id", "edits", "match_start", "match_end"], "doc_id long, item_id long, edits int, match_start long, match_end long"
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     texts, out = documents(docs), None
-    for block in _blocks(items, block_items):
+    for block in _blocks(items, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             match = Matcher(block, rate)
@@ -157,10 +160,10 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_i
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_items: int = BLOCK_ITEMS, text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     at, schema = docs.columns.index(text), docs.schema
-    for block in _blocks(items, block_items):
+    for block in _blocks(items, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             match = Matcher(block, rate)

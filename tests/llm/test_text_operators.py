@@ -1,4 +1,5 @@
 import hashlib
+import math
 import os
 import random
 import re
@@ -15,6 +16,7 @@ import helpers  # noqa: E402
 from lodestack.llm import decontaminate, licences, packing, pii, quality, repeats, simhash, tokenfile  # noqa: E402
 from lodestack.llm.entries import TOKENIZER  # noqa: E402
 from lodestack.llm.tokens import Encoder, encoder  # noqa: E402
+from lodestack.scratch import new_path  # noqa: E402
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -223,7 +225,7 @@ def test_decontamination_rows(spark):
     docs = helpers.documents(spark, [*helpers.edge_rows(), (20, "Seventeen seven."), (21, "seventeen")])
     got = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, items).collect()}
     assert {(4, 1, 0), (5, 1, 0), (None, 1, 0), (20, 4, 0)} <= got and not any(d in (1, 2, 3, 21) for d, _, _ in got)
-    two = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, items, block_items=1).collect()}
+    two = {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, items, block_chars=1).collect()}
     assert two == got
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns and {1, 2, 3, 8, 21} <= {r.doc_id for r in kept.collect()} and {4, 5, 20}.isdisjoint({r.doc_id for r in kept.collect()})
@@ -330,6 +332,11 @@ def test_token_files_round_trip(spark):
         want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert got == sorted(want)
+    for size in ({"file_tokens": 50}, {"file_docs": 2}):  # files cut by tokens, by documents
+        assert sorted(tuple(x) for x in tokenfile.round_trip(helpers.documents(spark, rows), TOKENIZER, **size).collect()) == sorted(want)
+    folder = new_path(spark, "tokens")
+    files = tokenfile.write(helpers.documents(spark, rows).coalesce(1), TOKENIZER, folder, file_docs=2).collect()
+    assert all(f.n_docs <= 2 for f in files) and sum(f.n_docs for f in files) == len(want) and len({f.file for f in files}) == len(files)
     assert tokenfile.round_trip(helpers.empty(spark), TOKENIZER).count() == 0
 
 
@@ -441,6 +448,44 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in out.values())
 
 
+def test_fit_equals_updates_one_by_one():
+    r = random.Random(14)
+    rows = []
+    for _ in range(40):
+        where = sorted(r.sample(range(30), 5))
+        rows.append((np.array(where), np.array([r.random() for _ in where]), r.randrange(2)))
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return (sign * quality.L1 - z[i]) / ((quality.BETA + n.get(i, 0.0) ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for where, x, y in rows:
+            values = {**dict(zip(where.tolist(), x.tolist(), strict=True)), 1 << quality.BITS: 1.0}
+            w = {i: weight(i) for i in values}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in values.items())))
+            for i, v in values.items():
+                g = (p - y) * v
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / quality.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.fit(rows)
+    want = np.zeros((1 << quality.BITS) + 1)
+    for i in z:
+        want[i] = weight(i)
+    assert np.allclose(got, want, atol=1e-6) and np.count_nonzero(got) > 10
+
+
+def test_features_are_the_shares_of_the_ngrams():
+    make = quality.Features()
+    where, x = make("a b a b !! b")
+    assert x @ x == pytest.approx(1.0) and len(where) == len(set(where.tolist())) and make("")[0].tolist() == [0]
+    assert sorted(np.round(x**2 * 11).astype(int).tolist()) == [1, 1, 1, 1, 2, 2, 3]  # of six words and five pairs: ab twice, a twice, b three times
+
+
 def test_training_uses_no_held_out_label(spark):
     rows = [(i, helpers.prose(i, 40), i % 2) for i in range(200)]
     docs = helpers.documents(spark, [(i, t) for i, t, _ in rows])
