@@ -276,16 +276,18 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     Texts link if their fingerprints differ in at most ``distance`` bits; ``component_id`` is the
     smallest ``doc_id`` reachable. Null text counts as empty (fingerprint zero). Rows with a null
     ``doc_id`` cannot be named: they keep their fingerprint, link with nothing and get a null
-    component. Repeated rows each give a row. Other columns of ``docs`` are ignored. An empty table
+    component. Repeated rows each give a row, and rows that repeat an id with another text are linked
+    by their own fingerprints only. Other columns of ``docs`` are ignored. An empty table
     gives an empty result.
     """
     fps = materialise(fingerprints(docs, shingle), "fp")
-    reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    found = links(reps, distance)
+    reps = materialise(fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "reps")
+    found = links(reps.select("fp", F.col("fp").alias("rep")), distance)
     comp = connected_components(found)
-    named = materialise(reps.join(comp, reps["rep"] == comp["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
+    ours = reps.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = ours.groupBy(F.col("component").alias("c")).agg(F.min("least").alias("component_id"))
+    named = materialise(ours.join(ids, F.col("component") == F.col("c")).select(F.col("fp").alias("named_fp"), "component_id"), "named")
     discard(found, comp, reps)
-    named = named.select(F.col("fp").alias("named_fp"), "component_id")
     out = fps.join(named, fps["fp"] == named["named_fp"], "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -539,10 +541,10 @@ def _decided(accept: float, reject: float, similarity: float):
 def shingle_sets(kinds: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """``kind, grams``: all shingle hashes of one text of each of the ``kinds``; only these texts are fetched.
 
-    ``reps`` names a document ``rep`` and the hash ``text_hash`` of its text for each kind.
+    ``reps`` names a document ``doc`` and the hash ``text_hash`` of its text for each kind.
     """
-    wanted = kinds.join(reps.select("kind", "rep", "text_hash"), "kind")
-    texts = docs.join(wanted, (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("text_hash"))).select("kind", "text")
+    wanted = kinds.join(reps.select("kind", "doc", "text_hash"), "kind")
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("doc")) & (F.xxhash64("text") == F.col("text_hash"))).select("kind", "text")
 
     def run(batch: pa.RecordBatch):
         sets = [shingle_hashes(t.as_py(), shingle).view(np.int64) for t in batch.column("text")]
@@ -553,13 +555,15 @@ def shingle_sets(kinds: DataFrame, docs: DataFrame, reps: DataFrame, shingle: in
 
 
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell_rows: int = CELL_ROWS, cell_sets: int = CELL_SETS) -> DataFrame:
-    """``doc_id, component_id`` for every row of ``docs`` with an id: texts linked by similar shingles.
+    """``doc_id, text_hash, component_id, kept`` for every row of ``docs`` with an id: texts linked by similar shingles.
 
     Equal texts always link; other texts link if they share a MinHash band of their five-word
     shingles and have a Jaccard similarity of at least ``similarity``: by their sketches where these
-    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable.
-    Null text counts as empty; rows with a null ``doc_id`` are left out; repeated rows each give a
-    row; an empty table gives an empty result.
+    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable;
+    ``kept`` says that the row has the one text that stands for its group (of the smallest id, then of
+    the smallest ``text_hash``, the XXH64 of the text). Null text counts as empty; rows with a null
+    ``doc_id`` are left out; repeated rows each give a row, and rows that repeat an id with another
+    text are linked by their own texts only; an empty table gives an empty result.
     """
 
     def run(batch: pa.RecordBatch):
@@ -574,27 +578,30 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     rows = documents(docs).where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marks = materialise(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, sketch binary, bands array<long>").withColumn("kind", F.xxhash64("sketch", "bands")), "marks")
-    first = F.min_by(F.struct("text_hash", "sketch", "bands"), "doc_id").alias("first")
-    reps = materialise(marks.groupBy("kind").agg(F.min("doc_id").alias("rep"), first).select("kind", "rep", "first.*"), "reps")
-    spread = reps.select(F.explode("bands").alias("key"), "rep", "kind").repartition(n, "key").sortWithinPartitions("key")
+    first = F.min(F.struct("doc_id", "text_hash", "sketch", "bands")).alias("first")
+    reps = materialise(marks.groupBy("kind").agg(first).select("kind", F.col("first.doc_id").alias("doc"), "first.text_hash", "first.sketch", "first.bands"), "reps")
+    spread = reps.select(F.explode("bands").alias("key"), F.col("kind").alias("rep"), "kind").repartition(n, "key").sortWithinPartitions("key")
     shared = materialise(spread.mapInArrow(_repeated, "key long, rep long, kind long"), "shared")
     error = ERRORS * ((1 - similarity) * (1 + similarity) / SKETCH) ** 0.5
     accept, reject = (1 - similarity - error) / 2 * SKETCH, (1 - similarity + error) / 2 * SKETCH
     found = _met(shared, reps.select("kind", "sketch"), accept, reject, cell_rows)
     discard(shared)
     comp = connected_components(found.where("src is not null"))
-    known = materialise(reps.join(comp, reps["rep"] == comp["node"], "left").select("kind", "rep", "text_hash", F.coalesce("component", "rep").alias("component")), "known")
+    known = materialise(reps.join(comp, F.col("kind") == F.col("node"), "left").select("kind", "doc", "text_hash", F.coalesce("component", "kind").alias("component")), "known")
     discard(comp)
     # a band value whose rows in doubt have all been joined elsewhere is settled
     doubtful = found.where("key is not null").select("key", "kind").distinct().join(known, "kind")
     open_ = doubtful.groupBy(F.col("key").alias("o_key")).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("o_key", _blocks("n", cell_sets).alias("blocks"))
-    doubtful = materialise(doubtful.join(open_, F.col("key") == F.col("o_key")).select("key", "kind", "rep", "component", "blocks"), "doubtful")
+    doubtful = materialise(doubtful.join(open_, F.col("key") == F.col("o_key")).select("key", "kind", F.col("kind").alias("rep"), "component", "blocks"), "doubtful")
     grams = materialise(shingle_sets(doubtful.select("kind").distinct(), rows, known, shingle), "grams")
     dealt = _pairs_of_blocks(doubtful).select("cell", "key", "side", "rep", "kind", "component").join(reps.select("kind", "sketch", "bands"), "kind").join(grams, "kind").drop("kind")
     more = dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_decided(accept, reject, similarity), "src long, dst long")
     more = materialise(more, "decided")
-    comp = connected_components(known.where("rep <> component").select(F.col("rep").alias("src"), F.col("component").alias("dst")).unionByName(more))
-    named = known.join(comp, known["rep"] == comp["node"], "left").select(F.col("kind").alias("named_kind"), F.coalesce(comp["component"], known["rep"]).alias("component_id"))
+    comp = connected_components(known.where("kind <> component").select(F.col("kind").alias("src"), F.col("component").alias("dst")).unionByName(more))
+    ours = known.join(comp.withColumnRenamed("component", "joined"), F.col("kind") == F.col("node"), "left").select("kind", "doc", "text_hash", F.coalesce("joined", "kind").alias("c"))
+    stays = ours.groupBy(F.col("c").alias("of")).agg(F.min(F.struct("doc", "text_hash")).alias("first"))
+    named = ours.join(stays, F.col("c") == F.col("of")).select(F.col("kind").alias("named_kind"), F.col("first.doc").alias("component_id"), F.col("first.text_hash").alias("kept_hash"))
     named = materialise(named, "named")
     discard(found, doubtful, grams, more, comp, known, reps)
-    return marks.select("doc_id", "kind").join(named, marks["kind"] == named["named_kind"], "left").select("doc_id", "component_id")
+    out = marks.select("doc_id", "text_hash", "kind").join(named, marks["kind"] == named["named_kind"], "left")
+    return out.select("doc_id", "text_hash", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("kept"))

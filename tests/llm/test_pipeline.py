@@ -40,6 +40,25 @@ def test_stages_keep_columns_and_take_effect(spark, corpus):
     assert all(not pii.detect(r.text or "") and (r.text is None or r.n_chars == len(r.text)) for r in kept.collect())
 
 
+def test_edge_cases_of_every_stage(spark, corpus):
+    _, sf = corpus
+    long = helpers.prose(7, 30_000)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, helpers.prose(1, 60)), (4, helpers.prose(1, 60)), (4, helpers.prose(50, 60)), (5, helpers.prose(1, 60)), (6, long), (None, helpers.prose(1, 60)), (None, None), (8, "ß 字 \x00")]
+    docs = spark.createDataFrame([(*r, None, "s", 3, 0.5, 7, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component_id int, kind string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf).collect()
+        ids = sorted((r.doc_id for r in out), key=str)
+        if name == "near_duplicates":
+            texts = {(r.doc_id, r.text) for r in out}
+            assert len(out) == len(texts) == 7 and {(4, helpers.prose(1, 60)), (4, helpers.prose(50, 60)), (None, None), (1, None), (6, long)} <= texts and 5 not in ids and 2 not in ids
+        elif name == "pii":
+            assert ids == sorted((r[0] for r in rows), key=str) and {r.text for r in out} == {r[1] for r in rows}
+        elif name == "packing":
+            assert sum(r.length for r in out if r.doc_id == 6) == next(r.doc_tokens for r in out if r.doc_id == 6)
+        elif name == "decontamination":
+            assert len(out) == len(rows)
+
+
 def test_run_is_the_stages_in_turn(spark, corpus):
     docs, sf = corpus
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "packing"]

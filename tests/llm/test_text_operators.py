@@ -569,6 +569,17 @@ def test_similar_documents_link_by_five_word_shingles(spark):
     assert simhash.similar_documents(helpers.empty(spark)).count() == 0
 
 
+def test_ids_with_several_texts_are_linked_by_their_texts(spark):
+    a, b, c = (" ".join(f"{w}{k}" for w in helpers.prose(k, 80).split()) for k in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (5, b), (5, c + " more")]
+    docs = helpers.documents(spark, rows)
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in simhash.similar_documents(docs).collect())
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (7, 5, False), (9, 5, False), (5, 5, True), (5, 5, True)])
+    got = sorted((x.doc_id, x.component_id) for x in simhash.near_duplicates(docs).collect())
+    near = bin(simhash.fingerprint(c) ^ simhash.fingerprint(c + " more")).count("1") <= 3
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (7, 5), (5, 5), (9, 5 if near else 9), (5, 5)])
+
+
 def test_sketches_estimate_similarity():
     words = helpers.prose(1, 3000).split()
     for cut in (100, 600, 1500):
