@@ -40,6 +40,8 @@ SEGMENT, CHUNK = 1 << 19, 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 #: Bytes of text for each bucket: some 250,000 runs, of which a bucket holds a few tens of bytes each.
 BUCKET_BYTES = 1 << 22
+#: Windows that a run's bytes are sent for at once; a longer run (of one character, say) goes in pieces, most of them equal.
+PIECE = 64
 #: Runs of one anchor above which it is divided, and how many such anchors there can be at most (8 bytes each).
 HOT_RUNS, HOT_ANCHORS = 1 << 16, 1 << 20
 
@@ -436,24 +438,33 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
                     some = h[own][np.frombuffer(b"".join(lists.as_py()), "<i4")]
                     wanted[own] = np.isin(h[own], some)  # and the document's other runs of these anchors
                 at = np.flatnonzero(wanted)
-                size = (count + LENGTH - 1).astype("<i4")
-                parts = [texts[d][a : a + n] for d, a, n in zip(doc[at].tolist(), first[at].tolist(), size[at].tolist(), strict=True)]
-                # equal runs of this batch: all but those of the smallest document are covered for sure
+                cuts = -(-count[at] // PIECE)
+                of = np.repeat(at, cuts)
+                nth = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
+                start, size = first[of] + nth, (np.minimum(PIECE, count[of] - nth) + LENGTH - 1).astype("<i4")
+                d, t = ids[doc[of]], tags[doc[of]]
+                parts = [texts[i][a : a + n] for i, a, n in zip(doc[of].tolist(), start.tolist(), size.tolist(), strict=True)]
+                # equal pieces of this batch: all but those of the smallest document are covered for sure
                 kinds: dict[tuple[int, bytes], int] = {}
-                kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(h[at].tolist(), parts, strict=True)), dtype=np.int64, count=len(at))
+                kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(h[of].tolist(), parts, strict=True)), dtype=np.int64, count=len(of))
                 low = np.full(len(kinds), np.iinfo(np.int64).max)
-                np.minimum.at(low, kind, ids[doc[at]])
-                late = at[ids[doc[at]] > low[kind]]
-                spans = np.stack([first[late], first[late] + size[late]], axis=1).astype("<i8")
-                at = at[ids[doc[at]] == low[kind]]
-                divided = np.isin(h[at] & np.uint64((1 << 40) - 1), hot)
-                route, x = h[at[~divided]], at[~divided]
+                np.minimum.at(low, kind, d)
+                late = np.flatnonzero(d > low[kind])
+                decided = _per_document(d[late], t[late], np.stack([start[late], start[late] + size[late]], axis=1).astype("<i8"))
+                x = np.flatnonzero(d == low[kind])
+                divided = np.isin(h[of[x]] & np.uint64((1 << 40) - 1), hot)
+                route, ways = h[of[x[~divided]]], [x[~divided]]
                 if divided.any():  # one way for each side that a run has
-                    of = np.isin(run, at[divided])
-                    ways = [(run[of & (s > 0)], h[run[of & (s > 0)]] ^ (s[of & (s > 0)] * np.uint64(m))) for s, m in ((left, 0x9E3779B97F4A7C15), (right, 0xC2B2AE3D27D4EB4F))]
-                    x, route = np.concatenate([x, *(w[0] for w in ways)]), np.concatenate([route, *(w[1] for w in ways)])
-                rows = [(k, _pack(route[y], ids[doc[x[y]]], tags[doc[x[y]]], first[x[y]].astype("<i8"), size[x[y]], b"".join([texts[d][a : a + m] for d, a, m in zip(doc[x[y]].tolist(), first[x[y]].tolist(), size[x[y]].tolist(), strict=True)]))) for k, y in _by_bucket(route, buckets)]
-                yield from _sent(rows, _per_document(ids[doc[late]], tags[doc[late]], spans))
+                    x = x[divided]
+                    for s, m in ((left, 0x9E3779B97F4A7C15), (right, 0xC2B2AE3D27D4EB4F)):
+                        there = np.flatnonzero((s > 0) & np.isin(run, of[x]))
+                        begin, end = (np.searchsorted(of[x], run[there], side=side) for side in ("left", "right"))
+                        n = end - begin
+                        ways.append(x[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                        route = np.concatenate([route, np.repeat(h[run[there]] ^ (s[there] * np.uint64(m)), n)])
+                x = np.concatenate(ways)
+                rows = [(k, _pack(route[y], d[x[y]], t[x[y]], start[x[y]].astype("<i8"), size[x[y]], b"".join([parts[z] for z in x[y].tolist()]))) for k, y in _by_bucket(route, buckets)]
+                yield from _sent(rows, decided)
 
         return run_all
 

@@ -259,6 +259,9 @@ def test_repeats_equal_brute_force(spark):
     for hot_runs in (repeats.HOT_RUNS, 1):  # the second divides every anchor by its sides
         got = sorted((tuple(x) for x in repeats.removed(helpers.documents(spark, rows), hot_runs).collect()), key=str)
         assert got == brute_removed(rows)
+    flat = [(1, "x" + "a" * 60_000), (2, "a" * 90_000), (3, "ab" * 30_000 + "a" * 200), (4, "a" * 60)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.removed(helpers.documents(spark, flat)).collect()}
+    assert got == {1: (0, 0), 2: (90_000, 1), 3: (200, 1), 4: (60, 1)}
     assert repeats.removed(helpers.empty(spark)).count() == 0
 
 
