@@ -248,16 +248,22 @@ def _sent(rows: list[tuple[int, bytes]], decided: pa.RecordBatch | None) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(spread), *decided.columns], names=["bucket", "doc_id", "tag", "data"])
 
 
-def _per_document(doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
-    """``doc_id, tag, data``: the values (rows of a 2-d array) of each document as bytes."""
+def _per_document(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray, kind: str = "<i8") -> pa.RecordBatch | None:
+    """``doc_id, tag, data``: the half-open spans of each document, joined where they touch, as packed pairs."""
     if not len(doc):
         return None
-    order = np.lexsort((tag, doc))
-    doc, tag, values = doc[order], tag[order], np.ascontiguousarray(values[order])
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]))
-    offsets = (np.append(new, len(doc)) * values[0].nbytes).astype("<i4")
-    data = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(tag[new]), data], names=["doc_id", "tag", "data"])
+    order = np.lexsort((first, tag, doc))
+    doc, tag, first, last = doc[order], tag[order], first[order].astype(np.int64), last[order].astype(np.int64)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])
+    apart = np.int64(last.max() + 1) * (np.cumsum(new) - 1)  # documents one behind the other
+    ends = np.maximum.accumulate(last + apart)
+    begin = np.flatnonzero(new | np.concatenate([[True], (first + apart)[1:] > ends[:-1]]))
+    spans = np.stack([first[begin], (ends - apart)[np.append(begin[1:], len(doc)) - 1]], axis=1).astype(kind)
+    heads = np.flatnonzero(new[begin])
+    offsets = (np.append(heads, len(begin)) * spans[0].nbytes).astype("<i4")
+    data = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(spans.tobytes())])
+    at = begin[heads]
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at]), data], names=["doc_id", "tag", "data"])
 
 
 def suffix_array(data: np.ndarray, remaining: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -346,7 +352,7 @@ def _covered(blobs: list[bytes]) -> pa.RecordBatch | None:
     np.minimum.at(least, kind, doc)
     whole = np.flatnonzero(doc > least[kind])
     found = [(doc[whole], tag[whole], first[whole], first[whole] + size[whole])]
-    # anchors whose runs differ
+    # anchors whose runs differ; only runs of their smallest document are not covered as a whole yet
     _, number, times = np.unique(np.array([k[0] for k in kinds], dtype=np.uint64), return_inverse=True, return_counts=True)
     several = np.flatnonzero(times[number] > 1)
     if len(several):
@@ -355,28 +361,27 @@ def _covered(blobs: list[bytes]) -> pa.RecordBatch | None:
         sizes = np.array([len(p) for p in parts])
         starts = np.cumsum(sizes) - sizes
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        of = np.repeat(several, sizes)
-        k_out, a_out, b_out = [], [], []
-        place = np.arange(len(data)) - np.repeat(starts, sizes)
-        low = least[of]
+        low, reach = np.repeat(least[several], sizes), np.zeros(len(data), dtype=np.int64)  # of each place: bytes covered from there
         for length, at in maximal_repeats(data, starts, LENGTH):
             mins = low[at]
             late = at[mins > mins.min()]
-            if len(late):
-                k_out.append(of[late])
-                a_out.append(place[late])
-                b_out.append(place[late] + length)
-        if k_out:
-            k, a, b = np.concatenate(k_out), np.concatenate(a_out), np.concatenate(b_out)
-            order = np.argsort(kind, kind="stable")
+            reach[late] = np.maximum(reach[late], length)
+        at = np.flatnonzero(reach)
+        if len(at):
+            k, a = several[np.searchsorted(starts, at, side="right") - 1], at - np.repeat(starts, sizes)[at]
+            kept = np.flatnonzero(doc == least[kind])
+            order = kept[np.argsort(kind[kept], kind="stable")]
             begin = np.searchsorted(kind[order], np.arange(len(kinds) + 1))
+            # the spans of a kind, joined, for each of its rows
+            n_kind = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] > np.maximum.accumulate((a + reach[at]) + k * (1 << 32))[:-1] - k[:-1] * (1 << 32))])
+            top = np.maximum.accumulate(a + reach[at] + k * (1 << 32)) - k * (1 << 32)
+            head = np.flatnonzero(n_kind)
+            k, a, b = k[head], a[head], top[np.append(head[1:], len(top)) - 1]
             n = begin[k + 1] - begin[k]
             row = order[np.repeat(begin[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             found.append((doc[row], tag[row], first[row] + np.repeat(a, n), first[row] + np.repeat(b, n)))
     doc, tag, a, b = (np.concatenate([f[i] for f in found]) for i in range(4))
-    if not len(doc):
-        return None
-    return _per_document(doc, tag, np.stack([a, b], axis=1).astype("<i8"))
+    return _per_document(doc, tag, a, b)
 
 
 def union(spans: np.ndarray) -> np.ndarray:
@@ -408,7 +413,7 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
             order = np.argsort(sent, kind="stable")
             known, at = _shared(sent, ids, order), _ends(sent, ids, tags, order)  # one run of a document stands for its equals
             rows = [(k, _pack(sent[at[x]], ids[at[x]], tags[at[x]], number[at[x]].astype("<i4"))) for k, x in _by_bucket(h[at], buckets)]
-            yield from _sent(rows, _per_document(ids[known], tags[known], number[known][:, None].astype("<i4")))
+            yield from _sent(rows, _per_document(ids[known], tags[known], number[known], number[known] + 1, "<i4"))
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for decided, blobs in _grouped(batches):
@@ -418,7 +423,7 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
             parts = [_unpack(b, "<u8", "<i8", "<i8", "<i4") for b in blobs]
             h, doc, tag, number = (np.concatenate([p[i] for p in parts]) for i in range(4))
             kept = _shared(h, doc, np.argsort(h, kind="stable"))
-            out = _per_document(doc[kept], tag[kept], number[kept][:, None].astype("<i4"))
+            out = _per_document(doc[kept], tag[kept], number[kept].astype(np.int64), number[kept].astype(np.int64) + 1, "<i4")
             if out is not None:
                 yield out
             anchor, times = np.unique(h[kept] >> np.uint64(24), return_counts=True)
@@ -435,7 +440,11 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
                 begin = np.searchsorted(doc, np.arange(len(texts) + 1))
                 for i, lists in enumerate(batch.column("numbers")):
                     own = slice(begin[i], begin[i + 1])
-                    some = h[own][np.frombuffer(b"".join(lists.as_py()), "<i4")]
+                    ranges = np.frombuffer(b"".join(lists.as_py()), "<i4").reshape(-1, 2)
+                    marks = np.zeros(begin[i + 1] - begin[i] + 1, dtype=np.int64)
+                    np.add.at(marks, ranges[:, 0], 1)
+                    np.add.at(marks, ranges[:, 1], -1)
+                    some = h[own][np.cumsum(marks)[:-1] > 0]
                     wanted[own] = np.isin(h[own], some)  # and the document's other runs of these anchors
                 at = np.flatnonzero(wanted)
                 cuts = -(-count[at] // PIECE)
@@ -450,7 +459,7 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
                 low = np.full(len(kinds), np.iinfo(np.int64).max)
                 np.minimum.at(low, kind, d)
                 late = np.flatnonzero(d > low[kind])
-                decided = _per_document(d[late], t[late], np.stack([start[late], start[late] + size[late]], axis=1).astype("<i8"))
+                decided = _per_document(d[late], t[late], start[late], start[late] + size[late])
                 x = np.flatnonzero(d == low[kind])
                 divided = np.isin(h[of[x]] & np.uint64((1 << 40) - 1), hot)
                 route, ways = h[of[x[~divided]]], [x[~divided]]
