@@ -161,20 +161,13 @@ def _group_starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
 
 
-def _shared(sent: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Whether each row (forty bits of an anchor's hash, then twelve of either side) agrees on a side with another document.
-
-    ``order`` sorts the rows.
-    """
+def _shared(sent: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each row (forty bits of an anchor's hash, then twelve of either side) agrees on a side with another document."""
     out = np.zeros(len(sent), dtype=bool)
     right = (sent >> np.uint64(24) << np.uint64(12)) | (sent & np.uint64(4095))
-    for key, bits, by in ((sent >> np.uint64(12), sent >> np.uint64(12), order), (right, sent, None)):
-        known = (bits & np.uint64(4095)) > 0  # that side is there
-        if by is None:
-            known = np.flatnonzero(known)
-            by = known[np.argsort(key[known], kind="stable")]
-        else:
-            by = by[known[by]]
+    for key, bits in ((sent >> np.uint64(12), sent >> np.uint64(12)), (right, sent)):
+        known = np.flatnonzero(bits & np.uint64(4095))  # that side is there
+        by = known[np.argsort(key[known])]
         new = _group_starts(key[by])
         if len(new):
             least, most = np.minimum.reduceat(doc[by], new), np.maximum.reduceat(doc[by], new)
@@ -182,24 +175,30 @@ def _shared(sent: np.ndarray, doc: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ends(sent: np.ndarray, doc: np.ndarray, tag: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Of equal rows those of the smallest and of the largest document, one for each text. ``order`` sorts the rows."""
+def _combined(sent: np.ndarray, doc: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of a batch stand for more than one document, and which rows must be sent.
+
+    Of equal rows only those of the smallest and of the largest document are, one for each text.
+    """
+    order = np.argsort(sent)
     new = _group_starts(sent[order])
     times = np.diff(np.append(new, len(order)))
     several = order[np.repeat(times > 1, times)]
     several = several[np.lexsort((tag[several], doc[several], sent[several]))]
     s, d, t = sent[several], doc[several], tag[several]
-    new_group = _group_starts(s)
-    n = np.diff(np.append(new_group, len(s)))
-    low, high = (np.repeat(d[x], n) for x in (new_group, np.append(new_group[1:], len(s))[: len(new_group)] - 1))
+    group = _group_starts(s)
+    n = np.diff(np.append(group, len(s)))
+    low, high = (np.repeat(d[x], n) for x in (group, np.append(group[1:], len(s))[: len(group)] - 1))
     first = np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.zeros(0, dtype=bool)
-    return np.concatenate([order[np.repeat(times == 1, times)], several[first & ((d == low) | (d == high))]])
+    known = np.zeros(len(sent), dtype=bool)
+    known[several[low < high]] = True
+    return known, np.concatenate([order[np.repeat(times == 1, times)], several[first & ((d == low) | (d == high))]])
 
 
 def _by_bucket(h: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    bucket = ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
     order = np.argsort(bucket, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0])) if len(order) else []
+    cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1]])) if len(order) else []
     for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
@@ -279,7 +278,7 @@ def suffix_array(data: np.ndarray, remaining: np.ndarray) -> tuple[np.ndarray, n
         key = (key << np.uint64(9)) | np.where(remaining > i, padded[i : i + n], np.uint64(0))
     ranks, width, longest = [], 7, int(remaining.max())
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.cumsum(new) + 1
@@ -392,37 +391,36 @@ def union(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], ends[np.append(new[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, tag, text, spans`` of documents that share an anchor (spans: lists of byte spans to
-    remove, packed pairs), and all documents as ``doc_id, tag, n_bytes, sha256`` of the whole text."""
-    spark = docs.sparkSession
-    base = documents(docs).withColumn("tag", F.xxhash64("text"))
-    named = base.where("doc_id is not null")
-    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(4 * n, -(-size // BUCKET_BYTES))
-    n = max(n, buckets // 4)
-    hot_runs = max(hot_runs, size // HOT_ANCHORS)  # at most HOT_ANCHORS anchors have so many
+def _anchors(buckets: int):
+    """Arrow function over documents: anchors with a few bits of both sides, by bucket; and runs that the batch shares."""
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, h, _, _, number, (run, left, right), _ = _gather(batch)
-            ids, tags = (batch.column(c).to_numpy()[doc[run]] for c in ("doc_id", "tag"))
-            h, number = h[run], number[run]
+            doc, h, _, _, number, (of, left, right), _ = _gather(batch)
+            ids, tags = (batch.column(c).to_numpy()[doc[of]] for c in ("doc_id", "tag"))
+            h, number = h[of], number[of]
             sent = (h << np.uint64(24)) | (_bits(left) << np.uint64(12)) | _bits(right)
-            order = np.argsort(sent, kind="stable")
-            known, at = _shared(sent, ids, order), _ends(sent, ids, tags, order)  # one run of a document stands for its equals
+            known, at = _combined(sent, ids, tags)
             rows = [(k, _pack(sent[at[x]], ids[at[x]], tags[at[x]], number[at[x]].astype("<i4"))) for k, x in _by_bucket(h[at], buckets)]
             yield from _sent(rows, _per_document(ids[known], tags[known], number[known], number[known] + 1, "<i4"))
 
-    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _repeated(hot_runs: int):
+    """Arrow function over the blobs of buckets: numbers of the runs that agree on a side with another document.
+
+    Rows without a document list the anchors that have more than ``hot_runs`` such runs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for decided, blobs in _grouped(batches):
             if decided is not None:
                 yield decided
                 continue
             parts = [_unpack(b, "<u8", "<i8", "<i8", "<i4") for b in blobs]
             h, doc, tag, number = (np.concatenate([p[i] for p in parts]) for i in range(4))
-            kept = _shared(h, doc, np.argsort(h, kind="stable"))
+            kept = _shared(h, doc)
             out = _per_document(doc[kept], tag[kept], number[kept].astype(np.int64), number[kept].astype(np.int64) + 1, "<i4")
             if out is not None:
                 yield out
@@ -431,69 +429,88 @@ def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame,
                 hot = [int(x).to_bytes(8, "little") for x in anchor[times > hot_runs]]
                 yield batch_of(["doc_id", "tag", "data"], [pa.int64(), pa.int64(), pa.binary()], [pa.nulls(len(hot), pa.int64()), pa.nulls(len(hot), pa.int64()), hot])
 
-    def runs(hot: np.ndarray):
-        def run_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                doc, h, first, count, _, (run, left, right), texts = _gather(batch)
-                ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
-                wanted = np.zeros(len(doc), dtype=bool)
-                begin = np.searchsorted(doc, np.arange(len(texts) + 1))
-                for i, lists in enumerate(batch.column("numbers")):
-                    own = slice(begin[i], begin[i + 1])
-                    ranges = np.frombuffer(b"".join(lists.as_py()), "<i4").reshape(-1, 2)
-                    marks = np.zeros(begin[i + 1] - begin[i] + 1, dtype=np.int64)
-                    np.add.at(marks, ranges[:, 0], 1)
-                    np.add.at(marks, ranges[:, 1], -1)
-                    some = h[own][np.cumsum(marks)[:-1] > 0]
-                    wanted[own] = np.isin(h[own], some)  # and the document's other runs of these anchors
-                at = np.flatnonzero(wanted)
-                cuts = -(-count[at] // PIECE)
-                of = np.repeat(at, cuts)
-                nth = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
-                start, size = first[of] + nth, (np.minimum(PIECE, count[of] - nth) + LENGTH - 1).astype("<i4")
-                d, t = ids[doc[of]], tags[doc[of]]
-                parts = [texts[i][a : a + n] for i, a, n in zip(doc[of].tolist(), start.tolist(), size.tolist(), strict=True)]
-                # equal pieces of this batch: all but those of the smallest document are covered for sure
-                kinds: dict[tuple[int, bytes], int] = {}
-                kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(h[of].tolist(), parts, strict=True)), dtype=np.int64, count=len(of))
-                low = np.full(len(kinds), np.iinfo(np.int64).max)
-                np.minimum.at(low, kind, d)
-                late = np.flatnonzero(d > low[kind])
-                decided = _per_document(d[late], t[late], start[late], start[late] + size[late])
-                x = np.flatnonzero(d == low[kind])
-                divided = np.isin(h[of[x]] & np.uint64((1 << 40) - 1), hot)
-                route, ways = h[of[x[~divided]]], [x[~divided]]
-                if divided.any():  # one way for each side that a run has
-                    x = x[divided]
-                    for s, m in ((left, 0x9E3779B97F4A7C15), (right, 0xC2B2AE3D27D4EB4F)):
-                        there = np.flatnonzero((s > 0) & np.isin(run, of[x]))
-                        begin, end = (np.searchsorted(of[x], run[there], side=side) for side in ("left", "right"))
-                        n = end - begin
-                        ways.append(x[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
-                        route = np.concatenate([route, np.repeat(h[run[there]] ^ (s[there] * np.uint64(m)), n)])
-                x = np.concatenate(ways)
-                rows = [(k, _pack(route[y], d[x[y]], t[x[y]], start[x[y]].astype("<i8"), size[x[y]], b"".join([parts[z] for z in x[y].tolist()]))) for k, y in _by_bucket(route, buckets)]
-                yield from _sent(rows, decided)
-
-        return run_all
-
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for decided, blobs in _grouped(batches):
-            out = _covered(blobs) if decided is None else decided
-            if out is not None:
-                yield out
+    return run
+
+
+def _run_bytes(buckets: int, hot: np.ndarray):
+    """Arrow function over documents with the numbers of their runs: the runs' bytes, by bucket; and spans that the batch decides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, h, first, count, _, (side_of, left, right), texts = _gather(batch)
+            ids, tags = (batch.column(c).to_numpy() for c in ("doc_id", "tag"))
+            wanted = np.zeros(len(doc), dtype=bool)
+            begin = np.searchsorted(doc, np.arange(len(texts) + 1))
+            for i, lists in enumerate(batch.column("numbers")):
+                own = slice(begin[i], begin[i + 1])
+                marks = np.zeros(begin[i + 1] - begin[i] + 1, dtype=np.int64)
+                ranges = np.minimum(np.frombuffer(b"".join(lists.as_py()), "<i4").reshape(-1, 2), len(marks) - 1)
+                np.add.at(marks, ranges[:, 0], 1)
+                np.add.at(marks, ranges[:, 1], -1)
+                some = h[own][np.cumsum(marks)[:-1] > 0]
+                wanted[own] = np.isin(h[own], some)  # and the document's other runs of these anchors
+            at = np.flatnonzero(wanted)
+            cuts = -(-count[at] // PIECE)
+            of = np.repeat(at, cuts)
+            nth = (np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * PIECE
+            start, size = first[of] + nth, (np.minimum(PIECE, count[of] - nth) + LENGTH - 1).astype("<i4")
+            d, t = ids[doc[of]], tags[doc[of]]
+            parts = [texts[i][a : a + n] for i, a, n in zip(doc[of].tolist(), start.tolist(), size.tolist(), strict=True)]
+            # equal pieces of this batch: all but those of the smallest document are covered for sure
+            kinds: dict[tuple[int, bytes], int] = {}
+            kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(h[of].tolist(), parts, strict=True)), dtype=np.int64, count=len(of))
+            low = np.full(len(kinds), np.iinfo(np.int64).max)
+            np.minimum.at(low, kind, d)
+            late = np.flatnonzero(d > low[kind])
+            decided = _per_document(d[late], t[late], start[late], start[late] + size[late])
+            x = np.flatnonzero(d == low[kind])
+            divided = np.isin(h[of[x]] & np.uint64((1 << 40) - 1), hot)
+            route, ways = h[of[x[~divided]]], [x[~divided]]
+            if divided.any():  # one way for each side that a run has
+                x = x[divided]
+                for s, m in ((left, 0x9E3779B97F4A7C15), (right, 0xC2B2AE3D27D4EB4F)):
+                    there = np.flatnonzero((s > 0) & np.isin(side_of, of[x]))
+                    begin, end = (np.searchsorted(of[x], side_of[there], side=side) for side in ("left", "right"))
+                    n = end - begin
+                    ways.append(x[np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+                    route = np.concatenate([route, np.repeat(h[side_of[there]] ^ (s[there] * np.uint64(m)), n)])
+            x = np.concatenate(ways)
+            rows = [(k, _pack(route[y], d[x[y]], t[x[y]], start[x[y]].astype("<i8"), size[x[y]], b"".join([parts[z] for z in x[y].tolist()]))) for k, y in _by_bucket(route, buckets)]
+            yield from _sent(rows, decided)
+
+    return run
+
+
+def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for decided, blobs in _grouped(batches):
+        out = _covered(blobs) if decided is None else decided
+        if out is not None:
+            yield out
+
+
+def covered_spans(docs: DataFrame, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, tag, text, spans`` of documents that share an anchor (spans: lists of byte spans to
+    remove, packed pairs), and all documents as ``doc_id, tag, n_bytes, sha256`` of the whole text."""
+    spark = docs.sparkSession
+    base = documents(docs).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit((1 << 40) - 1)))  # tells apart texts of one id
+    named = base.where("doc_id is not null")
+    size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(4 * n, -(-size // BUCKET_BYTES))
+    n = max(n, buckets // 4)
+    hot_runs = max(hot_runs, size // HOT_ANCHORS)  # at most HOT_ANCHORS anchors have so many
 
     def spread(df: DataFrame) -> DataFrame:
         return df.repartition(n, "bucket").sortWithinPartitions("bucket")
 
     sent, per_document = "bucket int, doc_id long, tag long, data binary", "doc_id long, tag long, data binary"
-    found = spread(named.mapInArrow(anchors, sent)).mapInArrow(repeated, per_document)
+    found = spread(named.mapInArrow(_anchors(buckets), sent)).mapInArrow(_repeated(hot_runs), per_document)
     listed = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("numbers")), "numbers")
     hot = [int.from_bytes(x, "little") for r in listed.where("doc_id is null").collect() for x in r["numbers"]]
     numbers = listed.where("doc_id is not null").select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "numbers")
     shared = materialise(named.join(numbers, (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag"))).select("doc_id", "tag", "text", "numbers"), "shared")
     discard(listed)
-    found = spread(shared.mapInArrow(runs(np.array(hot, dtype=np.uint64)), sent)).mapInArrow(covered, per_document)
+    found = spread(shared.mapInArrow(_run_bytes(buckets, np.array(hot, dtype=np.uint64)), sent)).mapInArrow(_cover, per_document)
     spans = materialise(found.groupBy("doc_id", "tag").agg(F.collect_list("data").alias("spans")), "spans")
     spans = spans.select(F.col("doc_id").alias("n_doc"), F.col("tag").alias("n_tag"), "spans")
     out = shared.select("doc_id", "tag", "text").join(spans, (F.col("doc_id") == F.col("n_doc")) & (F.col("tag") == F.col("n_tag")), "left").select("doc_id", "tag", "text", "spans")
