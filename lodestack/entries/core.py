@@ -6,7 +6,6 @@ holdings, nations and regions the hierarchy, events the versions of users, docum
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +20,7 @@ from lodestack.plans.catalog import Field, FieldCatalog, Hierarchy
 from lodestack.plans.compiler import Compiler
 from lodestack.plans.tree import Builder, expand_types, reduce
 from lodestack.sources import rdf
+from lodestack.sources import records as record_source
 from lodestack.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,11 +354,11 @@ def upsert_if_changed(spark, sf):
     return store.upsert(c, incoming, "c_custkey", ["c_mktsegment"])
 
 
-@query("dataset_diff", "select coalesce(s.k, g.k) id, case when s.k is null then 'create' when g.k is null then 'delete' when s.v is not distinct from g.v then 'same' else 'update' end action from (select o_orderkey k, o_orderstatus v from orders where o_orderkey % 3 <> 0) s full join (select o_orderkey k, case when o_totalprice > 200000 then 'X' else o_orderstatus end v from orders where o_orderkey % 5 <> 0) g on s.k = g.k")
+@query("dataset_diff", "select coalesce(s.k, g.k) id, case when s.k is null then 'create' when g.k is null then 'delete' when s.v is not distinct from g.v then 'same' else 'update' end action from (select o_orderkey k, o_orderstatus v from orders where o_orderpriority <> '5-LOW') s full join (select o_orderkey k, case when o_totalprice > 200000 then 'X' else o_orderstatus end v from orders where o_orderstatus <> 'P') g on s.k = g.k")
 def dataset_diff(spark, sf):
     o = read(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
-    stored = o.where("id % 3 <> 0").select("id", F.col("o_orderstatus").alias("v"))
-    given = o.where("id % 5 <> 0").select("id", F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")).alias("v"))
+    stored = o.where("o_orderpriority <> '5-LOW'").select("id", F.col("o_orderstatus").alias("v"))
+    given = o.where("o_orderstatus <> 'P'").select("id", F.when(F.col("o_totalprice") > 200000, "X").otherwise(F.col("o_orderstatus")).alias("v"))
     return store.dataset_diff(stored, given, "id", "v")
 
 
@@ -442,13 +442,12 @@ def ids_by_links(spark, sf):
     return graph.ids_by_links(hierarchy_edges(spark, sf), [("home", ["N1", "N2", "N3"])])
 
 
-@query("embellish_two_levels", "select 'O' || o_orderkey root, 'O' || o_orderkey node, 0 as level, o_orderstatus as \"data\" from orders where o_totalprice > 300000 union all select 'O' || o_orderkey, 'C' || c_custkey, 1, c_mktsegment from orders join customer on o_custkey = c_custkey where o_totalprice > 300000 union all select 'O' || o_orderkey, 'N' || n_nationkey, 2, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_totalprice > 300000")
+@query("embellish_two_levels", "select 'O' || o_orderkey root, 'O' || o_orderkey node, 0 as level, o_orderstatus as \"data\" from orders where o_totalprice > 300000 union all select 'O' || o_orderkey, 'C' || c_custkey, 1, c_mktsegment from orders join customer on o_custkey = c_custkey where o_totalprice > 300000 union all select 'O' || o_orderkey, 'N' || n_nationkey, 2, n_name from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_totalprice > 300000 union all select 'O' || a.o_orderkey, 'O' || b.o_orderkey, 2, b.o_orderstatus from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey join customer on a.o_custkey = c_custkey where a.o_totalprice > 300000 and b.o_totalprice > 300000")
 def embellish_two_levels(spark, sf):
     o, c, n = read(spark, sf, "orders").where("o_totalprice > 300000"), read(spark, sf, "customer"), read(spark, sf, "nation")
     edges = o.select(F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("C"), "o_custkey").alias("dst"), F.lit("by").alias("relation")).unionByName(c.select(F.concat(F.lit("C"), "c_custkey").alias("src"), F.concat(F.lit("N"), "c_nationkey").alias("dst"), F.lit("home").alias("relation")))
     full = o.select(F.concat(F.lit("O"), "o_orderkey").alias("node"), F.col("o_orderstatus").alias("data")).unionByName(c.select(F.concat(F.lit("C"), "c_custkey").alias("node"), F.col("c_mktsegment").alias("data"))).unionByName(n.select(F.concat(F.lit("N"), "n_nationkey").alias("node"), F.col("n_name").alias("data")))
-    out = graph.embellish(o.select(F.concat(F.lit("O"), "o_orderkey").alias("node")), edges, {"cards": full, "chips": full}, ["cards", "chips"])
-    return out.where("level < 2 or node like 'N%'")
+    return graph.embellish(o.select(F.concat(F.lit("O"), "o_orderkey").alias("node")), edges, {"cards": full, "chips": full}, ["cards", "chips"])
 
 
 # --- shapes, JSON -------------------------------------------------------------------------------
@@ -475,10 +474,9 @@ def json_walk(spark, sf):
     return walk_rows(read(spark, sf, "events"), "event_id", "props")
 
 
-@query("jsonb_containment", "select event_id from events where json_extract_string(props, '$.k') = '7'")
+@query("jsonb_containment", "select distinct l_orderkey o_orderkey from lineitem where l_returnflag = 'R' and l_linenumber = 2")
 def jsonb_containment(spark, sf):
-    e = read(spark, sf, "events")
-    return e.where(F.coalesce(F.get_json_object("props", "$.k") == "7", F.lit(False))).select("event_id")
+    return with_items(spark, sf).where(record_source.containment(F.col("items"), {"flag": "R", "line": 2})).select("o_orderkey")
 
 
 @query("regex_extract_year", "select page_id, case when regexp_extract(url, '(\\d{4})', 1) in ('', '0000', '9999') then null else regexp_extract(url, '(\\d{4})', 1)::int end as \"year\" from pages")
@@ -486,9 +484,9 @@ def regex_extract_year(spark, sf):
     return read(spark, sf, "pages").select("page_id", shape.year_of(F.col("url")).alias("year"))
 
 
-@query("sort_key_clean", "select doc_id, regexp_replace(substr(text, 1, 40), '^[^\\p{L}\\p{N}]+', '') as sort_key from documents")
+@query("sort_key_clean", "select doc_id, regexp_replace(text, '^[^\\p{L}\\p{N}]+', '') as sort_key from documents")
 def sort_key_clean(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", shape.sort_key(F.substring("text", 1, 40)).alias("sort_key"))
+    return read(spark, sf, "documents").select("doc_id", shape.sort_key(F.col("text")).alias("sort_key"))
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -532,7 +530,11 @@ def distinct_holders(spark, sf):
     return stats.distinct_holders(read(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query("id_generator")
+_CRC = "list_reduce([4294967295::bigint] || flatten(list_transform(list_transform(range(1, length(o_orderkey::varchar) + 1), lambda i: ord(substr(o_orderkey::varchar, i, 1))::bigint), lambda b: [b, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) end)"
+_DIGITS = "0123456789bcdfghjklmnpqrstvwxz"
+
+
+@query("id_generator", f"with c as (select o_orderkey, xor({_CRC}, 4294967295)::bigint c from orders) select o_orderkey, array_to_string(list_transform(range(6, -1, -1), lambda i: substr('{_DIGITS}', ((c // pow(30, i)::bigint) % 30 + 1)::int, 1)), '') generated from c")
 def id_generator(spark, sf):
     return read(spark, sf, "orders").select("o_orderkey", ids.checksum_id_column(F.col("o_orderkey").cast("string")).alias("generated"))
 
@@ -547,24 +549,28 @@ def dedupe_by_keys(spark, sf):
     return cluster.groups_by_key(read(spark, sf, "documents"), F.md5(text.collapse(F.col("text"))), "doc_id")
 
 
-@query("dedupe_strategies", "with i as (select c_custkey k, c_mktsegment || c_nationkey a, round(c_acctbal / 500)::bigint b from customer where c_custkey % 2 = 0), s as (select c_custkey m, c_mktsegment || c_nationkey a, round(c_acctbal / 500)::bigint b from customer where c_custkey % 2 = 1), h as (select k, m, 0 strategy from i join s on i.b * 100 + length(i.a) = s.b * 100 + length(s.a) union all select k, m, 1 from i join s on i.a = s.a) select k as \"key\", m as \"match\", strategy from (select *, min(strategy) over (partition by k) f from h) where strategy = f")
+@query("dedupe_strategies", "with i as (select 'C' || c_custkey k, c_nationkey a, c_nationkey * 1000 + round(c_acctbal / 500)::bigint b from customer), s as (select 'S' || s_suppkey m, s_nationkey a, s_nationkey * 1000 + round(s_acctbal / 500)::bigint b from supplier), h as (select k, m, 0 strategy from i join s on i.b = s.b union all select k, m, 1 from i join s on i.a = s.a) select distinct k as \"key\", m as \"match\", strategy from (select *, min(strategy) over (partition by k) f from h) where strategy = f")
 def dedupe_strategies(spark, sf):
-    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.concat("c_mktsegment", "c_nationkey").alias("a"), F.round(F.col("c_acctbal") / 500).cast("long").alias("b0"))
-    c = c.withColumn("b", F.col("b0") * 100 + F.length("a"))
-    return cluster.duplicates_by_keys(c.where("k % 2 = 0"), c.where("k % 2 = 1"), [("b", "b"), ("a", "a")], "k")
+    def keyed(name, p, key):
+        return read(spark, sf, name).select(F.concat(F.lit(p.upper()), f"{p}_{key}").alias("k"), F.col(f"{p}_nationkey").alias("a"), (F.col(f"{p}_nationkey") * 1000 + F.round(F.col(f"{p}_acctbal") / 500).cast("long")).alias("b"))
+
+    return cluster.duplicates_by_keys(keyed("customer", "c", "custkey"), keyed("supplier", "s", "suppkey"), [("b", "b"), ("a", "a")], "k")
+
+
+_LETTERS = "regexp_replace(lower(text), '[^a-z]+', '', 'g')"
 
 
-@query("cluster_components", f"with recursive v as (select doc_id, {_KEY} k from documents union all select doc_id, 'p' || md5(regexp_replace(lower(substr(text, 1, 60)), '[^a-z]+', '', 'g')) from documents), s as (select k, min(doc_id) m from v group by 1), e as (select v.doc_id a, s.m b from v join s using (k) union select s.m, v.doc_id from v join s using (k)), c(root, node) as (select doc_id, doc_id from documents union select root, b from c join e on a = node) select root as doc_id, min(node) component from c group by 1")
+@query("cluster_components", f"with recursive v as (select doc_id, {_KEY} k from documents where text is not null union all select doc_id, 'p' || md5({_LETTERS}) from documents where {_LETTERS} <> ''), s as (select k, min(doc_id) m from v group by 1), e as (select v.doc_id a, s.m b from v join s using (k) union select s.m, v.doc_id from v join s using (k)), c(root, node) as (select doc_id, doc_id from documents union select root, b from c join e on a = node) select root as doc_id, min(node) component from c group by 1")
 def cluster_components(spark, sf):
     d = read(spark, sf, "documents")
-    prefix = F.md5(F.regexp_replace(F.lower(F.substring("text", 1, 60)), "[^a-z]+", ""))
-    return cluster.components_by_keys(d, [F.md5(text.collapse(F.col("text"))), F.concat(F.lit("p"), prefix)], "doc_id")
+    letters = F.nullif(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), F.lit(""))
+    return cluster.components_by_keys(d, [F.md5(text.collapse(F.col("text"))), F.concat(F.lit("p"), F.md5(letters))], "doc_id")
 
 
 @query("cluster_greedy_block")
 def cluster_greedy_block(spark, sf):
     p = read(spark, sf, "part").withColumn("block", F.concat("p_brand", "p_size"))
-    return cluster.greedy_partition(p, "block", "p_partkey", "p_type", lambda a, b: bool(set(a.split()) & set(b.split())))
+    return cluster.greedy_partition(p, "block", "p_partkey", "p_type", lambda a, b: bool(set(a.split()) & set(b.split())), F.split("p_type", " "))
 
 
 @query("merge_works", "select l_orderkey, arg_min(l_returnflag, (l_linenumber, l_returnflag)) l_returnflag, string_agg(distinct l_linestatus, ',' order by l_linestatus) statuses from lineitem group by 1")
@@ -615,7 +621,7 @@ def spell_candidates(spark, sf):
     return search.spelling(words, "blot")
 
 
-@query("norm_text")
+@query("norm_text", "select doc_id, strip_accents(regexp_replace(text, '[“”„‟«»″]', '\"', 'g')) plain from documents")
 def norm_text(spark, sf):
     return read(spark, sf, "documents").select("doc_id", text.strip_marks_udf(text.normalize_for_search_udf("text")).alias("plain"))
 
@@ -643,8 +649,8 @@ def feed_harvest_page(spark, sf):
 def feed_digest(spark, sf):
     e = read(spark, sf, "events").withColumn("s", F.col("user_id") % 7)
     subs = spark.range(7).select(F.col("id").alias("subscriber"), F.explode(F.when(F.col("id") < 4, F.array(F.lit("error"), F.lit("purchase"))).otherwise(F.array(F.lit("purchase")))).alias("category"))
-    out = feeds.digest(e.withColumn("subscriber_of", F.col("s")), subs, "user_id", "event_type", "ts", ts("2024-01-10"))
-    return out.where(F.col("subscriber") == F.col("user_id") % 7).withColumn("categories", F.array_join("categories", ","))
+    out = feeds.digest(e.withColumnRenamed("s", "subscriber"), subs, "user_id", "event_type", "ts", ts("2024-01-10"))
+    return out.withColumn("categories", F.array_join("categories", ","))
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -653,17 +659,14 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_counters", "select event_type, sum(case when value > 50 then 1 else -1 end)::bigint n from events group by 1")
 def stream_counters(spark, sf):
-    name = f"counters_{dt.datetime.now():%H%M%S%f}"
-    feeds.drain(feeds.counter_stream(_stream(spark, sf), ["event_type"], F.when(F.col("value") > 50, 1).otherwise(-1)), name, "complete")
-    return spark.table(name)
+    return feeds.drain(feeds.counter_stream(_stream(spark, sf), ["event_type"], F.when(F.col("value") > 50, 1).otherwise(-1)), "counters", "complete")
 
 
 @query("stream_window", "select time_bucket(interval '1 day', ts) window_start, time_bucket(interval '1 day', ts) + interval 1 day window_end, event_type, count(*) n from events group by 1, 2, 3")
 def stream_window(spark, sf):
-    name = f"windows_{dt.datetime.now():%H%M%S%f}"
     stream = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    feeds.drain(feeds.windowed_stream(stream, "ts", "1 day", ["event_type"], "value"), name, "complete")
-    return spark.table(name).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
+    out = feeds.drain(feeds.windowed_stream(stream, "ts", "1 day", ["event_type"], "value"), "windows", "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_type", "n")
 
 
 @query("session_windows", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) k from g) select user_id, min(ts) session_start, count(*) n from s group by user_id, k")

@@ -325,3 +325,34 @@ def single_types(item, is_a=lambda a, b: a == b):
             new["@type"] = kept[0] if len(kept) == 1 else kept
         return new
     return [single_types(x, is_a) for x in item] if isinstance(item, list) else item
+
+
+def flatten_graph(expanded: list[dict]) -> list[dict]:
+    """Node objects of an expanded tree, each id once with the values of all its places, links in their place."""
+    nodes: dict[str, dict] = {}
+    for s, p, o, kind, datatype, lang in statements(json.loads(json.dumps(expanded))):
+        node = nodes.setdefault(s, {"@id": s})
+        if p == RDF_TYPE:
+            if o not in node.setdefault("@type", []):
+                node["@type"].append(o)
+            continue
+        value = {"@id": o} if kind != "literal" else {"@value": o, **({"@type": datatype} if datatype else {}), **({"@language": lang} if lang else {})}
+        if value not in node.setdefault(p, []):
+            node[p].append(value)
+    return sorted(nodes.values(), key=lambda n: n["@id"])
+
+
+def from_statements(rows: list[tuple]) -> list[dict]:
+    """Expanded node objects of statements ``s, p, o, o_type, datatype, lang``; numbers and booleans as values of their own."""
+    nodes: dict[str, dict] = {}
+    for s, p, o, kind, datatype, lang in rows:
+        node = nodes.setdefault(s, {"@id": s})
+        if p == RDF_TYPE:
+            node.setdefault("@type", []).append(o)
+        elif kind != "literal":
+            node.setdefault(p, []).append({"@id": o})
+        elif datatype in (XSD + "integer", XSD + "boolean", XSD + "double"):
+            node.setdefault(p, []).append({"@value": json.loads(o)})
+        else:
+            node.setdefault(p, []).append({"@value": o, **({"@type": datatype} if datatype else {}), **({"@language": lang} if lang else {})})
+    return sorted(nodes.values(), key=lambda n: n["@id"])

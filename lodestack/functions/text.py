@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 # Ligatures written out, and quotation marks that count as the plain one.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
@@ -117,16 +117,35 @@ def page_count(column: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(column, r"(?i)(\d{1,5})\s*(?:s\.?|sidor|p\.?|pp\.?|pages)(?![\p{L}])", 1), F.lit("")), F.lit("99999")).cast("int")
 
 
-def string_changed(before: Column, after: Column) -> Column:
-    """Whether two texts differ by more than one edit in comparison form."""
-    a, b = F.coalesce(collapse(before), F.lit("")), F.coalesce(collapse(after), F.lit(""))
-    return F.levenshtein(a, b) > 1
+def differs(before: str | None, after: str | None) -> bool:
+    """Whether two names or titles differ by more than a slip: one is missing, or over one edit apart.
 
+    Compared without case, diacritics and anything but letters and digits; long ones must be equal.
+    """
+    if before is None or after is None:
+        return before is not after
+    a, b = ("".join(c for c in strip_marks(x.lower()) if c.isalnum()) for x in (before, after))
+    return a != b if max(len(a), len(b)) > 100 else damerau_levenshtein(a, b) > 1
 
-def life_span_changed(before: Column, after: Column) -> Column:
-    """Whether both sides name a year that differs (``birth-death``); a new or missing year is no change."""
-    def year(c: Column, i: int) -> Column:
-        return F.nullif(F.trim(F.get(F.split(F.coalesce(c, F.lit("")), "-"), F.lit(i))), F.lit(""))
 
-    differs = [F.coalesce(year(before, i) != year(after, i), F.lit(False)) for i in (0, 1)]
-    return differs[0] | differs[1]
+def life_span_differs(before: str | None, after: str | None) -> bool:
+    """Whether a birth or death year named before is another one, or none, after (``birth-death``).
+
+    A year that only comes in is no change, nor is a text without a dash on either side.
+    """
+    if not isinstance(before, str) or not isinstance(after, str) or "-" not in before or "-" not in after:
+        return False
+    (birth, _, death), (new_birth, _, new_death) = (x.partition("-") for x in (before, after))
+    return any(x.strip() and x.strip() != y.strip() for x, y in ((birth, new_birth), (death, new_death)))
+
+
+@pandas_udf(BooleanType())
+def string_changed(before: pd.Series, after: pd.Series) -> pd.Series:
+    """``differs`` as a column."""
+    return pd.Series([differs(x, y) for x, y in zip(before, after)], dtype=bool)
+
+
+@pandas_udf(BooleanType())
+def life_span_changed(before: pd.Series, after: pd.Series) -> pd.Series:
+    """``life_span_differs`` as a column."""
+    return pd.Series([life_span_differs(x, y) for x, y in zip(before, after)], dtype=bool)

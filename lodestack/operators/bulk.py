@@ -154,7 +154,7 @@ def _prune(item):
 
 @dataclass(frozen=True)
 class Specification:
-    """A declared bulk change: update (forms), delete (match form), create (target), merge (ids into one)."""
+    """A declared bulk change: update (forms), delete (match form), create (target), merge (ids into one), other (a function)."""
 
     kind: str
     match: dict | None = None
@@ -162,6 +162,7 @@ class Specification:
     keep: str | None = None
     deprecate: tuple[str, ...] = ()
     repeatable: frozenset[str] = frozenset()
+    function: Callable[[dict], dict | None] | None = None
 
     def script(self) -> Callable[[dict], dict | None]:
         if self.kind == "update":
@@ -182,8 +183,16 @@ class Specification:
                 return item
 
             return lambda r: None if r.get("@id") in gone else relink(r)
+        if self.kind == "other":
+            return self.function
         raise ValueError(f"unknown kind {self.kind!r}")
 
+    def created(self, ids: list[str]) -> list[dict]:
+        """The records that a specification of kind create makes, one for each id."""
+        if self.kind != "create":
+            raise ValueError(f"{self.kind} makes no records")
+        return [{"@id": i, **_strip(self.target)} for i in ids]
+
 
 def preview(changed: DataFrame, key: str, offset: int = 0, limit: int = 20) -> DataFrame:
     """A page of recorded changes."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestack.operators.components import connected_components
+from lodestack.scratch import materialise
 
 
 def duplicates_by_keys(incoming: DataFrame, stored: DataFrame, strategies: list[tuple[str, str]], key: str, type_column: str | None = None, wildcard: str = "Instance") -> DataFrame:
@@ -28,6 +29,7 @@ def duplicates_by_keys(incoming: DataFrame, stored: DataFrame, strategies: list[
         right = stored.select(F.col(key).alias("match"), exploded(stored, b).alias("v"), *([F.col(type_column).alias("rt")] if type_column else []))
         hit = left.join(right, "v").where("key <> match").withColumn("strategy", F.lit(rank)).drop("v")
         found = hit if found is None else found.unionByName(hit)
+    found = materialise(found, "duplicates")
     first = found.groupBy("key").agg(F.min("strategy").alias("first")).withColumnRenamed("key", "first_key")
     kept = found.join(first, (F.col("key") == F.col("first_key")) & (F.col("strategy") == F.col("first")))
     if type_column:
@@ -60,27 +62,39 @@ def components_by_keys(df: DataFrame, values: list[Column], key: str) -> DataFra
     return df.select(key).where(F.col(key).isNotNull()).distinct().join(comp, F.col(key) == F.col("_node"), "left").select(key, F.coalesce("component", key).alias("component"))
 
 
-def greedy_partition(df: DataFrame, block: str, key: str, value: str, match: Callable[[str, str], bool], max_block: int = 5000) -> DataFrame:
+def greedy_partition(df: DataFrame, block: str, key: str, value: str, match: Callable[[str, str], bool], shares: Column | None = None) -> DataFrame:
     """``key, cluster``: within each block, a row joins the first cluster all of whose members it matches.
 
-    Order dependent: rows in key order. A block over ``max_block`` rows is an error that names it
-    rather than a silent cut; choose a finer block.
+    Order dependent: rows in key order. ``shares`` is an array of values of which two rows must have one in
+    common to match at all: rows that no chain of shared values connects never meet, so each connected
+    part of a block is a block by itself, with the same result. Rows come in order from a sorted stream.
     """
     key_type = df.schema[key].dataType.simpleString()
-
-    def partition(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_block:
-            raise ValueError(f"block {pdf[block].iloc[0]!r} has {len(pdf)} rows; use a finer block")
-        clusters: list[list[tuple]] = []
-        for k, v in pdf.sort_values(key)[[key, value]].itertuples(index=False):
-            home = next((c for c in clusters if all(match(v, other) for _, other in c)), None)
-            if home is None:
-                clusters.append([(k, v)])
-            else:
-                home.append((k, v))
-        return pd.DataFrame([(k, c[0][0]) for c in clusters for k, _ in c], columns=[key, "cluster"])
-
-    return df.select(block, key, value).groupBy(block).applyInPandas(partition, f"`{key}` {key_type}, cluster {key_type}")
+    rows = df.select(F.col(block).cast("string").alias("_block"), key, value)
+    if shares is not None:
+        shared = df.select(F.col(block).cast("string").alias("_block"), key, F.explode(shares).alias("_share")).where("_share is not null")
+        low = shared.groupBy("_block", "_share").agg(F.min(key).alias("dst"))
+        comp = connected_components(shared.join(low, ["_block", "_share"]).select(F.col(key).alias("src"), "dst"))
+        rows = rows.join(comp, F.col(key) == F.col("node"), "left").withColumn("_block", F.concat_ws("\x1f", "_block", F.coalesce("component", key).cast("string"))).select("_block", key, value)
+
+    def partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, clusters = None, []
+        for pdf in batches:
+            out = []
+            for part, k, v in pdf.itertuples(index=False):
+                if part != last:
+                    last, clusters = part, []
+                home = next((c for c in clusters if all(match(v, other) for other in c[1])), None)
+                if home is None:
+                    clusters.append((k, [v]))
+                    out.append((k, k))
+                else:
+                    home[1].append(v)
+                    out.append((k, home[0]))
+            yield pd.DataFrame(out, columns=[key, "cluster"])
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "_block").sortWithinPartitions("_block", key).mapInPandas(partition, f"`{key}` {key_type}, cluster {key_type}")
 
 
 def most_common(df: DataFrame, group: str, value: str, level: str | None = None, tie: str | None = None) -> DataFrame:
@@ -101,3 +115,38 @@ def merge_fields(df: DataFrame, group: str, order: str, scalars: list[str], sets
 def shape_clusters(df: DataFrame, key: Column, columns: list[str], least: int = 2) -> DataFrame:
     """``shape_key, n_shapes, n``: keys whose rows have at least ``least`` different contents."""
     return df.groupBy(key.alias("shape_key")).agg(F.count_distinct(F.md5(F.to_json(F.struct(*columns)))).alias("n_shapes"), F.count("*").alias("n")).where(F.col("n_shapes") >= least)
+
+
+def same_work(a: dict, b: dict, fields: dict[str, Callable[[object, object], str]]) -> bool:
+    """Whether two descriptions can be of one work: every field is EQUAL or COMPATIBLE, none CONFLICT."""
+    return all(compare(a.get(k), b.get(k)) != "CONFLICT" for k, compare in fields.items())
+
+
+def compatible_sets(a, b) -> str:
+    """EQUAL sets, COMPATIBLE if one holds the other (or is missing), else CONFLICT."""
+    x, y = (set(v if isinstance(v, list) else [] if v is None else [v]) for v in (a, b))
+    return "EQUAL" if x == y else "COMPATIBLE" if x <= y or y <= x else "CONFLICT"
+
+
+def merge_ordered(df: DataFrame, group: str, order: str, pickers: dict[str, str]) -> DataFrame:
+    """One row per group by a picker for each field: ``first``, ``longest``, ``most`` (the commonest), ``union`` (arrays), ``min``, ``max``.
+
+    Ties go to the first row in order, then to the smallest value.
+    """
+    ways = {
+        "first": lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(order, c))),
+        "longest": lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct((-F.length(c)).alias("l"), F.col(order), F.col(c)))),
+        "union": lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))),
+        "min": F.min,
+        "max": F.max,
+    }
+    out = df.groupBy(group).agg(F.count("*").alias("_n"), *[ways[w](c).alias(c) for c, w in pickers.items() if w != "most"])
+    for c in (c for c, w in pickers.items() if w == "most"):
+        best = most_common(df, group, c, tie=None).select(F.col(group).alias("_g"), c)
+        out = out.join(best, F.col(group) == F.col("_g"), "left").drop("_g")
+    return out.select(group, *pickers)
+
+
+def blocked_pairs(df: DataFrame, key: str, blocks: list[Column]) -> DataFrame:
+    """``key, block``: the blocks in which a row may find its likes; rows without any block value are left out."""
+    return df.select(key, F.explode(F.array_distinct(F.filter(F.array(*blocks), lambda b: b.isNotNull() & (b != "")))).alias("block"))

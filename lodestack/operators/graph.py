@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestack.functions.jsontree import links
 from lodestack.scratch import materialise
 
 #: Inverse links kept for each node and relation when a record is embellished.
@@ -113,17 +117,17 @@ def embellish(records: DataFrame, edges: DataFrame, content: dict[str, DataFrame
     record a level shows. Inverse links are bounded for each node and relation by ``MAX_INVERSE``.
     """
     forward = edges.select("src", "dst", relation)
-    w = W.partitionBy("dst", relation).orderBy("src")
-    inverse = edges.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MAX_INVERSE).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.concat(F.lit("@reverse."), relation).alias(relation))
     seen = records.select(F.col("node").alias("root"), "node", F.lit(0).alias("level"))
     if integral:
         seen = closure(forward.where(F.col(relation).isin(*integral)), records).select("root", "node", F.lit(0).alias("level"))
     seen = materialise(seen, "seen")
     out = seen.join(content[levels[0]], "node", "left").select("root", "node", "level", "data")
     frontier = seen
-    hops = forward.unionByName(inverse)
     for i, level in enumerate(levels, start=1):
-        found = frontier.join(hops, frontier["node"] == hops["src"]).select("root", F.col("dst").alias("node")).distinct()
+        nodes = frontier.select("node").distinct()
+        ahead = frontier.join(forward, frontier["node"] == forward["src"]).select("root", F.col("dst").alias("node"))
+        back = frontier.join(inverse_links(edges, nodes, relation), "node").select("root", F.col("source").alias("node"))
+        found = ahead.unionByName(back).distinct()
         new = materialise(found.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("level", F.lit(i)), "level")
         out = out.unionByName(new.join(content[level], "node", "left").select("root", "node", "level", "data"))
         seen = seen.unionByName(new)
@@ -131,6 +135,18 @@ def embellish(records: DataFrame, edges: DataFrame, content: dict[str, DataFrame
     return out
 
 
+def inverse_links(edges: DataFrame, nodes: DataFrame, relation: str = "relation", most: int = MAX_INVERSE) -> DataFrame:
+    """``node, relation, source``: what links to the given nodes, at most ``most`` (the smallest) by node and relation.
+
+    Only the given nodes' edges are looked at, and each task keeps the smallest of its own before they meet.
+    """
+    near = edges.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("node"), F.col(relation).alias("relation"), F.col("src").alias("source")).distinct()
+    near = near.withColumn("_salt", F.pmod(F.xxhash64("source"), F.lit(32)))
+    own = W.partitionBy("node", "relation", "_salt").orderBy("source")
+    first = near.withColumn("_n", F.row_number().over(own)).where(F.col("_n") <= most).drop("_n", "_salt")
+    return first.withColumn("_n", F.row_number().over(W.partitionBy("node", "relation").orderBy("source"))).where(F.col("_n") <= most).drop("_n")
+
+
 def replace_aliases(links: DataFrame, identifiers: DataFrame, iri: str = "iri") -> DataFrame:
     """Links to an alias as links to its main identifier. ``identifiers``: ``alias, main``."""
     return links.join(identifiers.withColumnRenamed("alias", iri), iri, "left").withColumn(iri, F.coalesce("main", iri)).drop("main")
@@ -160,3 +176,40 @@ def incremental_links(left_new: DataFrame, left_all: DataFrame, right_new: DataF
     a = left_new.join(right_all, key)
     b = left_all.join(right_new, key)
     return a.unionByName(b).distinct()
+
+
+def record_links(df: DataFrame, key: str, data: str) -> DataFrame:
+    """``src, relation, iri``: every link in a column of JSON records, by its dotted path."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(k, relation, iri) for k, text in pdf.itertuples(index=False) if text for relation, iri in links(json.loads(text))]
+            yield pd.DataFrame(rows, columns=["src", "relation", "iri"])
+
+    return df.select(key, data).mapInPandas(run, f"src {kind}, relation string, iri string")
+
+
+def rebuild_edges(df: DataFrame, key: str, data: str, identifiers: DataFrame) -> DataFrame:
+    """``src, relation, dst``: links between records, ids resolved (``identifiers``: ``iri, id``); links to nothing known are left out."""
+    return record_links(df, key, data).join(identifiers.select("iri", F.col("id").alias("dst")), "iri").select("src", "relation", "dst").distinct()
+
+
+def related(edges: DataFrame, node: str, relation: str | None = None, reverse: bool = False) -> DataFrame:
+    """``node, relation``: neighbours of one node, along or against its edges."""
+    here, there = ("dst", "src") if reverse else ("src", "dst")
+    found = edges.where(F.col(here) == node)
+    return (found.where(F.col("relation") == relation) if relation else found).select(F.col(there).alias("node"), "relation").distinct()
+
+
+def reachable(edges: DataFrame, pairs: DataFrame, symmetric_relations: tuple[str, ...] = (), relations: tuple[str, ...] | None = None) -> DataFrame:
+    """``a, b, reachable``: whether b can be reached from a over the given relations (symmetric ones both ways)."""
+    used = edges.where(F.col("relation").isin(*relations)) if relations else edges
+    used = symmetric(used, "relation", symmetric_relations) if symmetric_relations else used
+    reach = closure(used, pairs.select(F.col("a").alias("node")).distinct())
+    return pairs.join(reach.select(F.col("root").alias("a"), F.col("node").alias("b"), F.lit(True).alias("reachable")).distinct(), ["a", "b"], "left").select("a", "b", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+
+
+def split_labels(nodes: DataFrame, label: str, separators: str = r"\s*[,;/]\s*") -> DataFrame:
+    """One row for each of several labels (or codes) that stand in one text."""
+    return nodes.withColumn(label, F.explode(F.filter(F.split(F.col(label), separators), lambda x: F.trim(x) != "")))

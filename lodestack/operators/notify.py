@@ -15,34 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.functions.jsontree import get_path
+from lodestack.functions.text import differs as differs_in_text
+from lodestack.functions.text import life_span_differs
 
 #: Observations of one changed record; beyond it the record's own rule is used instead.
 MAX_OBSERVATIONS = 20
 
 
-def _edits(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(new[j - 1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
 def text_differs(before, after) -> bool:
-    """More than one edit apart, without regard to case and spaces; a missing side is no change."""
-    if not isinstance(before, str) or not isinstance(after, str):
-        return False
-    return _edits(" ".join(before.lower().split()), " ".join(after.lower().split())) > 1
+    """``text.differs`` on what may be no text at all."""
+    return differs_in_text(before if isinstance(before, str) else None, after if isinstance(after, str) else None)
 
 
-def life_span_differs(before, after) -> bool:
-    """A birth or a death year that both sides name differs."""
-    if not isinstance(before, str) or not isinstance(after, str):
+def part_differs(before, after) -> bool:
+    """Whether two organisations that both belong to a larger one belong to others, or are other units of it."""
+    a, b = before.get("isPartOf"), after.get("isPartOf")
+    if not isinstance(a, dict) or not isinstance(b, dict):
         return False
-    pairs = zip((before.split("-") + [""])[:2], (after.split("-") + [""])[:2])
-    return any(x.strip() and y.strip() and x.strip() != y.strip() for x, y in pairs)
+    return a.get("name") != b.get("name") or before.get("marc:subordinateUnit") != after.get("marc:subordinateUnit")
 
 
 def differs(before, after) -> bool:
@@ -52,7 +42,7 @@ def differs(before, after) -> bool:
 # The fields of an agent that make it another one, by type; "*" compares the whole.
 AGENT_FIELDS: dict[str, dict[str, Callable]] = {
     "Person": {"familyName": text_differs, "givenName": text_differs, "name": text_differs, "lifeSpan": life_span_differs},
-    "Organization": {"name": differs, "isPartOf": differs, "marc:subordinateUnit": differs},
+    "Organization": {"name": differs, "*": part_differs},
     "Meeting": {"place": differs, "date": differs, "name": differs},
     "Jurisdiction": {"*": differs},
     "Family": {"*": differs},
@@ -80,10 +70,13 @@ class Rule:
     part: str | None = None
     changed: Callable[[object, object], bool] = differs
     as_set: bool = False
+    also: tuple = ()  # a second path whose members count with the first one's
 
     def members(self, record: dict) -> list:
-        found = get_path(record, list(self.path))
-        found = found if isinstance(found, list) else [] if found is None else [found]
+        found = []
+        for path in filter(None, (self.path, self.also)):
+            at = get_path(record, list(path))
+            found += at if isinstance(at, list) else [] if at is None else [at]
         found = [x for x in found if not isinstance(x, dict) or self.pick(x)]
         return [x.get(self.part) if self.part and isinstance(x, dict) else x for x in found]
 
@@ -101,15 +94,19 @@ def _typed(*names: str) -> Callable[[dict], bool]:
     return lambda x: x.get("@type") in names
 
 
+def _titled(name: str) -> Callable[[dict], bool]:
+    return lambda x: x.get("@type") == name and bool(x.get("mainTitle"))
+
+
 # The rules for instances, in their order.
 INSTANCE_RULES = [
     Rule("primaryContribution", ("mainEntity", "instanceOf", "contribution"), _typed("PrimaryContribution"), "agent", agent_changed),
     Rule("intendedAudience", ("mainEntity", "instanceOf", "intendedAudience"), as_set=True),
     Rule("subject", ("mainEntity", "instanceOf", "subject"), as_set=True),
-    Rule("ddc", ("mainEntity", "instanceOf", "classification"), _typed("ClassificationDdc"), "code", as_set=True),
-    Rule("sab", ("mainEntity", "instanceOf", "classification"), lambda x: (x.get("inScheme") or {}).get("code") == "kssb", "code", as_set=True),
-    Rule("mainTitle", ("mainEntity", "hasTitle"), _typed("Title"), "mainTitle", text_differs),
-    Rule("keyTitle", ("mainEntity", "hasTitle"), _typed("KeyTitle"), "mainTitle", text_differs),
+    Rule("ddc", ("mainEntity", "instanceOf", "classification"), _typed("ClassificationDdc"), "code", as_set=True, also=("mainEntity", "classification")),
+    Rule("sab", ("mainEntity", "instanceOf", "classification"), lambda x: (x.get("inScheme") or {}).get("code") == "kssb", "code", as_set=True, also=("mainEntity", "classification")),
+    Rule("mainTitle", ("mainEntity", "hasTitle"), _titled("Title"), "mainTitle", text_differs),
+    Rule("keyTitle", ("mainEntity", "hasTitle"), _titled("KeyTitle"), "mainTitle", text_differs),
     Rule("serialRelation", ("mainEntity", "precededBy"), as_set=True),
     Rule("serialEnd", ("mainEntity", "publication"), lambda x: x.get("endYear") is not None, "endYear", differs),
 ]

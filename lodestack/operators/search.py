@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -207,3 +208,114 @@ def facet_tree(df: DataFrame, catalog: FieldCatalog, tree: dict, selected: dict[
             part = part.unionByName(facet_tree(inside, catalog, spec["sub"], rest, path + "."))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def constant_score(boosts: list[tuple[Column, float]], base: float = 1.0) -> Column:
+    """``base`` and the weight of every condition that holds; nothing is left out by it."""
+    out = F.lit(base)
+    for condition, weight in boosts:
+        out = out + F.when(two_valued(condition), weight).otherwise(0.0)
+    return out
+
+
+def default_facet(df: DataFrame, type_column: str = "type", size: int = 10) -> DataFrame:
+    """What a request without facets gets: rows by type."""
+    return terms(df, F.col(type_column), None, size)
+
+
+def range_facet(df: DataFrame, column: str, bounds: list[float]) -> DataFrame:
+    """``low, high, n``: rows in the half-open ranges between ascending bounds, open at both ends."""
+    ends = [None, *bounds, None]
+    low = F.lit(None).cast("double")
+    for b in bounds:
+        low = F.when(F.col(column) >= b, F.lit(float(b))).otherwise(low)
+    counted = df.where(F.col(column).isNotNull()).groupBy(low.alias("low")).agg(F.count("*").alias("n"))
+    high = F.lit(None).cast("double")
+    for a, b in list(zip(ends[:-1], ends[1:]))[:-1]:
+        high = F.when(F.col("low").eqNullSafe(F.lit(a).cast("double")), F.lit(float(b))).otherwise(high)
+    return counted.select("low", high.alias("high"), "n")
+
+
+def range_template(catalog: FieldCatalog, query: str, name: str) -> dict[str, str | None]:
+    """The bounds that a query sets on a field, for a form: ``{"min": …, "max": …}``."""
+    tree = Builder(catalog).build(query)
+    out: dict[str, str | None] = {"min": None, "max": None}
+    for n in tree.children if isinstance(tree, And) else (tree,):
+        if isinstance(n, Condition) and n.field.name.lower() == name.lower():
+            if n.operator in (">", ">="):
+                out["min"] = n.value
+            elif n.operator in ("<", "<="):
+                out["max"] = n.value
+    return out
+
+
+def sort_field(df: DataFrame, name: str) -> Column:
+    """The column that a field is sorted by: its four-digit form, its key form, or itself."""
+    return F.col(next((c for c in (f"{name}_4_digits", f"{name}_key", name) if c in df.columns)))
+
+
+def nested_sort(array: str, part: str, where: Callable[[Column], Column]) -> Column:
+    """The part of the first element that fits, to sort rows by (null: no such element)."""
+    return F.get(F.filter(array, where), F.lit(0)).getField(part)
+
+
+def collated(column: Column, locale: str = "sv") -> Column:
+    """A text to be sorted by the rules of a language, whatever its case."""
+    return F.collate(column, f"{locale}_CI" if locale else "UNICODE_CI")
+
+
+def scroll(df: DataFrame, order: list[str], size: int) -> DataFrame:
+    """All rows with the number of their page (from 0), for readers that take page after page."""
+    from lodestack.operators.store import chunks
+
+    return chunks(df, order, size).withColumnRenamed("chunk", "page")
+
+
+def multi_search(df: DataFrame, catalog: FieldCatalog, requests: dict[str, Request], unique: str) -> DataFrame:
+    """``request`` and the id of every hit of several requests, in one plan."""
+    out = None
+    for name, request in requests.items():
+        hits = search(df, catalog, request, unique).hits.select(F.lit(name).alias("request"), unique)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def merged_targets(targets: list[tuple[str, DataFrame]], key: str) -> DataFrame:
+    """Results of several targets as one: of rows with one key the first target's (ties: the smallest row)."""
+    out = None
+    for rank, (name, df) in enumerate(targets):
+        part = df.withColumn("target", F.lit(name)).withColumn("_rank", F.lit(rank))
+        out = part if out is None else out.unionByName(part)
+    columns = [c for c in out.columns if c not in ("_rank", key)]
+    return out.groupBy(key).agg(F.min(F.struct("_rank", *columns)).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
+def intersect_ids(lists: list[DataFrame], key: str) -> DataFrame:
+    """Ids that stand in every list."""
+    every = lists[0].select(key).distinct()
+    for other in lists[1:]:
+        every = every.join(other.select(key), key, "left_semi")
+    return every
+
+
+def approximate_distinct(df: DataFrame, by: str, column: str, error: float = 0.02) -> DataFrame:
+    """``by, n``: distinct values of each group within a relative standard error."""
+    return df.groupBy(by).agg(F.approx_count_distinct(column, error).alias("n"))
+
+
+def facet_page(counts: DataFrame, size: int, parents: dict[str, str] | None = None, parent: str | None = None) -> DataFrame:
+    """Facet values, the most frequent first; below a chosen parent only the values narrower than it."""
+    if parent is not None:
+        below = {v for v in (parents or {}) if _under(v, parent, parents or {})}
+        counts = counts.where(F.col("value").isin(*sorted(below)) if below else F.lit(False))
+    return counts.orderBy(F.col("n").desc(), "value").limit(size)
+
+
+def _under(value: str, parent: str, parents: dict[str, str]) -> bool:
+    seen = set()
+    while value in parents and value not in seen:
+        seen.add(value)
+        value = parents[value]
+        if value == parent:
+            return True
+    return False

@@ -130,3 +130,35 @@ def search_document(df: DataFrame, lenses: Lenses, type_: str, key: str, names:
     """What is searched of each record: texts of its chip, card and full lens, sort key, all ids."""
     text = [F.lower(lenses.text(group, type_, df.columns, " ")).alias(f"_{group}_text") for group in ("chips", "cards", "full") if lenses.properties(group, type_)]
     return df.select(key, *text, sort_key(lenses.text("chips", type_, df.columns, " ")).alias("_sort_key"), record_ids(*names).alias("_ids"))
+
+
+def drop_internal(df: DataFrame, names: tuple[str, ...] = (), prefix: str = "_") -> DataFrame:
+    """Without columns that are not for readers: named ones, and those that begin with ``prefix``."""
+    return df.select(*[F.col(c) for c in df.columns if c not in names and not c.startswith(prefix)])
+
+
+def result_item(df: DataFrame, key: str, lens: str, scores: dict[str, Column], reverse_links: DataFrame | None = None) -> DataFrame:
+    """``key``, the fields of the lens flattened, ``total_score`` with its ``parts``, and ``reverse_links`` (count of links to it)."""
+    total = sum((F.coalesce(c, F.lit(0.0)) for c in scores.values()), F.lit(0.0))
+    parts = F.create_map(*[x for n, c in scores.items() for x in (F.lit(n), F.coalesce(c, F.lit(0.0)))])
+    out = df.select(key, f"{lens}.*", total.alias("total_score"), parts.alias("parts"))
+    if reverse_links is None:
+        return out
+    counts = reverse_links.groupBy(F.col("dst").alias(key)).agg(F.count("*").alias("reverse_links"))
+    return out.join(counts, key, "left").withColumn("reverse_links", F.coalesce("reverse_links", F.lit(0).cast("long")))
+
+
+def keep_links(df: DataFrame, lenses: Lenses, group: str, type_: str, key: str, links: list[str]) -> DataFrame:
+    """The lens of each row with the ids of given links put back beside it."""
+    return lenses.apply(df, group, type_, key).join(df.select(key, *links), key)
+
+
+def virtual_records(df: DataFrame, key: str, embedded: str, suffix: str = "#work") -> DataFrame:
+    """``key, data, part_of``: embedded descriptions (a struct column) as records of their own, named after their record."""
+    return df.where(F.col(embedded).isNotNull()).select(F.concat(F.col(key).cast("string"), F.lit(suffix)).alias("id"), F.to_json(embedded).alias("data"), F.col(key).alias("part_of"))
+
+
+def inverse_properties(edges: DataFrame, inverses: dict[str, str]) -> DataFrame:
+    """``node, property, value``: links to a node as properties of its own, by the inverse of their relation; relations without one are left out."""
+    name = F.create_map(*[F.lit(x) for kv in inverses.items() for x in kv])[F.col("relation")]
+    return edges.select(F.col("dst").alias("node"), name.alias("property"), F.col("src").alias("value")).where("property is not null").distinct()

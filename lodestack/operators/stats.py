@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestack.functions.jsontree import walk_rows
+from lodestack.scratch import materialise
+
 #: Distinct values per path above which a shape reports a total only.
 MAX_VALUES = 512
 
@@ -14,8 +18,6 @@ def counter_with_examples(df: DataFrame, by: list[str], key: str, k: int = 3) ->
     out = df.groupBy(*by).agg(F.count("*").alias("n"), F.min(key).alias("example"))
     if k == 1:
         return out
-    from pyspark.sql import Window as W
-
     ranked = df.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(key))).where(F.col("_n") <= k)
     return out.drop("example").join(ranked.groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias("examples")), by)
 
@@ -27,8 +29,28 @@ def threshold_counts(df: DataFrame, by: str, limits: dict[str, int], default: in
 
 
 def quantiles(df: DataFrame, by: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Exact quantiles by linear interpolation."""
-    return df.groupBy(by).agg(*[F.percentile(value, p).alias(f"p{round(p * 100)}") for p in points])
+    """Exact quantiles by linear interpolation.
+
+    From counts of distinct values, so a group's state is never in one task: values are counted and
+    range-partitioned, running counts within partitions and the totals of partitions before give every
+    value's ranks, and the two values around each quantile are picked by them.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialise(counted.repartitionByRange(n, by, value).withColumn("_p", F.spark_partition_id()), "ranged")
+    own = W.partitionBy(by, "_p")
+    parts = ranged.groupBy(by, "_p").agg(F.sum("_n").alias("_in_part"))
+    before = parts.withColumn("_before", F.sum("_in_part").over(W.partitionBy(by).orderBy("_p")) - F.col("_in_part")).withColumn("_all", F.sum("_in_part").over(W.partitionBy(by))).drop("_in_part")
+    last = F.sum("_n").over(own.orderBy(value)) + F.col("_before")
+    ranked = ranged.join(before, [by, "_p"]).withColumn("_last", last - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    out = []
+    for p in points:
+        place = F.lit(p) * (F.col("_all") - 1)
+        low, high = (f(place) for f in (F.floor, F.ceil))
+        at = lambda rank: F.max(F.when((F.col("_first") <= rank) & (rank <= F.col("_last")), F.col(value)))
+        share = F.max(place - F.floor(place))
+        out.append((at(low) + (at(high) - at(low)) * share).alias(f"p{round(p * 100)}"))
+    return ranked.groupBy(by).agg(*out)
 
 
 def collect_notes(df: DataFrame, key: str, time: str, since, until, note: Column) -> DataFrame:
@@ -51,3 +73,43 @@ def json_shape(df: DataFrame, column: str, by: str | None = None, max_values: in
 def distinct_holders(df: DataFrame, work: str, holder: str) -> DataFrame:
     """Distinct holders of each work."""
     return df.groupBy(work).agg(F.count_distinct(holder).alias("n_holders"))
+
+
+def path_values(df: DataFrame, key: str, data: str, examples: int = 1) -> DataFrame:
+    """``path, value, n, example``: how often each value stands at each path of a JSON column (list places left out)."""
+    rows = walk_rows(df, key, data).withColumn("path", F.regexp_replace("path", r"/\d+(?=/|$)", ""))
+    return counter_with_examples(rows, ["path", "value"], key, examples)
+
+
+def shape_query(values: DataFrame, prefix: str) -> DataFrame:
+    """``key, n``: what stands below a path prefix, summed by the next step, the most frequent first.
+
+    ``values``: ``path, n`` as ``path_values`` gives them.
+    """
+    rest = F.substring(F.col("path"), len(prefix) + 2, 1 << 20)
+    below = values.where(F.col("path").startswith(prefix + "/")).select(F.split(rest, "/")[0].alias("key"), "n")
+    return below.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "key")
+
+
+def classify_text(df: DataFrame, text: str, patterns: list[tuple[str, str]], other: str = "other") -> DataFrame:
+    """``class, n``: rows by the first pattern that their text matches."""
+    name = F.lit(other)
+    for label, pattern in reversed(patterns):
+        name = F.when(F.col(text).rlike(pattern), label).otherwise(name)
+    return df.groupBy(name.alias("class")).agg(F.count("*").alias("n"))
+
+
+def relation_paths(edges: DataFrame, relation: str = "relation") -> DataFrame:
+    """``path, n, sources``: how often each relation path is used, and by how many nodes."""
+    return edges.groupBy(F.col(relation).alias("path")).agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
+
+
+def unique_by_period(df: DataFrame, value: Column, period: Column) -> DataFrame:
+    """``period, n``: distinct values that count (not null) by period."""
+    rows = df.select(period.alias("period"), value.alias("value")).where("value is not null and period is not null")
+    return rows.groupBy("period").agg(F.count_distinct("value").alias("n"))
+
+
+def earliest(df: DataFrame, time: str) -> DataFrame:
+    """One row: the earliest time of all."""
+    return df.agg(F.min(time).alias("earliest"))

@@ -12,8 +12,10 @@ def effective_time(*columns: str) -> Column:
     return F.greatest(*map(F.col, columns)) if len(columns) > 1 else F.col(columns[0])
 
 
-def scan(df: DataFrame, time: str | None = None, since=None, until=None, deleted: str | None = None, include_deleted: bool = False) -> DataFrame:
-    """Full scan, optionally bounded in time, without deleted rows unless asked."""
+def scan(df: DataFrame, time: str | None = None, since=None, until=None, deleted: str | None = None, include_deleted: bool = False, collection: tuple[str, str] | None = None) -> DataFrame:
+    """Full scan, optionally of one collection (column, value) or bounded in time, without deleted rows unless asked."""
+    if collection:
+        df = df.where(F.col(collection[0]) == collection[1])
     if time and since is not None:
         df = df.where(F.col(time) >= since)
     if time and until is not None:
@@ -168,3 +170,14 @@ def chunks(df: DataFrame, order: list[str], size: int) -> DataFrame:
     base = F.create_map(*offsets)[F.col("_p")] if offsets else F.lit(0)
     rank = F.row_number().over(W.partitionBy("_p").orderBy(*order)) + base
     return ranged.withColumn("chunk", ((rank - 1) / size).cast("long")).drop("_p")
+
+
+def attached(holdings: DataFrame, records: DataFrame, item_of: str, ids: str) -> DataFrame:
+    """Holdings whose ``item_of`` is one of a record's identifiers (an array column), each once."""
+    known = records.select(F.explode(ids).alias(item_of)).distinct()
+    return holdings.join(known, item_of, "left_semi")
+
+
+def holding_of(holdings: DataFrame, wanted: DataFrame, item_of: str, held_by: str) -> DataFrame:
+    """Holdings by what they are of and who holds them (two-key join; pairs without a holding are left out)."""
+    return wanted.select(item_of, held_by).distinct().join(holdings, [item_of, held_by])

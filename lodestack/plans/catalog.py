@@ -62,18 +62,25 @@ class Hierarchy:
 class FieldCatalog:
     """Fields by name, case-insensitive, with aliases and named sub-queries."""
 
-    def __init__(self, fields: list[Field], aliases: dict[str, str] | None = None, filters: dict[str, str] | None = None, types: Hierarchy | None = None, text: tuple[str, ...] = (), coerce: dict[tuple[str, str], str] | None = None):
+    def __init__(self, fields: list[Field], aliases: dict[str, str] | None = None, filters: dict[str, str] | None = None, types: Hierarchy | None = None, text: tuple[str, ...] = (), coerce: dict[tuple[str, str], str] | None = None, labels: dict[str, Labels] | None = None, codes: dict[str, dict[str, str]] | None = None):
         self.fields = {f.name.lower(): f for f in fields}
         self.aliases = {k.lower(): v.lower() for k, v in (aliases or {}).items()}
         self.filters = dict(filters or {})
         self.types = types or Hierarchy()
         self.text = text  # fields that free text is looked up in
         self.coerce = coerce or {}  # (field, value) -> narrower field
+        self.labels = labels or {}  # field -> labels of its terms
+        self.codes = {k.lower(): v for k, v in (codes or {}).items()}  # old code -> value -> query text that it stands for
 
     def get(self, name: str) -> Field | None:
         key = name.lower()
         return self.fields.get(self.aliases.get(key, key))
 
+    def term(self, f: Field, value: str) -> str:
+        """The term that a label names for a field; an unknown or ambiguous label stays as it is."""
+        known = self.labels.get(f.name)
+        return (known.get(value) if known else None) or value
+
     def narrower(self, f: Field, value: str) -> Field:
         """The property that replaces ``f`` for a given value."""
         other = self.coerce.get((f.name, value))

@@ -152,7 +152,9 @@ class Compiler:
         return test
 
     def _element(self, c: Condition, e: Column) -> Column:
-        value = e.getField(c.field.path)
+        value = e
+        for step in c.field.path.split("."):
+            value = value.getField(step)
         test = value.isNotNull() if c.exists else has_tokens(value, c.tokens, c.connective) if c.tokens else compare(value, c.field, c.operator, c.value)
         for name, wanted in c.field.fixed:
             test = test & (e.getField(name) == F.lit(wanted))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestack.plans.catalog import FieldCatalog
 from lodestack.plans.compiler import Compiler, two_valued
-from lodestack.plans.tree import Condition
+from lodestack.plans.tree import And, Condition
 
 _BOUNDS = {"min-": ">=", "minEx-": ">", "max-": "<=", "maxEx-": "<"}
 
@@ -69,3 +69,18 @@ def site_filter(prefix: str, iri: str = "id", same_as: str | None = None) -> Col
     """Rows whose identifier, or one of its aliases, begins with ``prefix``."""
     own = two_valued(F.col(iri).startswith(prefix))
     return own | two_valued(F.exists(same_as, lambda x: x.startswith(prefix))) if same_as else own
+
+
+def nested_predicate(params: dict[str, list[str]], catalog: FieldCatalog) -> Column:
+    """``and-`` values on fields of one array: the n-th values of all its keys must hold for one element each."""
+    by_array: dict[str, dict[str, list[str]]] = {}
+    for key, values in params.items():
+        f = catalog.get(key.removeprefix("and-"))
+        if key.startswith("and-") and f is not None and f.nested:
+            by_array.setdefault(f.nested, {})[f.name] = values
+    compile_, out = Compiler(catalog), F.lit(True)
+    for fields in by_array.values():
+        for i in range(max(map(len, fields.values()))):
+            wanted = [Condition(catalog.get(name), ":", values[i]) for name, values in fields.items() if i < len(values)]
+            out = out & two_valued(compile_(And(tuple(wanted))))
+    return out

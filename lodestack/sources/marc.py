@@ -78,6 +78,44 @@ def to_xml(record: dict) -> str:
     return "".join(out) + "</record>"
 
 
+def from_xml(text: str) -> list[dict]:
+    """Records of a MARCXML document, whatever its namespace prefix."""
+    import xml.etree.ElementTree as tree
+
+    def local(e) -> str:
+        return e.tag.rpartition("}")[2]
+
+    out = []
+    for record in (e for e in tree.fromstring(text).iter() if local(e) == "record"):
+        made: dict = {"leader": " " * 24, "fields": []}
+        for e in record:
+            if local(e) == "leader":
+                made["leader"] = e.text or ""
+            elif local(e) == "controlfield":
+                made["fields"].append({e.get("tag"): e.text or ""})
+            elif local(e) == "datafield":
+                subfields = [{x.get("code"): x.text or ""} for x in e if local(x) == "subfield"]
+                made["fields"].append({e.get("tag"): {"ind1": e.get("ind1", " "), "ind2": e.get("ind2", " "), "subfields": subfields}})
+        out.append(made)
+    return out
+
+
+def read_marcxml(spark: SparkSession, path: str) -> DataFrame:
+    """``file, position, marc``: every record of every MARCXML file, as JSON text; a file that is no XML has one null."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for file, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    rows += [(file, i, json.dumps(r, ensure_ascii=False)) for i, r in enumerate(from_xml(bytes(content).decode("utf-8", "replace")))]
+                except SyntaxError:
+                    rows.append((file, 0, None))
+            yield pd.DataFrame(rows, columns=["file", "position", "marc"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, position int, marc string")
+
+
 def usage(df: DataFrame, marc: str = "marc", floor: int = 1) -> DataFrame:
     """``tag, code, n``: how many subfields (or control fields) of each kind occur, from ``floor`` on."""
 

@@ -26,13 +26,18 @@ def read_nquads(spark: SparkSession, path: str) -> DataFrame:
 
     is_literal = F.regexp_extract("value", rf"^\s*(?:{_IRI}|{_BLANK})\s+{_IRI}\s+(\")", 4) == '"'
     literal = F.regexp_extract("value", _QUAD, 6)
-    for sign, char in (("t", "\t"), ("n", "\n"), ("r", "\r")):
+    for sign, char in (("t", "\t"), ("n", "\n"), ("r", "\r"), ("b", "\b"), ("f", "\f")):
         literal = F.regexp_replace(literal, rf"(?<!\\)((?:\\\\)*)\\{sign}", "$1" + char)
     literal = F.regexp_replace(literal, r"\\([\"\\])", "$1")
     kind = F.when(is_literal, "literal").when(part(4).isNotNull(), "iri").otherwise("blank")
     return lines.select(F.coalesce(part(1), part(2)).alias("s"), part(3).alias("p"), F.when(is_literal, literal).otherwise(F.coalesce(part(4), part(5))).alias("o"), kind.alias("o_type"), part(7).alias("datatype"), part(8).alias("lang"), F.coalesce(part(9), part(10)).alias("g"))
 
 
+def bad_nquads(spark: SparkSession, path: str) -> DataFrame:
+    """``value``: lines that ``read_nquads`` leaves out although they are neither empty nor comments."""
+    return spark.read.text(path).where(~F.col("value").rlike(_QUAD) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
 def nquad_lines(quads: DataFrame) -> DataFrame:
     """``value``: statements as N-Quads lines."""
     def node(c: str) -> Column:
@@ -247,3 +252,50 @@ def rdf_xml(rows: list[tuple]) -> str:
         out.append(f"<rdf:Description {about}>{inner}</rdf:Description>")
     spaces = "".join(f' xmlns:{n}={quoteattr(iri)}' for iri, n in names.items())
     return f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"{spaces}>' + "".join(out) + "</rdf:RDF>"
+
+
+_GRAPH = re.compile(r"(?:\bGRAPH\s+)?(<[^<>\s]*>|[A-Za-z_][\w.-]*:[\w%.-]*|_:[\w.-]+)?\s*\{")
+
+
+def parse_trig(text: str, base: str = "") -> Iterator[tuple]:
+    """``s, p, o, o_type, datatype, lang, g`` of a TriG document: Turtle with named graphs in braces."""
+    prefixes = dict(re.findall(r"(?im)^\s*@?prefix\s+([\w-]*):\s*<([^>]*)>", text))
+    heads = "\n".join(f"@prefix {p}: <{iri}> ." for p, iri in prefixes.items()) + "\n"
+    rest, at, depth_at = "", 0, 0
+    while True:
+        m = _GRAPH.search(text, at)
+        if m is None:
+            rest += text[at:]
+            break
+        rest += text[at : m.start()]
+        depth_at = m.end()
+        end, quoted = depth_at, False
+        while end < len(text) and (quoted or text[end] != "}"):
+            if text[end] == "\\":
+                end += 1
+            elif text[end] == '"':
+                quoted = not quoted
+            end += 1
+        name = m.group(1)
+        if name and name[0] != "<" and not name.startswith("_:"):
+            p, _, local = name.partition(":")
+            name = prefixes.get(p, p + ":") + local
+        body = text[depth_at:end].strip()
+        body += "" if not body or body.endswith(".") else " ."
+        for row in parse_turtle(heads + body, base):
+            yield (*row, name.strip("<>") if name else None)
+        at = end + 1
+    for row in parse_turtle(rest, base):
+        yield (*row, None)
+
+
+def read_trig(spark: SparkSession, path: str, base: str = "") -> DataFrame:
+    """``s, p, o, o_type, datatype, lang, g``: statements of TriG files, one file in one task."""
+    columns = ["s", "p", "o", "o_type", "datatype", "lang", "g"]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [r for content in pdf["content"] for r in parse_trig(bytes(content).decode("utf-8"), base)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ", ".join(f"{c} string" for c in columns))

@@ -78,3 +78,18 @@ def identifiers(df: DataFrame, data: str = "data", key: str = "record_id") -> Da
         part = part.select("id", "x.iri", "graph_index", "x.main_id").where("iri is not null")
         parts = part if parts is None else parts.unionByName(part)
     return parts
+
+
+def load_sql(spark: SparkSession, sql: str, **named) -> DataFrame:
+    """A query text with named parameters (``:name``); values are bound, never put into the text."""
+    return spark.sql(sql, args=named)
+
+
+def iterate(df: DataFrame, prefetch: bool = True):
+    """Rows one after the other, a partition at a time on the driver."""
+    yield from df.toLocalIterator(prefetch)
+
+
+def in_dataset(df: DataFrame, array: str, dataset: str) -> DataFrame:
+    """Rows whose list of datasets has the given one."""
+    return df.where(F.coalesce(F.array_contains(array, dataset), F.lit(False)))

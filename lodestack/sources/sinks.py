@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators.store import chunks
@@ -36,3 +36,30 @@ def write_chunks(df: DataFrame, order: list[str], size: int, path: str, mode: st
 def dump_page(df: DataFrame, order: list[str], offset: int, size: int) -> DataFrame:
     """A page of a dump."""
     return df.orderBy(*order).offset(offset).limit(size)
+
+
+def sync_graphs(stored: DataFrame, changed: DataFrame, deleted: DataFrame, graph: str = "g") -> DataFrame:
+    """Quads after graphs were written anew or deleted: a graph is replaced as a whole."""
+    gone = changed.select(graph).distinct().unionByName(deleted.select(graph).distinct())
+    return stored.join(gone, graph, "left_anti").select(*stored.columns).unionByName(changed.select(*stored.columns))
+
+
+def oai_records(page: DataFrame, key: str, time: str, xml: str, deleted: str | None = None) -> DataFrame:
+    """``value``: one OAI-PMH record element for each row; a deleted one has a header only. ``xml`` is a column of well-formed metadata."""
+    def escaped(c: Column) -> Column:
+        out = c.cast("string")
+        for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            out = F.replace(out, F.lit(raw), F.lit(safe))
+        return out
+
+    gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
+    stamp = F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    head = F.concat(F.when(gone, '<header status="deleted">').otherwise("<header>"), F.lit("<identifier>"), escaped(F.col(key)), F.lit("</identifier><datestamp>"), stamp, F.lit("</datestamp></header>"))
+    body = F.when(gone, "").otherwise(F.concat(F.lit("<metadata>"), F.col(xml), F.lit("</metadata>")))
+    return page.select(key, F.concat(F.lit("<record>"), head, body, F.lit("</record>")).alias("value"))
+
+
+def write_report(df: DataFrame, path: str, name: str) -> str:
+    """A named report as tab-separated text with a header; returns its folder."""
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{path}/{name}")
+    return f"{path}/{name}"

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from lodestack.scratch import new_path
 
@@ -18,13 +17,23 @@ def read_stream(spark: SparkSession, path: str, schema, glob: str | None = None,
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
-def drain(df: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Run a stream until all that is there has been read; checkpoints in the shared folder."""
+def drain(df: DataFrame, name: str, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+    """Run a stream until all that is there has been read; checkpoints and result lie in the shared folder.
+
+    Without ``batch`` the result comes back as a table: all rows in append mode, the last batch's in
+    complete mode. Nothing of it passes through the driver.
+    """
     spark = df.sparkSession
+    path = new_path(spark, name)
+    if batch is None:
+        spark.createDataFrame([], df.schema).write.parquet(f"{path}/batch=-1")  # a stream without rows gives an empty table
+
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True)
-    query = writer.foreachBatch(batch).start() if batch else writer.format("memory").queryName(name).start()
-    query.awaitTermination()
-    return query
+    writer.foreachBatch(batch or write).start().awaitTermination()
+    return None if batch else spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def activities(versions: DataFrame, key: str, time: str, tiebreak: str, deleted: Column | None = None) -> DataFrame:
@@ -90,7 +99,27 @@ def upsert_batches(path: str, key: str, order: list[str]) -> Callable[[DataFrame
 
 
 def digest(observations: DataFrame, subscriptions: DataFrame, concerns: str, category: str, created: str, since) -> DataFrame:
-    """``subscriber, concerned, categories, latest``: what each subscriber is told about, since a time."""
+    """``subscriber, concerned, categories, latest``: what each subscriber is told about, since a time.
+
+    Observations that name their subscriber are joined by subscriber and category, so a category that
+    everybody takes is no single key; others go to all who take their category.
+    """
     new = observations.where(F.col(created) > since)
-    joined = new.join(subscriptions.withColumnRenamed("category", category), category)
+    on = [category, *[c for c in ("subscriber",) if c in observations.columns]]
+    joined = new.join(subscriptions.withColumnRenamed("category", category), on)
     return joined.groupBy("subscriber", concerns).agg(F.array_sort(F.collect_set(category)).alias("categories"), F.max(created).alias("latest"))
+
+
+def apply_activities(dump: DataFrame, activities: DataFrame, key: str, order: list[str], kind: str = "activity") -> DataFrame:
+    """A dump brought up to date: each key's latest activity replaces its row, or deletes it."""
+    columns = dump.columns
+    last = activities.groupBy(key).agg(F.max_by(F.struct(*columns, kind), F.struct(*order)).alias("a"))
+    kept = dump.join(last.select(key), key, "left_anti").select(*columns)
+    return kept.unionByName(last.where(F.col(f"a.{kind}") != "delete").select(*[F.col(f"a.{c}").alias(c) for c in columns]))
+
+
+def card_changes(versions: DataFrame, key: str, time: str, tiebreak: str, card: Column) -> DataFrame:
+    """Versions whose card (what others show of the record) differs from the one before."""
+    w = W.partitionBy(key).orderBy(time, tiebreak)
+    marked = versions.withColumn("_card", card).withColumn("_before", F.lag("_card").over(w)).withColumn("_nth", F.row_number().over(w))
+    return marked.where((F.col("_nth") > 1) & ~F.col("_card").eqNullSafe(F.col("_before"))).drop("_card", "_before", "_nth")

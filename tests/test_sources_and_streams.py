@@ -66,8 +66,8 @@ def test_streams_agree_with_batch(spark, tmp_path):
     for i in range(2):
         df.where(f"v % 2 = {i}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
     stream = feeds.read_stream(spark, str(tmp_path / "in" / "*"), df.schema)
-    feeds.drain(feeds.counter_stream(stream, ["k"], F.col("v")), "counted", "complete")
-    assert {(r.k, r.n) for r in spark.table("counted").collect()} == {(r.k, r.n) for r in df.groupBy("k").agg(F.sum("v").alias("n")).collect()}
+    counted = feeds.drain(feeds.counter_stream(stream, ["k"], F.col("v")), "counted", "complete")
+    assert {(r.k, r.n) for r in counted.collect()} == {(r.k, r.n) for r in df.groupBy("k").agg(F.sum("v").alias("n")).collect()}
     out = str(tmp_path / "out")
     feeds.drain(stream, "upserted", batch=feeds.upsert_batches(out, "k", ["v"]))
     assert {(r.k, r.v) for r in spark.read.parquet(out).groupBy("k").agg(F.max("v").alias("v")).collect()} == {(0, 39), (1, 37), (2, 38)}
