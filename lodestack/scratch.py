@@ -86,10 +86,6 @@ def discard(*tables: DataFrame | None) -> None:
             remove(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Nothing is left to do here: ``materialise`` deletes the shuffle files of each step."""
-
-
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -254,38 +254,33 @@ def rdf_xml(rows: list[tuple]) -> str:
     return f'<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"{spaces}>' + "".join(out) + "</rdf:RDF>"
 
 
-_GRAPH = re.compile(r"(?:\bGRAPH\s+)?(<[^<>\s]*>|[A-Za-z_][\w.-]*:[\w%.-]*|_:[\w.-]+)?\s*\{")
+_PIECE = re.compile(r'"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*"|<[^<>\s]*>|#[^\n]*|[{}]|[^"<#{}]+|.', re.DOTALL)
+_NAME_BEFORE = re.compile(r"(?:\bGRAPH\s+)?(<[^<>\s]*>|[A-Za-z_][\w.-]*:[\w%.-]*|:[\w%.-]+|_:[\w.-]+)?\s*$")
 
 
 def parse_trig(text: str, base: str = "") -> Iterator[tuple]:
     """``s, p, o, o_type, datatype, lang, g`` of a TriG document: Turtle with named graphs in braces."""
     prefixes = dict(re.findall(r"(?im)^\s*@?prefix\s+([\w-]*):\s*<([^>]*)>", text))
     heads = "\n".join(f"@prefix {p}: <{iri}> ." for p, iri in prefixes.items()) + "\n"
-    rest, at, depth_at = "", 0, 0
-    while True:
-        m = _GRAPH.search(text, at)
-        if m is None:
-            rest += text[at:]
-            break
-        rest += text[at : m.start()]
-        depth_at = m.end()
-        end, quoted = depth_at, False
-        while end < len(text) and (quoted or text[end] != "}"):
-            if text[end] == "\\":
-                end += 1
-            elif text[end] == '"':
-                quoted = not quoted
-            end += 1
-        name = m.group(1)
-        if name and name[0] != "<" and not name.startswith("_:"):
-            p, _, local = name.partition(":")
-            name = prefixes.get(p, p + ":") + local
-        body = text[depth_at:end].strip()
-        body += "" if not body or body.endswith(".") else " ."
-        for row in parse_turtle(heads + body, base):
-            yield (*row, name.strip("<>") if name else None)
-        at = end + 1
-    for row in parse_turtle(rest, base):
+    outside, inside, name = "", None, None
+    for m in _PIECE.finditer(text):  # braces count outside literals, names and comments only
+        piece = m.group()
+        if piece == "{" and inside is None:
+            before = _NAME_BEFORE.search(outside)
+            name, outside, inside = before.group(1), outside[: before.start()], ""
+            if name and name[0] != "<" and not name.startswith("_:"):
+                p, _, local = name.partition(":")
+                name = prefixes.get(p, p + ":") + local
+        elif piece == "}" and inside is not None:
+            body = inside.strip()
+            for row in parse_turtle(heads + body + ("" if not body or body.endswith(".") else " ."), base):
+                yield (*row, name.strip("<>") if name else None)
+            inside = None
+        elif inside is None:
+            outside += piece
+        else:
+            inside += piece
+    for row in parse_turtle(outside, base):
         yield (*row, None)
 
 
