@@ -13,9 +13,9 @@ from lodestack.plans.catalog import Hierarchy
 @query("interval_overlaps", "select a.event_id l_id, b.event_id r_id from events a join events b on a.user_id = b.user_id and abs(a.value - b.value) < 5 and a.event_type = 'purchase' and b.event_type = 'error'")
 def interval_overlaps(spark, sf):
     e = read(spark, sf, "events")
-    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("l_id"), F.col("value").alias("a"), (F.col("value") + 5).alias("b"))
-    b = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("r_id"), F.col("value").alias("c"), (F.col("value") + 5).alias("d"))
-    return upkeep.overlaps(a, b, ("a", "b"), ("c", "d"), 10, ["user_id"]).select("l_id", "r_id")
+    a = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("l_id"), F.col("value").alias("a"))
+    b = e.where("event_type = 'error'").select("user_id", F.col("event_id").alias("r_id"), F.col("value").alias("b"))
+    return upkeep.within(a, b, "a", "b", 5, ["user_id"]).select("l_id", "r_id")
 
 
 _KEY = "md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators import graph, store
+from lodestack.operators.cells import met
 
 
 def soft_delete(records: DataFrame, edges: DataFrame, ids: DataFrame, key: str, deleted: str = "deleted") -> tuple[DataFrame, DataFrame]:
@@ -168,3 +169,21 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
     x, y = bucketed(left, a, b, "_x"), bucketed(right, c, d, "_y")
     pairs = x.join(y, ["_bucket", *on]).where((F.col(a) < F.col(d)) & (F.col(c) < F.col(b)) & (F.col("_bucket") == F.greatest("_x", "_y")))
     return pairs.drop("_bucket", "_x", "_y")
+
+
+def within(left: DataFrame, right: DataFrame, a: str, b: str, distance: float, on: list[str]) -> DataFrame:
+    """Pairs of rows that agree in ``on`` and whose numbers differ by less than ``distance``; the difference itself decides.
+
+    Numbers closer than that are in one bucket of twice the width or in neighbours, however they are rounded;
+    missing and non-finite numbers are near nothing.
+    """
+
+    def bucketed(df: DataFrame, x: str, reach: Iterable[int]) -> DataFrame:
+        known = F.abs(F.col(x)) < float("inf")
+        for c in on:
+            known = known & F.col(c).isNotNull()
+        bucket = F.floor(F.least(F.greatest(F.col(x) / (2 * distance), F.lit(-1e18)), F.lit(1e18)))
+        return df.where(known).withColumn("_bucket", F.explode(F.array(*[bucket + i for i in reach]))).withColumn("_v", F.struct(*on, "_bucket")).drop("_bucket")
+
+    pairs = met(bucketed(left, a, (0,)), bucketed(right, b, (-1, 0, 1)).drop(*on), "_v")
+    return pairs.where(F.abs(F.col(a) - F.col(b)) < distance).drop("_v")

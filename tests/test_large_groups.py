@@ -1,5 +1,6 @@
-"""Groups larger than any bound that a query might be tempted to set."""
+"""Groups larger than any bound that a query might be tempted to set, and values at the edge of a bucket."""
 
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from lodestack.operators import cells, graph, upkeep
@@ -24,3 +25,12 @@ def test_embellishing_follows_every_inverse_link(spark):
     assert out.where("level = 2 and data is null").count() == 0
     bounded = graph.embellish(records.where("collection = 'a'"), edges, {"cards": content, "chips": content}, ["cards", "chips"], most=5)
     assert bounded.where("level = 2").groupBy("root").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_distances_are_judged_by_the_difference_itself(spark, tmp_path):
+    values = [i / 100 for i in range(0, 4000, 7)] + [i / 100 + 5 for i in range(0, 4000, 7)] + [-0.0, -3.2, -5.0, 1e17, 1e17, 1e300, -1e300, float("inf"), float("nan"), None]
+    rows = [(i * 2 + k, u, kind, v) for i, v in enumerate(values) for k, kind in enumerate(("purchase", "error")) for u in (1,)] + [(-1, None, "purchase", 1.0), (-2, None, "error", 1.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted((r.l_id, r.r_id) for r in entry.queries()["interval_overlaps"](spark, str(tmp_path)).collect())
+    sides = [[(i, v) for i, u, kind, v in rows if kind == side and u is not None and v is not None] for side in ("purchase", "error")]
+    assert got == sorted((x, y) for x, a in sides[0] for y, b in sides[1] if abs(a - b) < 5)
