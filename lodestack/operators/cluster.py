@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodestack.operators.cells import met
 from lodestack.operators.components import connected_components
 from lodestack.scratch import materialise
 
@@ -17,24 +18,37 @@ def duplicates_by_keys(incoming: DataFrame, stored: DataFrame, strategies: list[
     """``key, match, strategy``: the first strategy, in order, that finds anything for an incoming row.
 
     A strategy is (incoming column, stored column), each a value or an array of values. Candidates
-    of another type are dropped unless either type is the wildcard.
+    of another type are dropped unless either type is the wildcard. Which strategy counts for a row is
+    found without making pairs: only the pairs of that strategy are made, a value's pairs in cells.
     """
 
-    def exploded(df: DataFrame, column: str) -> Column:
-        return F.explode(column) if df.schema[column].dataType.typeName() == "array" else F.col(column)
+    def rows(df: DataFrame, column: str, name: str, kind: str) -> DataFrame:
+        value = F.explode(column) if df.schema[column].dataType.typeName() == "array" else F.col(column)
+        out = df.select(F.col(key).alias(name), value.alias("v"), *([F.col(type_column).alias(kind)] if type_column else []))
+        return materialise(out.where(F.col(name).isNotNull() & F.col("v").isNotNull()).distinct(), "keys")
 
+    def repeats(df: DataFrame, name: str) -> bool:
+        return not df.groupBy(name).count().where("count > 1").isEmpty()
+
+    sides = [(rows(incoming, a, "key", "lt"), rows(stored, b, "match", "rt")) for a, b in strategies]
     found = None
-    for rank, (a, b) in enumerate(strategies):
-        left = incoming.select(F.col(key).alias("key"), exploded(incoming, a).alias("v"), *([F.col(type_column).alias("lt")] if type_column else []))
-        right = stored.select(F.col(key).alias("match"), exploded(stored, b).alias("v"), *([F.col(type_column).alias("rt")] if type_column else []))
-        hit = left.join(right, "v").where("key <> match").withColumn("strategy", F.lit(rank)).drop("v")
+    for rank, (left, right) in enumerate(sides):
+        ends = right.groupBy("v").agg(F.min("match").alias("low"), F.max("match").alias("high"))
+        hit = left.join(ends, "v").where("key <> low or key <> high").select("key", F.lit(rank).alias("strategy"))
         found = hit if found is None else found.unionByName(hit)
-    found = materialise(found, "duplicates")
-    first = found.groupBy("key").agg(F.min("strategy").alias("first")).withColumnRenamed("key", "first_key")
-    kept = found.join(first, (F.col("key") == F.col("first_key")) & (F.col("strategy") == F.col("first")))
-    if type_column:
-        kept = kept.where((F.col("lt") == F.col("rt")) | (F.col("lt") == wildcard) | (F.col("rt") == wildcard))
-    return kept.select("key", "match", "strategy").distinct()
+    first = materialise(found.groupBy("key").agg(F.min("strategy").alias("strategy")), "first")
+    out = None
+    for rank, (left, right) in enumerate(sides):
+        asked = left.join(first.where(F.col("strategy") == rank).select("key"), "key", "left_semi")
+        pairs = met(asked, right, "v").where("key <> match")
+        if type_column:
+            pairs = pairs.where((F.col("lt") == F.col("rt")) | (F.col("lt") == wildcard) | (F.col("rt") == wildcard))
+        pairs = pairs.select("key", "match", F.lit(rank).alias("strategy"))
+        # a pair comes twice only by several values: of both sides, or, where types differ, of either
+        again = repeats(left, "key") or repeats(right, "match") if type_column else repeats(left, "key") and repeats(right, "match")
+        pairs = pairs.distinct() if again else pairs
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
 
 
 def groups_by_key(df: DataFrame, value: Column, key: str) -> DataFrame:

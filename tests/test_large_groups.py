@@ -1,9 +1,11 @@
 """Groups larger than any bound that a query might be tempted to set, and values at the edge of a bucket."""
 
-import __spark_entry__ as entry
+import random
+
 from pyspark.sql import functions as F
 
-from lodestack.operators import cells, graph, upkeep
+import __spark_entry__ as entry
+from lodestack.operators import cells, cluster, graph, upkeep
 
 
 def test_cells_are_the_plain_join(spark):
@@ -34,3 +36,34 @@ def test_distances_are_judged_by_the_difference_itself(spark, tmp_path):
     got = sorted((r.l_id, r.r_id) for r in entry.queries()["interval_overlaps"](spark, str(tmp_path)).collect())
     sides = [[(i, v) for i, u, kind, v in rows if kind == side and u is not None and v is not None] for side in ("purchase", "error")]
     assert got == sorted((x, y) for x, a in sides[0] for y, b in sides[1] if abs(a - b) < 5)
+
+
+def test_strategies_equal_every_pair(spark):
+    r = random.Random(3)
+    incoming, stored = ([(i % 40 if i % 9 else None, [r.choice([None, *range(12)]) for _ in range(i % 4)], r.choice([None, 0, 1, 2]), r.choice(["Work", "Agent", "Instance", None])) for i in range(50)] for _ in range(2))
+    schema = "id int, a array<int>, b int, type string"
+    for typed in (False, True):
+        want = set()
+        for key in {x[0] for x in incoming} - {None}:
+            for rank, c in enumerate((1, 2)):
+                found = [(y[0], x[3], y[3]) for x in incoming for y in stored if x[0] == key and y[0] not in (None, key) for v in (x[c] if c == 1 else [x[c]]) if v is not None and v in (y[c] if c == 1 else [y[c]])]
+                if found:
+                    want |= {(key, m, rank) for m, s, t in found if not typed or (s is not None and s == t) or "Instance" in (s, t)}
+                    break
+        got = [tuple(x) for x in cluster.duplicates_by_keys(spark.createDataFrame(incoming, schema), spark.createDataFrame(stored, schema), [("a", "a"), ("b", "b")], "id", "type" if typed else None).collect()]
+        assert sorted(got) == sorted(want)
+
+
+def test_strategies_make_no_pairs_that_do_not_count(spark, monkeypatch):
+    written = []
+
+    def counted(df, name="step", plain=cluster.materialise):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(cluster, "materialise", counted)
+    n = 300
+    incoming, stored = (spark.range(n).select(F.concat(F.lit(p), "id").alias("k"), F.col("id").alias("b"), F.lit(1).alias("a")) for p in "cs")
+    got = {tuple(r) for r in cluster.duplicates_by_keys(incoming, stored, [("b", "b"), ("a", "a")], "k").collect()}
+    assert got == {(f"c{i}", f"s{i}", 0) for i in range(n)} and max(written) <= n
