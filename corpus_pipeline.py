@@ -27,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: the one with the smallest id (rows without an id stay).
 
-    Groups are by five-word shingles and a similarity of 0.8, found through MinHash bands (see the README
-    on why the index over fingerprints cannot find them).
+    Groups are by five-word shingles and a similarity of 0.8. Candidates come from the Gray-order index over
+    SimHash fingerprints and from MinHash bands (the README says what the index alone would miss).
     """
     docs = docs.select(*COLUMNS).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     groups = materialise(simhash.similar_documents(docs.select("doc_id", "text")), "groups")

@@ -12,8 +12,8 @@ at most twelve bits are free, so a group is bounded by construction. No link is
 returns a spanning forest of its links.
 
 The stage for near-duplicates by five-word shingles (``similar_documents``) takes its candidates from
-MinHash bands instead: no fingerprint distance that the index can search reaches a shingle similarity
-of 0.8 (the README has the figures).
+this index and, since no fingerprint distance that it can search reaches a shingle similarity of 0.8
+(the README has the figures), from MinHash bands as well; the shingles decide on both.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SKETCH, ERRORS = 1024, 4
 #: MinHash bands: texts with a similarity of J share one with probability 1 - (1 - J^5)^24, which is
 #: 0.99993 at 0.8, wherever in the texts they differ.
 BANDS, BAND_ROWS = 24, 5
+#: Keys of a text: the component of its fingerprint by the index, then its bands.
+KEYS = 1 + BANDS
 #: Groups of a band up to this size are compared in bulk; larger ones row by row against what is not linked yet.
 BULK_GROUP = 64
 #: Rows of a band value that one task compares; larger groups are linked to a pivot first, and what is left meets in cells of this size.
@@ -506,16 +508,16 @@ def common(one: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndar
 
 
 def _decided(accept: float, reject: float, similarity: float):
-    """Arrow function over rows (cell, key, side, rep, component, sketch, bands, grams) sorted by cell.
+    """Arrow function over rows (cell, key, side, rep, component, sketch, keys, grams) sorted by cell.
 
     Pairs of a cell that the sketches leave open and that no links join yet link if the Jaccard
-    similarity of their whole shingle sets is high enough. A pair is decided in its first common band.
+    similarity of their whole shingle sets is high enough. A pair is decided at its first common key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             cell, key, side, rep, component = (group.column(c).to_numpy() for c in ("cell", "key", "side", "rep", "component"))
-            sketches, bands = _sketches_of(group), group.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+            sketches, keys = _sketches_of(group), group.column("keys").flatten().to_numpy().reshape(-1, KEYS)
             sizes, flat = group.column("grams").value_lengths().to_numpy().astype(np.int64), group.column("grams").flatten().to_numpy().view(np.uint64)
             starts, label = np.cumsum(sizes) - sizes, np.unique(component, return_inverse=True)[1]
             ends = np.searchsorted(cell, cell, side="right")
@@ -524,8 +526,8 @@ def _decided(accept: float, reject: float, similarity: float):
                 others = i + 1 + np.flatnonzero((label[i + 1 : ends[i]] != label[i]) & ((side[i] == 0) | (side[i + 1 : ends[i]] != side[i])))
                 d = differences(sketches, np.full(len(others), i), others)
                 others = others[(d > accept) & (d <= reject)]
-                same = bands[others] == bands[i]
-                others = others[bands[i][same.argmax(axis=1)] == key[i]]
+                same = keys[others] == keys[i]
+                others = others[keys[i][same.argmax(axis=1)] == key[i]]
                 if len(others):
                     both = common(flat[starts[i] : starts[i] + sizes[i]], flat, starts[others], sizes[others])
                     for j in others[both / (sizes[i] + sizes[others] - both) >= similarity]:
@@ -557,9 +559,10 @@ def shingle_sets(kinds: DataFrame, docs: DataFrame, reps: DataFrame, shingle: in
 def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, cell_rows: int = CELL_ROWS, cell_sets: int = CELL_SETS) -> DataFrame:
     """``doc_id, text_hash, component_id, kept`` for every row of ``docs`` with an id: texts linked by similar shingles.
 
-    Equal texts always link; other texts link if they share a MinHash band of their five-word
-    shingles and have a Jaccard similarity of at least ``similarity``: by their sketches where these
-    are sure, else by their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable;
+    Equal texts always link; other texts link if the Gray-order index joins their SimHash fingerprints
+    (``near_duplicates``) or they share a MinHash band of their five-word shingles, and they have a
+    Jaccard similarity of at least ``similarity``: by their sketches where these are sure, else by
+    their whole shingle sets. ``component_id`` is the smallest ``doc_id`` reachable;
     ``kept`` says that the row has the one text that stands for its group (of the smallest id, then of
     the smallest ``text_hash``, the XXH64 of the text). Null text counts as empty; rows with a null
     ``doc_id`` are left out; repeated rows each give a row, and rows that repeat an id with another
@@ -567,20 +570,28 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     """
 
     def run(batch: pa.RecordBatch):
-        sketches, keys = [], []
-        for t in batch.column("text"):
-            least = least_hashes(shingle_hashes(t.as_py(), shingle))
+        sketches, keys, fps = [], [], np.empty(batch.num_rows, dtype=np.uint64)
+        for i, t in enumerate(batch.column("text").to_pylist()):
+            least = least_hashes(shingle_hashes(t, shingle))
             sketches.append(one_bit(least))
             keys.append(band_keys(least))
+            fps[i] = fingerprint(t)
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sketches, pa.binary()), bands], names=["doc_id", "text_hash", "sketch", "bands"])
+        columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(sketches, pa.binary()), bands, pa.array(fps.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "sketch", "bands", "fp"])
 
     rows = documents(docs).where("doc_id is not null")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = materialise(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, sketch binary, bands array<long>").withColumn("kind", F.xxhash64("sketch", "bands")), "marks")
-    first = F.min(F.struct("doc_id", "text_hash", "sketch", "bands")).alias("first")
-    reps = materialise(marks.groupBy("kind").agg(first).select("kind", F.col("first.doc_id").alias("doc"), "first.text_hash", "first.sketch", "first.bands"), "reps")
-    spread = reps.select(F.explode("bands").alias("key"), F.col("kind").alias("rep"), "kind").repartition(n, "key").sortWithinPartitions("key")
+    marks = materialise(map_batches(rows.withColumn("text_hash", F.xxhash64("text")), run, "doc_id long, text_hash long, sketch binary, bands array<long>, fp long").withColumn("kind", F.xxhash64("sketch", "bands", "fp")), "marks")
+    near = links(marks.select("fp").distinct().withColumn("rep", F.col("fp")))
+    joined = connected_components(near)
+    first = F.min(F.struct("doc_id", "text_hash", "sketch", "bands", "fp")).alias("first")
+    reps = marks.groupBy("kind").agg(first).select("kind", F.col("first.doc_id").alias("doc"), "first.text_hash", "first.sketch", "first.bands", "first.fp")
+    index_key = F.xxhash64(F.lit("index"), F.coalesce("component", "fp"))
+    reps = reps.join(joined, F.col("fp") == F.col("node"), "left").select("kind", "doc", "text_hash", "sketch", F.concat(F.array(index_key), "bands").alias("keys"))
+    reps = materialise(reps, "reps")
+    discard(near, joined)
+    spread = reps.select(F.explode("keys").alias("key"), F.col("kind").alias("rep"), "kind").repartition(n, "key").sortWithinPartitions("key")
     shared = materialise(spread.mapInArrow(_repeated, "key long, rep long, kind long"), "shared")
     error = ERRORS * ((1 - similarity) * (1 + similarity) / SKETCH) ** 0.5
     accept, reject = (1 - similarity - error) / 2 * SKETCH, (1 - similarity + error) / 2 * SKETCH
@@ -594,7 +605,7 @@ def similar_documents(docs: DataFrame, similarity: float = 0.8, shingle: int = 5
     open_ = doubtful.groupBy(F.col("key").alias("o_key")).agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("o_key", _blocks("n", cell_sets).alias("blocks"))
     doubtful = materialise(doubtful.join(open_, F.col("key") == F.col("o_key")).select("key", "kind", F.col("kind").alias("rep"), "component", "blocks"), "doubtful")
     grams = materialise(shingle_sets(doubtful.select("kind").distinct(), rows, known, shingle), "grams")
-    dealt = _pairs_of_blocks(doubtful).select("cell", "key", "side", "rep", "kind", "component").join(reps.select("kind", "sketch", "bands"), "kind").join(grams, "kind").drop("kind")
+    dealt = _pairs_of_blocks(doubtful).select("cell", "key", "side", "rep", "kind", "component").join(reps.select("kind", "sketch", "keys"), "kind").join(grams, "kind").drop("kind")
     more = dealt.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(_decided(accept, reject, similarity), "src long, dst long")
     more = materialise(more, "decided")
     comp = connected_components(known.where("kind <> component").select(F.col("kind").alias("src"), F.col("component").alias("dst")).unionByName(more))

@@ -1,6 +1,7 @@
 import os
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -8,7 +9,7 @@ import helpers  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from lodestack.llm import decontaminate, pii  # noqa: E402
+from lodestack.llm import decontaminate, pii, simhash  # noqa: E402
 
 
 @pytest.fixture
@@ -80,3 +81,18 @@ def test_empty_documents(spark, corpus):
 def test_everything_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+
+
+def test_near_duplicates_come_from_the_fingerprint_index(spark, monkeypatch):
+    def nothing_in_common(least):
+        return np.random.default_rng().integers(-(1 << 62), 1 << 62, size=simhash.BANDS)
+
+    whole = helpers.prose(1, 900)
+    filler = "spam " * 300
+    rows = [(1, whole), (2, whole + " and one"), (3, whole), (4, helpers.prose(2, 900)), (5, filler + helpers.prose(3, 60)), (6, filler + helpers.prose(4, 60)), (None, whole)]
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    assert (fps[1] ^ fps[2]).bit_count() <= 3 and fps[5] == fps[6]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    monkeypatch.setattr(simhash, "band_keys", nothing_in_common)
+    kept = [r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == [1, 4, 5, 6, None]  # 5 and 6 have one fingerprint, but not similar shingles
