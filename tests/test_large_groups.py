@@ -29,6 +29,40 @@ def test_embellishing_follows_every_inverse_link(spark):
     assert bounded.where("level = 2").groupBy("root").count().agg(F.max("count")).first()[0] <= 5
 
 
+def test_embellishing_joins_links_and_not_pairs(spark, monkeypatch):
+    n = 300
+    records = spark.range(n).select(F.concat(F.lit("c"), "id").alias("node"))
+    edges = records.select(F.col("node").alias("src"), F.lit("hub").alias("dst"), F.lit("home").alias("relation"))
+    content = records.select("node", F.lit("x").alias("data"))
+    monkeypatch.setattr(graph, "met", lambda *a, **more: cells.met(*a, rows=70, **more))
+    out = graph.embellish(records, edges, {"cards": content, "chips": content}, ["cards", "chips"])
+    assert {(r.root, r.node) for r in out.where("level = 2 and data = 'x'").collect()} == {(f"c{i}", f"c{j}") for i in range(n) for j in range(n) if i != j} and out.count() == n * (n + 1)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and plan.count("LeftOuter") == 2  # levels 0 and 1 only
+
+
+def test_embellishing_equals_a_walk_by_hand(spark):
+    r = random.Random(5)
+    names = [f"n{i}" for i in range(30)] + ["hub", None]
+    for case, integral in enumerate(((), ("y",))):  # a closure of no edges: distinct roots
+        links = {(r.choice(names), r.choice(names)) for _ in range(30)} | {(f"n{i}", "hub") for i in range(20)} | {("hub", None), ("n0", "n0")}
+        content = [(x, d) for x in names[:20] for d in "uv"[: r.randint(1, 2)]] + [(None, "no")]  # some show two rows
+        starts = [f"n{i}" for i in range(0, 30, 3)] + (["n3", None] if not case else [])
+        tables = spark.createDataFrame([(s, d, "x") for s, d in links], "src string, dst string, relation string"), spark.createDataFrame(content, "node string, data string")
+        start = spark.createDataFrame([(x,) for x in starts], "node string")
+        want = [(x, x, 0) for x in (set(starts) - {None} if integral else starts)]
+        for root in set(starts) - {None}:
+            seen, frontier = {root}, {root}
+            for level in (1, 2, 3):
+                near = {d for x in frontier - {None} for s, d in links if s == x} | {s for x in frontier - {None} for s, d in links if d == x}
+                frontier = {x for x in near if x is None or x not in seen}
+                seen |= frontier
+                want += [(root, x, level) for x in frontier]
+        want = sorted(((root, x, level, d) for root, x, level in want for d in ([d for y, d in content if y == x and x is not None] or [None])), key=repr)
+        out = graph.embellish(start, tables[0], {"a": tables[1], "b": tables[1], "c": tables[1]}, ["a", "b", "c"], integral=integral)
+        assert sorted((tuple(x) for x in out.collect()), key=repr) == want
+
+
 def test_distances_are_judged_by_the_difference_itself(spark, tmp_path):
     values = [i / 100 for i in range(0, 4000, 7)] + [i / 100 + 5 for i in range(0, 4000, 7)] + [-0.0, -3.2, -5.0, 1e17, 1e17, 1e300, -1e300, float("inf"), float("nan"), None]
     rows = [(i * 2 + k, u, kind, v) for i, v in enumerate(values) for k, kind in enumerate(("purchase", "error")) for u in (1,)] + [(-1, None, "purchase", 1.0), (-2, None, "error", 1.0)]
